@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing, sharding, tokencount, tokenfile
+from lodestone.llm import packing, sharding, simhash, tokencount, tokenfile
 from lodestone.session import shared_dir, table
 
 BPE = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), end_id=1, ids=False)
 
@@ -31,7 +35,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_shard, op2_token_counts, op8_packing, op9_token_file)
+    found = (op1_shard, op2_token_counts, op3_simhash, op8_packing, op9_token_file)
     return {f.__name__: f for f in found}
 
 
