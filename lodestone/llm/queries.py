@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import packing, sharding, simhash, tokencount, tokenfile
+from lodestone.llm import decontaminate, packing, quality, sharding, simhash, tokencount, tokenfile, toxicity
 from lodestone.session import shared_dir, table
 
 BPE = "byte_bpe_50k.json"
@@ -24,6 +24,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), end_id=1, ids=False)
 
@@ -34,8 +46,14 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path, ids=False)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(table(spark, sf_dir, "documents"))
+    base = ~quality.kept(quality.BASE)
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.kept(quality.POLICIES[-1]).alias("kept"), "failed")
+
+
 def queries() -> dict:
-    found = (op1_shard, op2_token_counts, op3_simhash, op8_packing, op9_token_file)
+    found = (op1_shard, op2_token_counts, op3_simhash, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality)
     return {f.__name__: f for f in found}
 
 
