@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from lodestone.session import materialise, worker_path
 
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Hash buckets that distinct pre-tokens are joined in: the pre-tokens of one are held in memory.
+BUCKETS = 256
 
 
 class _Numbers(dict):
@@ -36,6 +39,19 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
+def _pack_texts(texts: list[str]) -> bytes:
+    body = "".join(texts).encode()
+    sizes = _pack(np.array([len(t) for t in texts]))
+    return len(sizes).to_bytes(4, "little") + sizes + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack_texts(blob: bytes) -> list[str]:
+    n = int.from_bytes(blob[:4], "little")
+    ends = np.cumsum(_unpack(blob[4 : 4 + n])).tolist()
+    body = pa.decompress(blob[12 + n :], int.from_bytes(blob[4 + n : 12 + n], "little"), codec="zstd", asbytes=True).decode()
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class _Block:
     """Frequencies of a block: documents x chunks, and chunks x pre-tokens."""
 
@@ -66,8 +82,8 @@ class _Block:
         self.size += self.n_bytes[-1]
         self.rows.append(np.array(row, np.int64))
 
-    def done(self, block: int) -> tuple:
-        """Block, keys, bytes, pre-tokens, and the packed frequencies."""
+    def done(self, block: int, buckets: int) -> tuple:
+        """Block, keys, bytes, the packed frequencies, and the pre-tokens by bucket."""
         counts = [np.unique(r, return_counts=True) for r in self.rows]
         split, numbers, lengths = _Numbers(), [], []
         whole = not self.tok.piecewise
@@ -77,8 +93,15 @@ class _Block:
             lengths.append(len(parts))
         flat = lambda xs: np.concatenate([np.empty(0, np.int64), *xs])
         steps = flat([np.diff(i, prepend=0) for i, _ in counts])
+        numbers = np.array(numbers, np.int64)
+        seen = np.maximum.accumulate(np.concatenate([[-1], numbers]))[:-1]
+        bucket_of = [zlib.crc32(p.encode()) % buckets for p in split]
+        dealt: dict[int, list[str]] = {}
+        for p, bucket in zip(split, bucket_of):
+            dealt.setdefault(bucket, []).append(p)
         return (
-            block, self.keys, self.n_bytes, list(split), _pack(np.array([len(i) for i, _ in counts])), _pack(steps), _pack(flat([n for _, n in counts])), _pack(np.array(lengths)), _pack(np.array(numbers)),
+            block, self.keys, self.n_bytes, _pack(np.array([len(i) for i, _ in counts])), _pack(steps), _pack(flat([n for _, n in counts])), _pack(np.array(lengths)),
+            _pack(np.where(numbers > seen, 0, numbers + 1)), _pack(np.array(bucket_of)), [{"bucket": b, "pretokens": _pack_texts(t)} for b, t in dealt.items()],
         )
 
 
@@ -89,32 +112,30 @@ def _sums(lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def _tokens(n_chunks: bytes, steps: bytes, counts: bytes, lengths: bytes, numbers: bytes, piece_counts: np.ndarray) -> np.ndarray:
+def _tokens(n_chunks: bytes, steps: bytes, counts: bytes, lengths: bytes, numbers: bytes, pieces: np.ndarray) -> np.ndarray:
     """Sum of frequency times pieces, per document of a block."""
     per_doc = _unpack(n_chunks).astype(np.int64)
     steps = _unpack(steps).view("<i4").astype(np.int64)
-    starts = np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    running = np.cumsum(steps)
-    before = np.concatenate([[0], running])
-    index = running - before[starts] if len(steps) else steps
-    per_chunk = _sums(_unpack(lengths).astype(np.int64), piece_counts[_unpack(numbers)])
+    before = np.concatenate([[0], np.cumsum(steps)])
+    index = before[1:] - before[np.repeat(np.cumsum(per_doc) - per_doc, per_doc)]
+    codes = _unpack(numbers).astype(np.int64)
+    split = np.where(codes == 0, np.cumsum(codes == 0) - 1, codes - 1)
+    per_chunk = _sums(_unpack(lengths).astype(np.int64), pieces[split])
     return _sums(per_doc, per_chunk[index] * _unpack(counts))
 
 
-def frequencies(docs: DataFrame, path: str, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block of documents: its distinct pre-tokens and packed frequencies."""
+def frequencies(docs: DataFrame, path: str, key: str, text: str, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+    """One row per block of documents: its packed frequencies, and its distinct pre-tokens by hash bucket."""
     kind = docs.schema[key].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, base = P.pieces(path), TaskContext.get().partitionId() << 32
-        names = ["block", "keys", "n_bytes", "pretokens", "n_chunks", "steps", "counts", "lengths", "numbers"]
-        block, n = _Block(tok), 0
-        types = None
+        names = ["block", "keys", "n_bytes", "n_chunks", "steps", "counts", "lengths", "numbers", "bucket_of", "dealt"]
+        block, n, types = _Block(tok), 0, None
 
         def row() -> pa.RecordBatch:
-            values = block.done(base | n)
-            kinds = [pa.int64(), pa.list_(types), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+            kinds = [pa.int64(), pa.list_(types), pa.list_(pa.int64()), *[pa.binary()] * 6, pa.list_(pa.struct([("bucket", pa.int32()), ("pretokens", pa.binary())]))]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block.done(base | n, buckets), kinds)], names=names)
 
         for batch in batches:
             types = batch.column(0).type
@@ -126,23 +147,37 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str, block_bytes: in
         if block.keys:
             yield row()
 
-    schema = f"block long, keys array<{kind}>, n_bytes array<long>, pretokens array<string>, n_chunks binary, steps binary, counts binary, lengths binary, numbers binary"
+    packed = ", ".join(f"{c} binary" for c in ("n_chunks", "steps", "counts", "lengths", "numbers", "bucket_of"))
+    schema = f"block long, keys array<{kind}>, n_bytes array<long>, {packed}, dealt array<struct<bucket:int,pretokens:binary>>"
     return docs.select(F.col(key), F.col(text)).mapInArrow(blocks, schema)
 
 
-def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
-    """pretoken, pieces: each distinct pre-token goes through the model once."""
+def piece_counts(asked: DataFrame, path: str) -> DataFrame:
+    """(asker, bucket, pretokens) -> (asker, bucket, pieces): a hash join, bucket by bucket.
+
+    Each distinct pre-token goes through the model once, when its bucket meets it first.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = P.pieces(path)
+        class Counts(dict):
+            def __missing__(self, pretoken: str) -> int:
+                self[pretoken] = n = tok.count(pretoken)
+                return n
+
+        tok, at, counts = P.pieces(path), None, Counts()
         for batch in batches:
-            counts = [tok.count(p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["pretoken", "pieces"])
+            answers = []
+            for bucket, blob in zip(batch.column(1), batch.column(2)):
+                if bucket.as_py() != at:
+                    at, counts = bucket.as_py(), Counts()
+                answers.append(_pack(np.fromiter(map(counts.__getitem__, _unpack_texts(blob.as_py())), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(answers, pa.binary())], names=["asker", "bucket", "pieces"])
 
-    return pretokens.select("pretoken").distinct().mapInArrow(count, "pretoken string, pieces int")
+    rows = asked.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.select("asker", "bucket", "pretokens").mapInArrow(count, "asker long, bucket int, pieces binary")
 
 
-def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """Tokens of every whole text under the tokenizer file at `path`.
 
     Returns key, n_bytes, n_tokens, over_limit (n_tokens > limit), a row per
@@ -150,25 +185,26 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     no bytes and no tokens. An empty table gives none. Other columns aren't read.
 
     Documents are taken in blocks. A block keeps the frequencies of its documents
-    packed, and its distinct pre-tokens as strings. Only those strings are joined
-    to the piece counts, so a frequent pre-token is a row per block, not per
-    document; the join may be split where one has many blocks. Piece counts then
-    return to their block, and a block sums frequency times pieces. No id is made.
+    packed, and its distinct pre-tokens as strings, by hash bucket. Only those are
+    shuffled to be joined to piece counts, so a frequent pre-token is a string per
+    block, not per document. Piece counts return to their block, which sums
+    frequency times pieces. No id is made. `buckets` should grow with the distinct
+    pre-tokens: those of one bucket are held in memory (about 100 bytes each).
     """
     spark = docs.sparkSession
     worker_path(spark)
-    blocks = materialise(frequencies(docs, path, key, text, block_bytes), "frequencies")
-    asked = blocks.select(F.col("block").alias("asker"), F.posexplode("pretokens").alias("pos", "pretoken"))
-    answers = asked.join(piece_counts(asked, path), "pretoken").select("asker", "pos", "pieces")
-    packed = blocks.drop("pretokens")
+    blocks = materialise(frequencies(docs, path, key, text, block_bytes, buckets), "frequencies")
+    answers = piece_counts(blocks.select(F.col("block").alias("asker"), F.inline("dealt")), path)
+    packed = blocks.drop("dealt")
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = np.zeros(len(right), np.int64)
-        found[right["pos"].to_numpy()] = right["pieces"].to_numpy()
         row = {name: left[name][0] for name in left.column_names}
-        blobs = [row[n].as_py() for n in ("n_chunks", "steps", "counts", "lengths", "numbers")]
-        tokens = _tokens(*blobs, found)
+        order = np.argsort(_unpack(row["bucket_of"].as_py()), kind="stable")
+        parts = sorted(zip(right["bucket"].to_pylist(), right["pieces"].to_pylist()))
+        pieces = np.zeros(len(order), np.int64)
+        pieces[order] = np.concatenate([np.empty(0, np.int64), *(_unpack(blob) for _, blob in parts)])
+        tokens = _tokens(*(row[n].as_py() for n in ("n_chunks", "steps", "counts", "lengths", "numbers")), pieces)
         return pa.table({key: row["keys"].values, "n_bytes": row["n_bytes"].values, "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array(tokens > limit)})
 
     return packed.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(total, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
