@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import decontaminate, packing, quality, sharding, simhash, tokencount, tokenfile, toxicity
+from lodestone.llm import decontaminate, packing, quality, sharding, simhash, substring, tokencount, tokenfile, toxicity
+from lodestone.llm.oracles import ORACLES
 from lodestone.session import shared_dir, table
 
 BPE = "byte_bpe_50k.json"
@@ -24,6 +25,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = toxicity.toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -53,9 +59,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_shard, op2_token_counts, op3_simhash, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality)
+    found = (op1_shard, op2_token_counts, op3_simhash, op4_substring_dedup, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in ORACLES.items() if name in queries()}
