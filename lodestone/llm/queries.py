@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import decontaminate, packing, quality, sharding, simhash, substring, tokencount, tokenfile, toxicity
+from lodestone.llm import decontaminate, extraction, packing, quality, sharding, simhash, substring, tokencount, tokenfile, toxicity
 from lodestone.llm.oracles import ORACLES
 from lodestone.session import shared_dir, table
 
@@ -30,6 +30,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = toxicity.toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_shard, op2_token_counts, op3_simhash, op4_substring_dedup, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality)
+    found = (op1_shard, op2_token_counts, op3_simhash, op4_substring_dedup, op5_html, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality)
     return {f.__name__: f for f in found}
 
 
