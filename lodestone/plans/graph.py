@@ -65,11 +65,11 @@ def invalidation_closure(spark, sf_dir):
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS node, CASE WHEN p_partkey IN (10, 20) THEN 30 - p_partkey WHEN p_partkey % 16 > 0 THEN p_partkey - 1 END AS target FROM part),
 r(node, cur, n) AS (SELECT node, node, 0 FROM p UNION ALL SELECT r.node, p.target, n + 1 FROM r JOIN p ON p.node = r.cur WHERE p.target IS NOT NULL AND n < 60)
-SELECT node, max(CASE WHEN n < 60 AND cur IN (SELECT node FROM p WHERE target IS NULL) THEN cur END) AS root FROM r GROUP BY node""")
+SELECT node, coalesce(max(CASE WHEN n < 60 AND cur IN (SELECT node FROM p WHERE target IS NULL) THEN cur END), -1) AS root FROM r GROUP BY node""")
 def canonical_root(spark, sf_dir):
     key = F.col("p_partkey")
     target = F.when(key.isin(10, 20), F.lit(30) - key).when(key % 16 > 0, key - 1)
-    return G.roots(table(spark, sf_dir, "part", "p_partkey").select(key.alias("node"), target.cast("long").alias("target")))
+    return G.roots(table(spark, sf_dir, "part", "p_partkey").select(key.alias("node"), target.cast("long").alias("target"))).na.fill(-1)
 
 
 @query(f"""WITH RECURSIVE {_HALF}, f AS (SELECT * FROM h WHERE src % 7 <> 0), r(root, node, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 100 UNION SELECT root, dst, n + 1 FROM r JOIN f ON src = node WHERE n < 20)
@@ -134,9 +134,7 @@ def html_links(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_targets"))
 
 
-@query(f"WITH {_HREFS} SELECT page_id, name, uses FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM (SELECT page_id, href AS name, count(*) AS uses FROM l GROUP BY ALL)) WHERE n = 1")
-def unique_link_resolution(spark, sf_dir):
+@query(f"WITH {_HREFS} SELECT href AS name, count(DISTINCT page_id) AS n_pages, count(DISTINCT page_id) = 1 AS resolved FROM l GROUP BY href")
+def link_resolution(spark, sf_dir):
     links = table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("name"))
-    uses = links.groupBy("page_id", "name").agg(F.count("*").alias("uses"))
-    single = uses.groupBy("name").agg(F.count("*").alias("n")).where("n = 1").select("name")
-    return uses.join(single, "name", "left_semi").select("page_id", "name", "uses")
+    return links.groupBy("name").agg(F.countDistinct("page_id").alias("n_pages")).withColumn("resolved", F.col("n_pages") == 1)
