@@ -65,7 +65,7 @@ def title_key(title: Column) -> Column:
 
 def category_path(path: Column, levels: int = 8) -> Column:
     """A path with trimmed, non-empty levels, at most `levels` of them."""
-    parts = F.filter(F.transform(F.split(path, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(path, "/"), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_join(F.slice(parts, 1, levels), "/")
 
 
@@ -78,7 +78,7 @@ def ancestors(path: Column) -> Column:
 def wikilinks(text: Column) -> Column:
     """Targets of [[title]] and [[title|alias]], ordered, distinct; ![[embeds]] are none."""
     found = F.regexp_extract_all(text, F.lit(r"(?:^|[^!\\])\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"), F.lit(1))
-    return F.array_distinct(F.transform(found, F.trim))
+    return F.array_distinct(F.transform(found, lambda t: F.trim(t)))
 
 
 def redact(text: Column) -> Column:
