@@ -213,10 +213,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     none) behind them. Windows are judged on the input. Null, empty and short
     texts have no windows. Rows of one key never remove each other's words; rows
     that repeat are treated alike. A null key neither removes nor loses words.
-    An empty table gives none. docs may not have the four columns already; other
-    extra columns pass through.
+    An empty table gives none. Extra columns pass through; columns that already
+    have one of the four names are replaced.
     """
     worker_path(docs.sparkSession)
+    docs = docs.drop("n_words", "n_removed", "kept_text", "spans", "__doc", "__tie")
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     spans = repeated_spans(slim, width, shard_bytes).select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "spans")
     joined = docs.join(spans, (F.col(key).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__tie")), "left").drop("__doc", "__tie")

@@ -93,12 +93,14 @@ def fit(docs: DataFrame, chosen: DataFrame, key: str, text: str, ftrl: Ftrl = Ft
     rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "label", "at")
     found = rows.mapInArrow(extract, "features binary, label int, at long").repartition(1).sortWithinPartitions("at", "label", "features")
     model = found.select("features", "label").mapInArrow(learn, "feature long, weight double").collect()
+    if not model:
+        return np.zeros(1, np.int64), np.full(1, -35.0)
     return np.array([r["feature"] for r in model], np.int64), np.array([r["weight"] for r in model], np.float64)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """All columns of docs, with score (probability of label 1) and predicted (1 at 0.5 or more) in front."""
-    spark = docs.sparkSession
+    """score (probability of label 1), predicted (1 at 0.5 or more) and all columns of docs; columns of these names are replaced."""
+    spark, docs = docs.sparkSession, docs.drop("score", "predicted")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +132,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Fitted on whole texts of at most per_class labelled rows of each class, none
     of them held out. Where a key has several labels the largest counts. Null
-    and empty texts score by the bias alone; without usable labels every score is
-    0.5. Repeated rows score alike, extra columns pass through (docs may have no
-    column score or predicted), an empty table gives none.
+    and empty texts score by the bias alone; without usable labels nothing is taken
+    for toxic (score next to 0). Repeated rows score alike, extra columns pass
+    through (score and predicted are replaced), an empty table gives none.
     """
     worker_path(docs.sparkSession)
     chosen = sample(labels, ~held_out(key), per_class, key, label)
