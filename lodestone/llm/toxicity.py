@@ -22,13 +22,18 @@ SAMPLE = 8_000
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Learning rates per coordinate alpha / (beta + sqrt(n)); l1 keeps weights at zero, l2 shrinks them."""
+    """Learning rates per coordinate alpha / (beta + sqrt(n)); l1 keeps weights at zero, l2 shrinks them.
 
-    alpha: float = 0.1
+    l1 is the gradient that a feature has to gather before it gets a weight: what
+    only a few rows hold stays out. The rarer class counts up to `balance` times.
+    """
+
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    epochs: int = 2
+    l1: float = 12.0
+    l2: float = 0.1
+    epochs: int = 6
+    balance: float = 5.0
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -53,10 +58,13 @@ def train(rows: list[tuple[np.ndarray, int]], ftrl: Ftrl = Ftrl(), bits: int = B
         free = np.abs(zs) > ftrl.l1
         return np.where(free, -(zs - np.sign(zs) * ftrl.l1) / ((ftrl.beta + np.sqrt(n[at])) / ftrl.alpha + ftrl.l2), 0.0)
 
+    ones = sum(label for _, label in rows)
+    odds = (len(rows) - ones) / ones if ones and ones < len(rows) else 1.0
+    scale = (max(1.0, min(ftrl.balance, 1 / odds)), max(1.0, min(ftrl.balance, odds)))
     for _ in range(ftrl.epochs):
         for at, label in rows:
             w = weights(at)
-            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - label
+            g = scale[label] * (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - label)
             was = n[at]
             z[at] += g - (np.sqrt(was + g * g) - np.sqrt(was)) / ftrl.alpha * w
             n[at] = was + g * g
