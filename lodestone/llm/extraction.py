@@ -24,6 +24,8 @@ from lodestone.session import worker_path
 SUPPORT = 5
 #: Template nodes below one node of a host, at most; rarer ones fall away first.
 CHILDREN = 64
+#: Parts that the pages of every host are dealt to, each of which meets a copy of the template.
+SALTS = 32
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -307,8 +309,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """
     worker_path(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias(key), F.col(url).alias("url"), F.col(html).alias("html"), _host(url).alias("host"))
-    joined = rows.join(templates(pages, url, html), "host", "left").select(key, "url", "html", "host", "template")
+    rows = pages.select(F.col(key).alias(key), F.col(url).alias("url"), F.col(html).alias("html"), _host(url).alias("host"), F.pmod(F.xxhash64(key, html), F.lit(SALTS).cast("long")).alias("salt"))
+    known = templates(pages, url, html).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = rows.join(known, ["host", "salt"], "left").select(key, "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
