@@ -145,3 +145,10 @@ def byte_split_chunks(spark, sf_dir):
 @query("SELECT doc_id, sum(len(string_split_regex(trim(l, ' '), ' +')))::BIGINT AS n_tokens FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY doc_id")
 def semantic_units(spark, sf_dir):
     return S.semantic_units(_docs(spark, sf_dir), 120).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    from lodestone.sources.html import page_blocks
+
+    return page_blocks(table(spark, sf_dir, "pages", "page_id", "html")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
