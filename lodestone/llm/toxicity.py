@@ -32,7 +32,7 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 12.0
     l2: float = 0.1
-    epochs: int = 6
+    epochs: int = 10
     balance: float = 5.0
 
 
@@ -71,19 +71,25 @@ def train(rows: list[tuple[np.ndarray, int]], ftrl: Ftrl = Ftrl(), bits: int = B
     return weights(np.arange(1 << bits))
 
 
-def sample(labels: DataFrame, allowed: Column, per_class: int, key: str, label: str) -> DataFrame:
-    """At most per_class labelled keys of each class, the least by a hash of the key."""
+def sample(labels: DataFrame, allowed: Column, per_class: int, key: str, label: str) -> tuple[DataFrame, float]:
+    """At most per_class labelled keys of each class, the least by a hash of the key.
+
+    Also how far the log odds of the classes among all allowed rows lie from those of the sample.
+    """
     rows = labels.where(allowed & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.max(label).cast("int").alias("label"))
     ranked = rows.withColumn("at", F.xxhash64(F.col(key).cast("string")))
+    n = {r["label"]: r["count"] for r in ranked.groupBy("label").count().collect()}
+    shift = math.log(n[1] / n[0]) - math.log(min(n[1], per_class) / min(n[0], per_class)) if len(n) == 2 else 0.0
     parts = [ranked.where(F.col("label") == c).orderBy("at", key).limit(per_class) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]), shift
 
 
-def fit(docs: DataFrame, chosen: DataFrame, key: str, text: str, ftrl: Ftrl = Ftrl(), bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, chosen: DataFrame, shift: float, key: str, text: str, ftrl: Ftrl = Ftrl(), bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Features of non-zero weight, and the weights, of a model fitted on a bounded set of keys.
 
     One task fits, on at most the sample's rows, which hold at most 2 ** bits
-    distinct features each; only the sparse weights come to the driver.
+    distinct features each; only the sparse weights come to the driver. The bias
+    is moved by `shift`, so that classes the sample thins out keep their share.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +109,9 @@ def fit(docs: DataFrame, chosen: DataFrame, key: str, text: str, ftrl: Ftrl = Ft
     model = found.select("features", "label").mapInArrow(learn, "feature long, weight double").collect()
     if not model:
         return np.zeros(1, np.int64), np.full(1, -35.0)
-    return np.array([r["feature"] for r in model], np.int64), np.array([r["weight"] for r in model], np.float64)
+    weights = {r["feature"]: r["weight"] for r in model}
+    weights[0] = weights.get(0, 0.0) + shift
+    return np.array(list(weights), np.int64), np.array(list(weights.values()), np.float64)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
@@ -145,5 +153,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     through (score and predicted are replaced), an empty table gives none.
     """
     worker_path(docs.sparkSession)
-    chosen = sample(labels, ~held_out(key), per_class, key, label)
-    return score(docs, fit(docs, chosen, key, text, ftrl, bits), key, text, bits)
+    chosen, shift = sample(labels, ~held_out(key), per_class, key, label)
+    return score(docs, fit(docs, chosen, shift, key, text, ftrl, bits), key, text, bits)
