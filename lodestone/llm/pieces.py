@@ -76,7 +76,7 @@ class Pieces:
     room bounds the remembered chunks (about 200 bytes each).
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 150_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()

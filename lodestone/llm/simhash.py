@@ -17,8 +17,9 @@ from lodestone.session import materialise, worker_path
 BUCKET = 8_000
 #: Depth of such dealing: beyond it (31 bits fixed, at least) buckets are joined as they are.
 DEPTH = 3
-#: Node pairs followed at once.
-FRONT = 1_000_000
+#: Node pairs followed, and places compared, at once.
+FRONT = 100_000
+COMPARED = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -137,13 +138,16 @@ def trie_join(groups: np.ndarray, fps: np.ndarray, budget: int) -> np.ndarray:
         return ones[level]
 
     def compare(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
-        na, nb = a1 - a0, b1 - b0
-        sizes = na * nb
-        pair = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        i, j = a0[pair] + place // nb[pair], b0[pair] + place % nb[pair]
-        near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
-        forest.join(i[near], j[near])
+        ends = np.cumsum((a1 - a0) * (b1 - b0))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // COMPARED)) + 1).tolist(), len(ends)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            nb = b1[lo:hi] - b0[lo:hi]
+            sizes = (a1[lo:hi] - a0[lo:hi]) * nb
+            pair = np.repeat(np.arange(hi - lo), sizes)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            i, j = a0[lo:hi][pair] + place // nb[pair], b0[lo:hi][pair] + place % nb[pair]
+            near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
+            forest.join(i[near], j[near])
 
     stack = [(0, edges[:-1], edges[1:], edges[:-1], edges[1:], np.zeros(len(edges) - 1, np.int8))]
     while stack:
