@@ -48,11 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    That is spark.checkpoint.dir; where it is unset (local use, tests) a
-    temporary folder of this machine takes its place.
+    That is spark.checkpoint.dir. Where it is unset a local session, as in tests,
+    takes a temporary folder of this machine; a cluster has to set it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/lodestone-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
