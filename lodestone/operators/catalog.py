@@ -72,6 +72,20 @@ def permits(roles: Column, grants: Column, restricted: Column) -> Column:
     )
 
 
+def version_readable(roles: Column, released: Column, state: Column, is_author: Column, team: Column) -> Column:
+    """Whether a version may be read: released ones by all, others by reviewers, publishers and editors of their own or of team drafts."""
+    inside = F.array_contains(roles, "reviewer") | F.array_contains(roles, "publisher")
+    drafts = F.array_contains(roles, "editor") & (is_author | ((state == "DRAFT") & team))
+    return released | inside | drafts
+
+
+def visible_version(released: DataFrame, current: DataFrame, drafts: DataFrame, resource: str = "resource_id", number: str = "version_no") -> DataFrame:
+    """resource, version: the active release, else the version that holds now, else the newest draft; each frame has one row per resource."""
+    side = lambda df, name: df.select(resource, F.col(number).alias(name))
+    rows = side(released, "a").join(side(current, "b"), resource, "full").join(side(drafts, "c"), resource, "full")
+    return rows.select(resource, F.coalesce("a", "b", "c").alias(number))
+
+
 def taxonomy(rows: DataFrame, path: str = "path", registered: DataFrame | None = None) -> DataFrame:
     """path, n (rows at or below), n_direct: every row counts into all its ancestors; registered paths without rows count 0."""
     direct = rows.groupBy(path).agg(F.count("*").alias("k"))

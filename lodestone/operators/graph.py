@@ -139,3 +139,10 @@ def same_root(pairs: DataFrame, root: DataFrame, a: str = "a", b: str = "b") ->
 def edge_role(type_: Column) -> Column:
     """How a typed edge is read: a need, an exception, a citation, or a relation."""
     return F.when(type_.isin("REQUIRES", "DEPENDS_ON"), "need").when(type_ == "EXCEPTION_OF", "exception").when(type_ == "CITES", "citation").otherwise("relation")
+
+
+def role_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """role, n_nodes, n_edges: nodes per role, and edges with both ends among the nodes, by the role of their source."""
+    inner = induced(edges, nodes).join(nodes.select(F.col("node").alias("src"), "role"), "src").groupBy("role").agg(F.count("*").alias("n_edges"))
+    counts = nodes.groupBy("role").agg(F.count("*").alias("n_nodes"))
+    return counts.join(inner, "role", "left").select("role", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

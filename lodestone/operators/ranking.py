@@ -161,3 +161,19 @@ def candidate_trace(units: DataFrame, query: str = "query_id") -> DataFrame:
     """Per query: candidates, reranked and unscored ones, and candidates per channel; no text."""
     rows = units.groupBy(query).agg(F.count("*").alias("candidates"), F.count("rerank_score").alias("reranked"), *(F.count(F.when(F.array_contains("channels", c), 1)).alias(f"n_{c}") for c in ("bm25", "vector", "catalog")))
     return rows.withColumn("unscored", F.col("candidates") - F.col("reranked"))
+
+
+def relevance(matches: DataFrame, terms: DataFrame, n_pages: int) -> DataFrame:
+    """page, score: share of the question's inverse-frequency mass that a page matches.
+
+    matches: page, term, where ('text' or 'category'), distinct; terms: term,
+    subject. The subject's share counts 0.82, that of all terms 0.15, and the
+    category's 0.03.
+    """
+    counts = matches.where("where = 'text'").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = terms.join(counts, "term", "left").withColumn("mass", F.log(F.lit(1.0) + (F.lit(float(n_pages)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)))
+    totals = weighed.agg(F.sum("mass").alias("total"), F.sum(F.when(F.col("subject"), F.col("mass"))).alias("subject_total"))
+    rows = matches.join(weighed.select("term", "subject", "mass"), "term").crossJoin(F.broadcast(totals))
+    text = F.col("where") == "text"
+    part = F.when(text & F.col("subject"), 0.82 * F.col("mass") / F.col("subject_total")).otherwise(0.0) + F.when(text, 0.15 * F.col("mass") / F.col("total")).otherwise(0.03 * F.col("mass") / F.col("total"))
+    return rows.groupBy("page").agg(F.sum(part).alias("score"))

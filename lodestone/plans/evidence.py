@@ -186,3 +186,49 @@ def version_drift(spark, sf_dir):
 def readable_runs(spark, sf_dir):
     uses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("version"))
     return E.readable_runs(uses, table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("version")))
+
+
+@query("""SELECT o_orderkey, o_orderstatus = 'F' OR r IN ('reviewer', 'publisher') OR (r = 'editor' AND (o_orderkey % 5 = 0 OR (o_orderstatus = 'P' AND o_custkey % 2 = 0))) AS readable
+FROM (SELECT *, CASE o_custkey % 4 WHEN 0 THEN 'reader' WHEN 1 THEN 'editor' WHEN 2 THEN 'editor' ELSE 'reviewer' END AS r FROM orders)""")
+def version_access(spark, sf_dir):
+    from lodestone.operators.catalog import version_readable
+
+    role = F.element_at(F.array(*map(F.lit, ("reader", "editor", "editor", "reviewer"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    state = F.when(F.col("o_orderstatus") == "P", "DRAFT").otherwise("OTHER")
+    ok = version_readable(F.array(role), F.col("o_orderstatus") == "F", state, F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 2 == 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ok.alias("readable"))
+
+
+@query("SELECT c_custkey AS resource_id, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 5 = 0 THEN 2 ELSE 3 END AS version_no FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0")
+def visible_version(spark, sf_dir):
+    from lodestone.operators.catalog import visible_version as pick
+
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resource_id"))
+    return pick(*(users.where(f"resource_id % {d} = 0").withColumn("version_no", F.lit(n)) for n, d in ((1, 3), (2, 5), (3, 7))))
+
+
+@query("""WITH n AS (SELECT p_partkey AS node, 'r' || p_size % 3 AS role FROM part WHERE p_partkey < 60 UNION ALL SELECT 100000 + s_suppkey, 's' FROM supplier WHERE s_suppkey % 2 = 0),
+e AS (SELECT DISTINCT l_partkey AS src, 100000 + l_suppkey AS dst FROM lineitem)
+SELECT role, count(DISTINCT node) AS n_nodes, count(dst) AS n_edges FROM n LEFT JOIN (SELECT * FROM e WHERE dst IN (SELECT node FROM n)) ON src = node GROUP BY role""")
+def node_role_counts(spark, sf_dir):
+    from lodestone.operators.graph import role_counts
+
+    parts = table(spark, sf_dir, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("node"), F.concat(F.lit("r"), F.col("p_size") % 3).alias("role"))
+    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select((F.col("s_suppkey") + 100000).alias("node"), F.lit("s").alias("role"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst")).distinct()
+    return role_counts(parts.unionByName(suppliers), edges)
+
+
+@query("""WITH t AS (SELECT unnest(['the', 'of', 'reea', 'schen']) AS term, unnest([false, false, true, true]) AS subject), n AS (SELECT count(*) AS n FROM documents),
+m AS (SELECT doc_id AS page, term, 'text' AS w FROM documents, t WHERE contains(text, term) UNION ALL SELECT doc_id, 'the', 'category' FROM documents WHERE lang = 'en'),
+k AS (SELECT term, subject, ln(1e0 + (n + 5e-1) / ((SELECT count(*) FROM m WHERE m.term = t.term AND w = 'text') + 5e-1)) AS mass FROM t, n), s AS (SELECT sum(mass) AS total, sum(mass) FILTER (subject) AS st FROM k)
+SELECT page, round(sum(CASE WHEN w = 'text' THEN (CASE WHEN subject THEN 82e-2 * mass / st ELSE 0e0 END) + 15e-2 * mass / total ELSE 3e-2 * mass / total END), 6) AS score FROM m JOIN k USING (term), s GROUP BY page""")
+def relevance_mass(spark, sf_dir):
+    from lodestone.operators.ranking import relevance
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    words = ("the", "of", "reea", "schen")
+    terms = spark.createDataFrame([(w, n > 1) for n, w in enumerate(words)], "term string, subject boolean")
+    found = docs.select(F.col("doc_id").alias("page"), F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("text"), w))).alias("term"), F.lit("text").alias("where"))
+    matches = found.unionByName(docs.where("lang = 'en'").select(F.col("doc_id").alias("page"), F.lit("the").alias("term"), F.lit("category").alias("where")))
+    return relevance(matches, terms, docs.count()).select("page", F.round("score", 6).alias("score"))
