@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from lodestone.constants import GAP_RUNS, TITLE_SIMILARITY
+from lodestone.functions.similarity import may_reach, ratio
 from lodestone.functions.text import gap_key
 
+#: Titles of a band that meet others in one task.
+TITLE_CHUNK = 1_000
+
 
 def body_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """body, first, n: groups of rows with the same text; pairs within them are not spelled out."""
@@ -30,32 +31,58 @@ def name_pairs(names: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.min("b").over(Window.partitionBy("name"))).where("a < b").select("a", "b").distinct()
 
 
-def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY) -> DataFrame:
+def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY, chunk: int = TITLE_CHUNK) -> DataFrame:
     """a, b, similarity: titles (page, block, title) of one block that match to `least` or more.
 
+    Equal titles of a block are compared once, by their least page. Every further
+    page of a title comes as a pair of that page and itself, with similarity 1, so
+    that a page's links are those of its title's least page. The ratio depends on
+    the order of its titles: the one with the lesser of the two pages is first.
+
     The Ratcliff-Obershelp ratio is at most twice the shorter length over the sum
     of both, so only titles whose lengths lie within a factor of (2 - least) / least
-    can reach it. Titles meet in bands of length by that factor, as a join of
-    neighbouring bands, and equal titles of a block are one row.
+    can reach it. Titles are in bands of length by that factor, and the titles of a
+    band are dealt to chunks; each chunk meets each one of its own and of the next
+    band. Pairs pass an exact filter before the ratio is taken.
     """
-    band = F.floor(F.log(F.greatest(F.length("title"), F.lit(1)).cast("double")) / F.log(F.lit((2 - least) / least)))
-    rows = titles.where(F.length("title") > 0).groupBy("block", "title").agg(F.min("page").alias("page")).withColumn("band", band)
-    near = rows.select("block", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("page").alias("b"), F.col("title").alias("title_b"))
-    pairs = rows.withColumnsRenamed({"page": "a", "title": "title_a"}).join(near, ["block", "band"])
-    la, lb = F.length("title_a"), F.length("title_b")
-    pairs = pairs.where((F.col("a") != F.col("b")) & (2 * F.least(la, lb) >= least * (la + lb)))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for a, b, x, y in zip(part["a"], part["b"], part["title_a"], part["title_b"]):
-                a, b, x, y = (a, b, x, y) if a < b else (b, a, y, x)
-                m = SequenceMatcher(None, x, y, autojunk=False)
-                if m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                    out.append((a, b, r))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "title_a", "title_b").mapInPandas(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    rows = titles.where(F.length("title") > 0).select("block", "title", F.col("page").cast("long").alias("page"))
+    rows = rows.withColumn("block", F.coalesce("block", F.lit("")))
+    once = rows.groupBy("block", "title").agg(F.min("page").alias("page"))
+    copies = rows.join(once.withColumnRenamed("page", "a"), ["block", "title"]).where("page > a").select("a", F.col("page").alias("b"), F.lit(1.0).alias("similarity"))
+
+    # A little more than the factor: rounding moves no pair two bands apart.
+    band = F.floor(F.log(F.length("title").cast("double")) / F.log(F.lit((2 - least) / least * (1 + 1e-9))))
+    once = once.withColumn("band", band)
+    sizes = once.groupBy("block", "band").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("n"))
+    for name, step in (("before", 1), ("after", -1)):
+        sizes = sizes.join(sizes.select("block", (F.col("band") + step).alias("band"), F.col("n").alias(name)), ["block", "band"], "left")
+    dealt = once.join(sizes, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("title"), F.col("n")).cast("int"))
+    mine = F.col("mine")
+    upto = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda lower, across, x, y, right: F.struct(lower.alias("lower"), F.lit(across).alias("across"), x.alias("x"), y.alias("y"), right.alias("right"))
+    cells = F.concat(
+        F.transform(upto("n"), lambda k: cell(F.col("band"), False, F.least(mine, k), F.greatest(mine, k), mine > k)),
+        F.transform(upto("after"), lambda k: cell(F.col("band"), True, mine, k, F.lit(False))),
+        F.transform(upto("before"), lambda k: cell(F.col("band") - 1, True, k, mine, F.lit(True))),
+    )
+    met = dealt.select("block", F.explode(cells).alias("c"), "page", "title").select("block", "c.*", "page", "title")
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        pages, texts, side = part["page"].to_pylist(), part["title"].to_pylist(), part["right"].to_pylist()
+        across, x, y = (k.as_py() for k in key[2:])
+        left = [k for k, s in enumerate(side) if not s]
+        right = None if not across and x == y else [k for k, s in enumerate(side) if s]
+        out = []
+        if left and (right is None or right):
+            for i, found in may_reach([texts[k] for k in left], None if right is None else [texts[k] for k in right], least):
+                for j in found.tolist():
+                    (a, s), (b, t) = sorted((pages[k], texts[k]) for k in (left[i], (left if right is None else right)[j]))
+                    if a != b and (r := ratio(s, t)) >= least:
+                        out.append((a, b, r))
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
+
+    pairs = met.groupBy("block", "lower", "across", "x", "y").applyInArrow(run, "a long, b long, similarity double")
+    return pairs.unionByName(copies).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def merge_signals(*signals: DataFrame) -> DataFrame:

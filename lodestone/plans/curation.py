@@ -40,7 +40,7 @@ def name_overlap_pairs(spark, sf_dir):
 
 @query()
 def title_similarity_pairs(spark, sf_dir):
-    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.concat_ws("/", "lang", F.col("doc_id") % 20).alias("block"), T.title_key(F.substring(F.split("text", "\n")[0], 1, 120)).alias("title"))
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("block"), T.title_key(F.split("text", "\n")[0]).alias("title"))
     return C.similar_titles(titles)
 
 
