@@ -9,6 +9,9 @@ import numpy as np
 
 #: Titles that one title is compared with at once.
 STRIP = 2048
+#: Pairs of titles that are followed at once, and words of masks held for them.
+PAIRS = 4096
+MASKS = 1 << 21
 #: Length of the shorter part below which difflib finds the matches.
 SHORT = 400
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -65,19 +68,20 @@ def ratio(a: str, b: str) -> float:
     return 2.0 * _matched(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def _subsequences(masks: np.ndarray, la: int, codes: np.ndarray, lens: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Columns of codes whose longest common subsequence with a string of la characters may have `need` characters.
+def _subsequences(masks: np.ndarray, base: np.ndarray, la: np.ndarray, codes: np.ndarray, col: np.ndarray, lens: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Of pairs (base and la on the left, col and lens on the right) those whose longest common subsequence may have `need` characters.
 
-    masks: 64 places of the string in a word (rows), by code; a common
-    subsequence in bit-parallel form, a column for each string. Matching blocks
-    are a common subsequence, so nothing that reaches the ratio is lost. With
-    `need` matches the places of a match differ by no more than the characters
-    that may stay unmatched, so words outside that band are skipped, and a string
-    that has left too many unmatched is dropped.
+    masks: 64 places of the strings on the left in a word (rows), at base + code;
+    codes: the strings on the right, by place and col. A common subsequence in
+    bit-parallel form, a column for each pair. Matching blocks are a common
+    subsequence, so nothing that reaches the ratio is lost. With `need` matches
+    the places of a match differ by no more than the characters that may stay
+    unmatched, so words outside that band are skipped, and a pair that has left
+    too many unmatched is dropped.
     """
-    alive = np.arange(len(lens))
-    spare_a, spare_b = la - int(need.min()), int((lens - need).max())
-    words = np.full((len(masks), len(lens)), ~np.uint64(0))
+    alive = np.arange(len(col))
+    spare_a, spare_b = int((la - need).max()), int((lens - need).max())
+    words = np.full((len(masks), len(col)), ~np.uint64(0))
     every = max(16, int(lens.min()) // 8)
     for j in range(int(lens.max())):
         if j and j % every == 0:
@@ -85,12 +89,14 @@ def _subsequences(masks: np.ndarray, la: int, codes: np.ndarray, lens: np.ndarra
             if not keep.any():
                 return alive[:0]
             if keep.sum() < 0.8 * len(keep):
-                alive, words, lens, need, codes = alive[keep], words[:, keep], lens[keep], need[keep], codes[:, keep]
+                alive, words, lens, need, base, col = alive[keep], words[:, keep], lens[keep], need[keep], base[keep], col[keep]
         lo, hi = max(0, j - spare_b) // 64, min(len(masks), (j + spare_a) // 64 + 1)
-        carry = None
+        if lo >= hi:
+            continue
+        at, carry = base + codes[j].take(col), None
         for w in range(lo, hi):
             old = words[w]
-            hit = masks[w].take(codes[j])
+            hit = masks[w].take(at)
             hit &= old
             new = old + hit
             if w + 1 < hi:
@@ -101,7 +107,8 @@ def _subsequences(masks: np.ndarray, la: int, codes: np.ndarray, lens: np.ndarra
                 carry = over.astype(np.uint64)
             elif carry is not None:
                 new += carry
-            new |= old ^ hit
+            hit ^= old
+            new |= hit
             words[w] = new
     return alive[np.bitwise_count(~words).sum(0, dtype=np.int64) >= need]
 
@@ -119,7 +126,8 @@ def may_reach(left: list[str], right: list[str] | None, least: float) -> Iterato
     count = lambda code: np.bincount(code % 64, minlength=64).astype(np.int32)
     mine = [codes_of(t) for t in left]
     theirs = mine if right is None else [codes_of(t) for t in right]
-    lens = np.array([len(c) for c in theirs])
+    lens, own_lens, width = np.array([len(c) for c in theirs]), [len(c) for c in mine], len(values) + 1
+    own_counts = [count(c) for c in mine]
     order = np.argsort(lens, kind="stable")
     for at in range(0, len(order), STRIP):
         strip = order[at : at + STRIP]
@@ -128,19 +136,31 @@ def may_reach(left: list[str], right: list[str] | None, least: float) -> Iterato
         for k, s in enumerate(strip):
             codes[: n[k], k] = theirs[s]
         counts = np.array([count(theirs[s]) for s in strip])
-        for i, own in enumerate(mine):
-            la = len(own)
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> Iterator[tuple[int, np.ndarray]]:
+            masks = np.zeros(((own_lens[held[-1][0]] + 63) // 64, len(held) * width), np.uint64)
+            for k, (i, _) in enumerate(held):
+                places = np.arange(own_lens[i])
+                np.bitwise_or.at(masks, (places // 64, k * width + mine[i].astype(np.int64)), np.uint64(1) << (places % 64).astype(np.uint64))
+            row, col = np.repeat(np.arange(len(held)), [len(c) for _, c in held]), np.concatenate([c for _, c in held])
+            la = np.array([own_lens[i] for i, _ in held])[row]
+            need = np.ceil(least * (la + n[col]) / 2 - 1e-6).astype(np.int64)
+            found = _subsequences(masks, row * width, la, codes[: int(n[col].max())], col, n[col], need)
+            for k in np.unique(row[found]).tolist():
+                yield held[k][0], strip[col[found[row[found] == k]]]
+            held.clear()
+
+        for i in sorted(range(len(mine)), key=own_lens.__getitem__):
+            la = own_lens[i]
             near = 2 * np.minimum(la, n) >= least * (la + n) - 1e-6
             if right is None:
                 near &= (n > la) | ((n == la) & (strip > i))
             near = np.flatnonzero(near)
-            near = near[2 * np.minimum(counts[near], count(own)).sum(1) >= least * (la + n[near]) - 1e-6]
-            if not len(near):
-                continue
-            need = np.ceil(least * (la + n[near]) / 2 - 1e-6).astype(np.int64)
-            masks = np.zeros(((la + 63) // 64, len(values) + 1), np.uint64)
-            places = np.arange(la)
-            np.bitwise_or.at(masks, (places // 64, own), np.uint64(1) << (places % 64).astype(np.uint64))
-            found = near[_subsequences(masks, la, codes[: int(n[near].max()), near], n[near], need)]
-            if len(found):
-                yield i, strip[found]
+            near = near[2 * np.minimum(counts[near], own_counts[i]).sum(1) >= least * (la + n[near]) - 1e-6]
+            if len(near):
+                held.append((i, near))
+            if held and (sum(len(c) for _, c in held) >= PAIRS or len(held) * width * (la // 64 + 1) >= MASKS):
+                yield from flush()
+        if held:
+            yield from flush()
