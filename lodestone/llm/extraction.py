@@ -16,14 +16,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.session import worker_path
+from lodestone.session import materialise, worker_path
 
 #: Distinct pages that have to agree on a text before it counts as constant.
 SUPPORT = 5
-#: Template nodes below one node of a host, at most; rarer ones fall away first.
-CHILDREN = 64
 #: Parts that the pages of every host are dealt to, each of which meets a copy of the template.
 SALTS = 32
 
@@ -158,19 +157,22 @@ def shape(node: Node, page: int) -> list:
 
 def align(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two nodes of one key: size of the largest match, and the children that match."""
-    m, n = len(a[4]), len(b[4])
+    keys = {k[0] for k in b[4]}
+    rows = [i for i, k in enumerate(a[4]) if k[0] in keys]  # others match nothing
+    m, n = len(rows), len(b[4])
     best = [[0] * (n + 1) for _ in range(m + 1)]
     gain = {}
     for i in range(1, m + 1):
+        kid = a[4][rows[i - 1]]
         for j in range(1, n + 1):
             w = 0
-            if a[4][i - 1][0] == b[4][j - 1][0]:
-                w = gain[i, j] = align(a[4][i - 1], b[4][j - 1])[0]
+            if kid[0] == b[4][j - 1][0]:
+                w = gain[i, j] = align(kid, b[4][j - 1])[0]
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
     pairs, i, j = [], m, n
     while i and j:
         if (i, j) in gain and best[i][j] == best[i - 1][j - 1] + gain[i, j]:
-            pairs.append((i - 1, j - 1))
+            pairs.append((rows[i - 1], j - 1))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
@@ -188,12 +190,30 @@ def fold(a: list, b: list) -> list:
         if p < len(a[4]):
             kids.append(fold(a[4][p], b[4][q]))
         i, j = p + 1, q + 1
-    if len(kids) > CHILDREN:
-        rank = sorted(range(len(kids)), key=lambda k: (-len(kids[k][1]), k))[:CHILDREN]
-        kids = [kids[k] for k in sorted(rank)]
     return [a[0], sorted({*a[1], *b[1]})[:SUPPORT], a[2], a[3] or b[3] or a[2] != b[2], kids]
 
 
+def _below(path: int, key: str) -> int:
+    """Path of a child, as a signed long."""
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), path & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def paths(t: list, path: int = 0, found: dict[int, set] | None = None) -> dict[int, set]:
+    """Path of keys below a root -> pages that have it; up to SUPPORT of them are known, or more."""
+    found = {} if found is None else found
+    for kid in t[4]:
+        at = _below(path, kid[0])
+        found.setdefault(at, set()).update(kid[1])
+        paths(kid, at, found)
+    return found
+
+
+def prune(t: list, keep: set[int], path: int = 0) -> list:
+    """A template without the nodes whose path isn't kept."""
+    kids = [(k, at) for k in t[4] if (at := _below(path, k[0])) in keep]
+    return [*t[:4], [prune(k, keep, at) for k, at in kids]]
+
+
 def _constant(t: list | None) -> bool:
     return t is not None and not t[3] and t[2] != 0 and len(t[1]) >= SUPPORT
 
@@ -265,8 +285,10 @@ def _host(url: str) -> Column:
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, template (JSON): one tree per host, folded over all of its pages.
 
-    Folded inside tasks first; the partial trees of a host are folded in sixteen
-    groups and then together. A tree is bounded by CHILDREN and SUPPORT.
+    Folded inside tasks first. Over the partial trees of a host the pages of each
+    path of keys are counted: a path that fewer than SUPPORT pages have holds no
+    constant node, and falls away. Nothing else does, so a tree is bounded by what
+    recurs on a host. Then the trees are folded in sixteen groups and together.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +316,22 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             out = fold(out, json.loads(t))
         return pa.table({"host": table["host"].slice(0, 1), "template": pa.array([json.dumps(out)], pa.string())})
 
-    parts = pages.select(_host(url).alias("host"), F.col(html)).mapInArrow(partial, "host string, template string")
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, tree in zip(batch.column(0), batch.column(1)):
+                rows = [(at, page, len(on) >= SUPPORT) for at, on in paths(json.loads(tree.as_py())).items() for page in (sorted(on)[:1] if len(on) >= SUPPORT else on)]
+                at, page, enough = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(page, pa.int64()), pa.array(enough, pa.bool_())], names=["host", "path", "page", "enough"])
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [json.dumps(prune(json.loads(t.as_py()), set(k.as_py() or ()))) for t, k in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["host", "template"])
+
+    parts = materialise(pages.select(_host(url).alias("host"), F.col(html)).mapInArrow(partial, "host string, template string"), "templates")
+    seen = parts.mapInArrow(listed, "host string, path long, page long, enough boolean").groupBy("host", "path").agg(F.bool_or("enough").alias("enough"), F.size(F.collect_set("page")).alias("n"))
+    keep = seen.where(F.col("enough") | (F.col("n") >= SUPPORT)).groupBy("host").agg(F.collect_list("path").alias("keep"))
+    parts = parts.join(keep, "host", "left").select("host", "template", "keep").mapInArrow(pruned, "host string, template string")
     some = parts.groupBy("host", F.pmod(F.xxhash64("template"), F.lit(16))).applyInArrow(together, "host string, template string")
     return some.groupBy("host").applyInArrow(together, "host string, template string")
 
