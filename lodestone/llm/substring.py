@@ -3,13 +3,17 @@
 1. Every window of 50 words has a characteristic phrase: of its 8-word phrases
    the one of least hash (the leftmost, if repeated). Equal windows have equal ones, so a window
    can only recur if its phrase does. Phrases of all documents are aggregated;
-   those of two or more documents recur, and the least document owns them.
-2. Owners are dealt to shards. A document goes to the shards that own a recurring
-   phrase of it: all documents that share a window meet in one shard.
-3. A shard compiles its phrases into an Aho-Corasick automaton and streams its
-   documents through it. Windows whose phrase was located are compared by their
-   whole word sequences. Shards too large for one task are split by document, and
-   only the least document of each window is compared across the parts.
+   those of two or more documents recur.
+2. Documents are dealt to shards by key and text hash, each to one, and recurring
+   phrases to the shards whose documents hold them. A shard compiles its phrases into
+   an Aho-Corasick automaton and streams its documents through it, which locates
+   every occurrence. From then on only digests of the windows around occurrences travel.
+3. The windows of a phrase meet in one bucket, where equal ones are those of equal
+   96-bit digests of all 50 words; all but those of the least document lose their
+   words. A phrase too frequent for one task is split by document: its parts are
+   compared by themselves, then the least document of each window across them.
+
+Each window is sent to one bucket, so what is shuffled grows with the documents.
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from lodestone.session import materialise, worker_path
+from lodestone.session import discard, materialise, worker_path
 
 #: Words of a phrase; two bytes of a word's hash stand for it, so that a phrase is two longs.
 PHRASE = 8
-#: Text bytes that one shard, or part of a large shard, should hold.
+#: Text bytes that one shard should hold. A bucket should hold as many windows as a sixteenth of it.
 SHARD_BYTES = 6 << 20
+#: Text bytes of a word with its space, about: for the number of shards only.
+WORD_BYTES = 7
 #: Fixed multipliers of the two 64-bit digests of a window.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -40,8 +47,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 class Words:
     """Hashes of the words of several documents in a row."""
 
-    def __init__(self, texts: list[str | None]):
-        each = [word_hashes(t) for t in texts]
+    def __init__(self, each: list[np.ndarray]):
         self.sizes = np.array([len(h) for h in each], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
@@ -86,7 +92,7 @@ class Words:
 
 
 def phrases(docs: DataFrame, width: int) -> DataFrame:
-    """p, q (a phrase), doc, tie, size: the characteristic phrases of every document."""
+    """p, q (a phrase), doc, tie, n: the characteristic phrases of every document, and of how many windows each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,77 +101,95 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
             for n in np.unique(part):
                 rows = np.flatnonzero(part == n)
                 some = batch.slice(int(rows[0]), len(rows))
-                words = Words(some.column(2).to_pylist())
+                words = Words([word_hashes(t.as_py()) for t in some.column(2)])
                 _, doc, least = words.windows(width)
                 if not len(doc):
                     continue
-                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])])
-                doc, pairs = doc[new], words.phrases(least[new])
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])]))
+                times = np.diff(first, append=len(doc))
+                doc, pairs = doc[first], words.phrases(least[first])
                 order = np.lexsort((pairs[:, 1], pairs[:, 0], doc))
-                doc, pairs = doc[order], pairs[order]
-                keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1]).any(1)])
-                doc, pairs = doc[keep], pairs[keep]
+                doc, pairs, times = doc[order], pairs[order], times[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1]).any(1)]))
+                doc, pairs, times = doc[first], pairs[first], np.add.reduceat(times, first)
                 of = pa.array(doc)
-                columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), some.column(0).take(of), some.column(1).take(of), pa.array(sizes[rows][doc])]
-                yield pa.RecordBatch.from_arrays(columns, names=["p", "q", "doc", "tie", "size"])
+                columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), some.column(0).take(of), some.column(1).take(of), pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, names=["p", "q", "doc", "tie", "n"])
 
-    return docs.where("doc is not null").select("doc", "tie", "text").mapInArrow(run, "p long, q long, doc long, tie long, size long")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "p long, q long, doc long, tie long, n long")
 
 
-def _runs(at: np.ndarray, width: int) -> list[list[int]]:
-    """Ascending window starts as merged half-open spans of words."""
-    cut = np.flatnonzero(np.diff(at) > width)
-    return [[int(a), int(b) + width] for a, b in zip(at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])])] if len(at) else []
-
-
-_SPANS = pa.list_(pa.list_(pa.int32()))
+def _bytes_of(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Consecutive runs of an array, as binaries."""
+    ends = np.append(cuts, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def locate(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
-    """One part of a shard: its documents (doc, tie, text, parts) and the shard's phrases (p, q).
+    """One shard: its documents (doc, tie, text) and the recurring phrases they hold (p, q, bucket, parts).
 
-    Returns rows of (doc, tie, spans, d, e, at): the spans of words that a smaller
-    document of the part holds too, and, if the shard has several parts, a row
-    for the least document of each window.
+    Returns bucket, part, doc, tie, at, d, e: per run of windows of one located
+    phrase its first word, and the digests of its windows.
     """
+    known = dict(zip(zip(right["p"].to_pylist(), right["q"].to_pylist()), range(len(right))))
+    codes = np.array(list(known), "<i8").reshape(-1, 2).tobytes()
     auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    codes = np.stack([right["p"].to_numpy(), right["q"].to_numpy()], 1).astype("<i8").tobytes() if len(right) else b""
-    for i in range(0, len(codes), 2 * PHRASE):
-        auto.add_word(codes[i : i + 2 * PHRASE].decode("latin-1"), 1)
+    for i, row in enumerate(known.values()):
+        auto.add_word(codes[i * 2 * PHRASE : (i + 1) * 2 * PHRASE].decode("latin-1"), row)
     auto.make_automaton()
-    docs, ties = left["doc"].to_numpy(), left["tie"].to_numpy()
-    words = Words(left["text"].to_pylist())
-    hit = np.zeros(len(words.hashes) + 1, bool)
-    if len(auto):
-        ends = np.fromiter((e for e, _ in auto.iter(words.symbols.tobytes().decode("latin-1"))), np.int64) + 1
-        hit[(ends[ends % 2 == 0] >> 1) - PHRASE] = True
+
+    def occurrences(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a phrase starts, and its row in right."""
+        found = np.fromiter(auto.iter(words.symbols.tobytes().decode("latin-1")) if len(auto) else (), [("end", "<i8"), ("row", "<i8")])
+        found = found[found["end"] % 2 == 1]
+        return (found["end"] + 1 >> 1) - PHRASE, found["row"]
+
+    hashes = [word_hashes(t.as_py()) for t in left["text"]]
+    words = Words(hashes)
+    held = np.unique(np.searchsorted(words.ends, occurrences(words)[0], side="right"))
+    words = Words([hashes[i] for i in held])
+    of = np.full(len(words.hashes) + 1, -1)
+    at, row = occurrences(words)
+    of[at] = row
     start, doc, least = words.windows(width)
-    found = hit[least]
-    start, doc = start[found], doc[found]
+    found = of[least] >= 0
+    start, doc, least = start[found], doc[found], least[found]
     d, e = words.digests(start, width)
-    order = np.lexsort((start, docs[doc], e, d))
-    start, doc, d, e = start[order], doc[order], d[order], e[order]
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])])[: len(d)]
-    owner = docs[doc][new][np.cumsum(new) - 1] if len(d) else docs[:0]
-    flagged = owner < docs[doc]
-    local = start - words.starts[doc]
-    rows: list[tuple] = []
-    order = np.lexsort((local[flagged], doc[flagged]))
-    which, at = doc[flagged][order], local[flagged][order]
-    edges = np.flatnonzero(np.diff(which, prepend=-1, append=len(docs)))
-    for a, b in zip(edges[:-1], edges[1:]):
-        rows.append((docs[which[a]], ties[which[a]], _runs(at[a:b], width)))
-    table = pa.table({
-        "doc": pa.array([r[0] for r in rows], pa.int64()), "tie": pa.array([r[1] for r in rows], pa.int64()), "spans": pa.array([r[2] for r in rows], _SPANS),
-        "d": pa.nulls(len(rows), pa.int64()), "e": pa.nulls(len(rows), pa.int64()), "at": pa.nulls(len(rows), pa.int32()),
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])])) if len(doc) else np.empty(0, np.int64)
+    row, mine = of[least[cuts]], held[doc[cuts]]
+    docs, ties = left["doc"].to_numpy()[mine], left["tie"].to_numpy()[mine]
+    parts = right["parts"].to_numpy()[row]
+    mixed = (docs.view(np.uint64) * np.uint64(_BASES[0]) ^ ties.view(np.uint64)) >> np.uint64(20)
+    part = np.where(parts > 1, 1 + (mixed % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
+    return pa.table({
+        "bucket": pa.array(right["bucket"].to_numpy()[row]), "part": pa.array(part), "doc": pa.array(docs), "tie": pa.array(ties),
+        "at": pa.array((start[cuts] - words.starts[doc[cuts]]).astype(np.int32)), "d": _bytes_of(d, cuts), "e": _bytes_of((e >> np.uint64(32)).astype("<u4"), cuts),
     })
-    if len(left) and left["parts"][0].as_py() > 1:
-        mine = ~flagged
-        table = pa.concat_tables([table, pa.table({
-            "doc": pa.array(docs[doc[mine]]), "tie": pa.array(ties[doc[mine]]), "spans": pa.nulls(int(mine.sum()), _SPANS),
-            "d": pa.array(d[mine].view(np.int64)), "e": pa.array(e[mine].view(np.int64)), "at": pa.array(local[mine], pa.int32()),
-        })])
-    return table
+
+
+def compare(table: pa.Table, width: int) -> pa.Table:
+    """Windows of one bucket, or of one part of it, with a smaller document: doc, tie and their words a to b.
+
+    Of a part, also doc, tie, a, d, e of each window of the least document that has it there.
+    """
+    d, e = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("d", "<i8"), ("e", "<i4")))
+    sizes = np.array([len(x) // 8 for x in table["d"].to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    docs, ties = table["doc"].to_numpy()[row], table["tie"].to_numpy()[row]
+    at = table["at"].to_numpy()[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((docs, e, d))
+    new = np.concatenate([[True], (d[order][1:] != d[order][:-1]) | (e[order][1:] != e[order][:-1])])
+    late = np.empty(len(row), bool)
+    late[order] = docs[order][new][np.cumsum(new) - 1] < docs[order]
+    first = late & np.concatenate([[True], ~late[:-1] | (row[1:] != row[:-1])])
+    last = late & np.concatenate([~late[1:] | (row[1:] != row[:-1]), [True]])
+    table_of = lambda pick, b, d, e: pa.table({"doc": docs[pick], "tie": ties[pick], "a": at[pick].astype(np.int32), "b": b, "d": d, "e": e})
+    n = int(first.sum())
+    out = table_of(first, pa.array((at[last] + width).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()))
+    if table["part"][0].as_py():
+        heads = ~late
+        out = pa.concat_tables([out, table_of(heads, pa.nulls(int(heads.sum()), pa.int32()), pa.array(d[heads]), pa.array(e[heads]))])
+    return out
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -173,24 +197,29 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_bytes: int = SHARD_BY
 
     docs has doc (long), tie (a hash of the text) and text. Only documents with spans are returned.
     """
-    all_phrases = materialise(phrases(docs, width), "phrases")
-    recurring = all_phrases.groupBy("p", "q").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("p", "q", "owner")
-    owned = materialise(all_phrases.join(recurring, ["p", "q"]).groupBy("doc", "tie", "owner").agg(F.max("size").alias("size")), "owners")
-    total = owned.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard")
-    routes = materialise(owned.groupBy(shard, "doc", "tie").agg(F.max("size").alias("size")), "routes")
-    parts = routes.groupBy("shard").agg(F.ceil(F.sum("size") / F.lit(2.0 * shard_bytes)).cast("int").alias("parts"))
-    split = routes.join(parts, "shard").select("shard", "doc", "tie", "parts", F.pmod(F.xxhash64("doc", "tie"), F.col("parts")).cast("int").alias("part"))
-    streams = split.join(docs, ["doc", "tie"]).select("shard", "part", "parts", "doc", "tie", "text")
-    compiled = recurring.select(shard, "p", "q").join(parts.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "shard")
-    schema = "doc long, tie long, spans array<array<int>>, d long, e long, at int"
-    found = materialise(streams.groupBy("shard", "part").cogroup(compiled.groupBy("shard", "part")).applyInArrow(lambda a, b: locate(a, b, width), schema), "located")
-    inside = found.where("spans is not null").select("doc", "tie", "spans")
-    heads = found.where("spans is null")
-    least = heads.groupBy("d", "e").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("d", "e", "owner")
-    across = heads.join(least, ["d", "e"]).where("owner < doc").groupBy("doc", "tie").agg(F.collect_list(F.array("at", F.col("at") + width)).alias("spans"))
-    return inside.unionByName(across).groupBy("doc", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    docs = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= 2 * width - 1))  # shorter texts have no window
+    held = materialise(phrases(docs, width), "phrases")
+    room = max(1, shard_bytes // 16)
+    seen = held.groupBy("p", "q").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum("n").alias("n"))
+    recurring = materialise(seen.where("least < most").select("p", "q", F.ceil(F.col("n") / room).alias("parts"), "n"), "recurring")
+    shards = -(-(held.agg(F.sum("n")).first()[0] or 1) * WORD_BYTES // shard_bytes)
+    buckets = -(-(recurring.agg(F.sum("n")).first()[0] or 1) // room)
+    shard = F.pmod(F.xxhash64("doc", "tie"), F.lit(shards)).alias("shard")
+    bucket = F.pmod(F.xxhash64("p", "q"), F.lit(buckets)).alias("bucket")
+    dealt = held.join(recurring.select("p", "q", "parts"), ["p", "q"]).select(shard, "p", "q", bucket, "parts")
+    streams = docs.select(shard, "doc", "tie", "text")
+    schema = "bucket long, part long, doc long, tie long, at int, d binary, e binary"
+    runs = materialise(streams.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(lambda a, b: locate(a, b, width), schema), "windows")
+    schema = "doc long, tie long, a int, b int, d long, e int"
+    found = materialise(runs.groupBy("bucket", "part").applyInArrow(lambda t: compare(t, width), schema), "located")
+    discard(held, recurring, runs)
+    heads = found.where("b is null")
+    least = heads.groupBy("d", "e").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("d", "e", "least")
+    across = heads.join(least, ["d", "e"]).where("least < doc").select("doc", "tie", "a").distinct()
+    island = F.col("a") - F.row_number().over(Window.partitionBy("doc", "tie").orderBy("a"))
+    across = across.withColumn("island", island).groupBy("doc", "tie", "island").agg(F.min("a").alias("a"), (F.max("a") + width).alias("b")).drop("island")
+    spans = found.where("b is not null").select("doc", "tie", "a", "b").unionByName(across)
+    return spans.groupBy("doc", "tie").agg(F.collect_list(F.array("a", "b")).alias("spans"))
 
 
 def kept_words(text: str | None, spans: list[list[int]] | None) -> tuple[int, list[bytes]]:
