@@ -84,15 +84,14 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
     return x
 
 
-def plan(lengths: np.ndarray, window: int, width: int) -> list[list[int]]:
-    """Whole remainders (positions into lengths) that share a window, as far as full combinations go.
+def solve(lengths: np.ndarray, window: int, width: int) -> list[list[int]]:
+    """Positions into lengths that share a window, as far as full combinations go.
 
     Repeat counts solve the histogram of lengths in bins of `width`, and are
-    rounded down, then as far up as the bins allow. Remainders under eight units
-    stay out: their share of the rounding to units is too large.
+    rounded down, then as far up as the bins allow.
     """
     bins = window // width
-    kind = np.where(lengths < 8 * width, -1, np.minimum((lengths + width - 1) // width, bins) - 1)
+    kind = np.minimum((lengths + width - 1) // width, bins) - 1
     stock = [np.flatnonzero(kind == b).tolist()[::-1] for b in range(bins)]
     have = np.array([len(s) for s in stock], float)
     combos = combinations(bins)
@@ -110,6 +109,22 @@ def plan(lengths: np.ndarray, window: int, width: int) -> list[list[int]]:
     return out
 
 
+def plan(lengths: np.ndarray, window: int, width: int) -> list[list[int]]:
+    """Whole remainders (positions into lengths) that share a window, by two histograms.
+
+    Of remainders under eight units the rounding to units would take too large a
+    share. They are solved to the token first, in bundles of eight units. Bundles
+    and the longer remainders are then solved in units, over whole windows. What
+    no full combination takes stays out.
+    """
+    small = 8 * width
+    short, long = np.flatnonzero(lengths < small), np.flatnonzero(lengths >= small)
+    members = [short[b].tolist() for b in solve(lengths[short], small, 1)] if len(short) else []
+    members += [[i] for i in long.tolist()]
+    sizes = np.array([lengths[m].sum() for m in members], np.int64)
+    return [[i for m in group for i in members[m]] for group in (solve(sizes, window, width) if len(sizes) else [])]
+
+
 def pack_cell(lengths: np.ndarray, window: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece of a cell of documents.
 
