@@ -123,7 +123,7 @@ def shard_sql(tree: Tree, grown: Tree) -> str:
 WITH old(path, shard, weight) AS (VALUES {leaves(tree)}), new(path, shard, weight) AS (VALUES {leaves(grown)}),
 d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS t FROM documents),
 crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, n: xor(c >> 1, 3988292384 * (c & 1)))) AS step),
-bytes AS (SELECT row, list_transform(range(strlen(t)), lambda i: ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::BIGINT) AS b FROM d),
+bytes AS (SELECT row, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM d),
 sums AS (SELECT row, xor(4294967295, list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, step[1 + (xor(c, x) & 255)]))) AS text_crc32 FROM bytes, crc),
 a AS (
   SELECT doc_id, strlen(t) + 1 AS size, text_crc32, o.shard, n.shard AS grown_shard, ('0x' || substr(md5(k || '|' || t), 1, 13))::BIGINT AS place
