@@ -31,10 +31,12 @@ from lodestone.session import discard, materialise, worker_path
 
 #: Words of a phrase; two bytes of a word's hash stand for it, so that a phrase is two longs.
 PHRASE = 8
-#: Text bytes that one shard should hold. A bucket should hold as many windows as a sixteenth of it.
+#: Text bytes that one shard should hold. A bucket should hold as many windows as a 48th of it.
 SHARD_BYTES = 6 << 20
 #: Text bytes of a word with its space, about: for the number of shards only.
 WORD_BYTES = 7
+#: Digest of a window.
+_DIGEST = np.dtype([("d", "<i8"), ("e", "<i4")])
 #: Fixed multipliers of the two 64-bit digests of a window.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -122,13 +124,13 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
 def _bytes_of(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Consecutive runs of an array, as binaries."""
     ends = np.append(cuts, len(values)) * values.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 def locate(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
     """One shard: its documents (doc, tie, text) and the recurring phrases they hold (p, q, bucket, parts).
 
-    Returns bucket, part, doc, tie, at, d, e: per run of windows of one located
+    Returns bucket, part, doc, tie, at, digests: per run of windows of one located
     phrase its first word, and the digests of its windows.
     """
     known = dict(zip(zip(right["p"].to_pylist(), right["q"].to_pylist()), range(len(right))))
@@ -154,7 +156,9 @@ def locate(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
     start, doc, least = words.windows(width)
     found = of[least] >= 0
     start, doc, least = start[found], doc[found], least[found]
+    digests = np.empty(len(start), _DIGEST)
     d, e = words.digests(start, width)
+    digests["d"], digests["e"] = d.view(np.int64), (e >> np.uint64(32)).astype(np.uint32).view(np.int32)
     cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])])) if len(doc) else np.empty(0, np.int64)
     row, mine = of[least[cuts]], held[doc[cuts]]
     docs, ties = left["doc"].to_numpy()[mine], left["tie"].to_numpy()[mine]
@@ -162,8 +166,8 @@ def locate(left: pa.Table, right: pa.Table, width: int) -> pa.Table:
     mixed = (docs.view(np.uint64) * np.uint64(_BASES[0]) ^ ties.view(np.uint64)) >> np.uint64(20)
     part = np.where(parts > 1, 1 + (mixed % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
     return pa.table({
-        "bucket": pa.array(right["bucket"].to_numpy()[row]), "part": pa.array(part), "doc": pa.array(docs), "tie": pa.array(ties),
-        "at": pa.array((start[cuts] - words.starts[doc[cuts]]).astype(np.int32)), "d": _bytes_of(d, cuts), "e": _bytes_of((e >> np.uint64(32)).astype("<u4"), cuts),
+        "bucket": pa.array(right["bucket"].to_numpy()[row]), "part": pa.array(part.astype(np.int32)), "doc": pa.array(docs), "tie": pa.array(ties),
+        "at": pa.array((start[cuts] - words.starts[doc[cuts]]).astype(np.int32)), "digests": _bytes_of(digests, cuts),
     })
 
 
@@ -172,8 +176,10 @@ def compare(table: pa.Table, width: int) -> pa.Table:
 
     Of a part, also doc, tie, a, d, e of each window of the least document that has it there.
     """
-    d, e = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("d", "<i8"), ("e", "<i4")))
-    sizes = np.array([len(x) // 8 for x in table["d"].to_pylist()], np.int64)
+    digests = table["digests"].to_pylist()
+    sizes = np.fromiter(map(len, digests), np.int64) // _DIGEST.itemsize
+    digests = np.frombuffer(b"".join(digests), _DIGEST)
+    d, e = np.ascontiguousarray(digests["d"]), np.ascontiguousarray(digests["e"])
     row = np.repeat(np.arange(len(sizes)), sizes)
     docs, ties = table["doc"].to_numpy()[row], table["tie"].to_numpy()[row]
     at = table["at"].to_numpy()[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -199,7 +205,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_bytes: int = SHARD_BY
     """
     docs = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= 2 * width - 1))  # shorter texts have no window
     held = materialise(phrases(docs, width), "phrases")
-    room = max(1, shard_bytes // 16)
+    room = max(1, shard_bytes // 48)
     seen = held.groupBy("p", "q").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum("n").alias("n"))
     recurring = materialise(seen.where("least < most").select("p", "q", F.ceil(F.col("n") / room).alias("parts"), "n"), "recurring")
     shards = -(-(held.agg(F.sum("n")).first()[0] or 1) * WORD_BYTES // shard_bytes)
@@ -208,11 +214,12 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_bytes: int = SHARD_BY
     bucket = F.pmod(F.xxhash64("p", "q"), F.lit(buckets)).alias("bucket")
     dealt = held.join(recurring.select("p", "q", "parts"), ["p", "q"]).select(shard, "p", "q", bucket, "parts")
     streams = docs.select(shard, "doc", "tie", "text")
-    schema = "bucket long, part long, doc long, tie long, at int, d binary, e binary"
+    schema = "bucket long, part int, doc long, tie long, at int, digests binary"
     runs = materialise(streams.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(lambda a, b: locate(a, b, width), schema), "windows")
+    discard(held, recurring)
     schema = "doc long, tie long, a int, b int, d long, e int"
     found = materialise(runs.groupBy("bucket", "part").applyInArrow(lambda t: compare(t, width), schema), "located")
-    discard(held, recurring, runs)
+    discard(runs)
     heads = found.where("b is null")
     least = heads.groupBy("d", "e").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("d", "e", "least")
     across = heads.join(least, ["d", "e"]).where("least < doc").select("doc", "tie", "a").distinct()
