@@ -2,9 +2,16 @@
 
 Pages of a host are folded into a template tree by simple tree matching: nodes
 that align are merged, others are added. A node whose own text is the same on all
-pages that have it is constant, part of the template; where texts vary there is a
-slot. A page is aligned with its host's template, constant nodes fall away, and of
-the slots those remain that are not furniture by the role of an element.
+pages that have it is constant. Over all pages of the host, the own texts of every
+path of the tree are counted: where few texts serve many pages, or most characters
+are links, the path is template; where texts are a page's own, it varies. The
+content slot is found from the root down, by the subtree that holds the most varying
+text a page. A page is aligned with its host's template, and the blocks of its slot
+that are not template are its text.
+
+Roles and names of elements decide only where a host has too few pages, where a page
+has none of its host's slots, between subtrees of like weight, and about what varies
+as the content does, such as readers' comments.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +31,14 @@ from lodestone.session import materialise, worker_path
 
 #: Distinct pages that have to agree on a text before it counts as constant.
 SUPPORT = 5
-#: Parts that the pages of every host are dealt to, each of which meets a copy of the template.
-SALTS = 32
+#: Hosts with more than this share of all pages are dealt to several copies of their template: so there are at most 1 000 such hosts.
+SHARE = 1000
+#: Pages of one copy, at least.
+COPY_PAGES = 2000
+#: Partial trees of a host that are folded at once.
+FAN_IN = 16
+#: Open elements beyond which nesting is flattened, as browsers do: deeper ones become children of this one.
+LEVELS = 150
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -34,6 +48,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption summary address".split())
 _SCOPES = frozenset("html body article section main div table td th ul ol nav aside header footer form blockquote".split())
 # Elements and names that mark furniture.
 _FURNITURE = frozenset("nav footer aside form script style noscript template iframe button select textarea svg dialog menu head object canvas audio video".split())
@@ -50,17 +65,24 @@ class Node:
     A run of text is [text, characters of it inside links].
     """
 
-    __slots__ = ("tag", "names", "children")
+    __slots__ = ("tag", "names", "children", "made")
 
     def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names, self.children = tag, names, []
+        self.tag, self.names, self.children, self.made = tag, names, [], None
 
     @property
     def key(self) -> str:
         return ".".join((self.tag, *self.names))
 
     def furniture(self) -> bool:
-        return self.tag in _FURNITURE or any(part in _NAMES for name in self.names for part in re.split(r"[^a-z]+", name))
+        return _furniture(self.key)
+
+
+@lru_cache(maxsize=100_000)
+def _furniture(key: str) -> bool:
+    """Whether a key's tag or names mark furniture."""
+    tag, *names = key.split(".")
+    return tag in _FURNITURE or any(part in _NAMES for name in names for part in re.split(r"[^a-z]+", name))
 
 
 def parse(page: str) -> Node:
@@ -71,6 +93,9 @@ def parse(page: str) -> Node:
     def text(raw: str) -> None:
         if not raw:
             return
+        if len(stack) > LEVELS and stack[LEVELS - 1].children[-1] is not stack[-1]:  # goes on behind a flattened element
+            stack[-1] = Node(stack[-1].tag, stack[-1].names)
+            stack[LEVELS - 1].children.append(stack[-1])
         kids = stack[-1].children
         if not kids or isinstance(kids[-1], Node):
             kids.append(["", 0])
@@ -124,9 +149,9 @@ def parse(page: str) -> Node:
         names = ()
         if found[3] and "=" in found[3]:
             values = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(found[3])).lower().split()
-            names = tuple(sorted({re.sub(r"\d+", "0", v) for v in values}))
+            names = tuple(sorted({re.sub(r"\d\d+", "0", v) for v in values}))
         node = Node(tag, names)
-        stack[-1].children.append(node)
+        stack[min(len(stack), LEVELS) - 1].children.append(node)
         if tag not in _VOID and not found[0].endswith("/>"):
             stack.append(node)
     text(page[at:])
@@ -137,22 +162,27 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-# A template node is [key, support, text hash, varied, children]: support holds up to
-# SUPPORT hashes of pages that have the node, text hash is that of its own text.
+# A template node is [key, support, text hash, varied, children, verdict]: support holds up to
+# SUPPORT hashes of pages that have the node, text hash is that of its own text. The
+# verdict is None until decide() gives it.
+
+#: Verdicts: neither, the root of a content slot, and template text.
+OUTSIDE, SLOT, BOILERPLATE = 0, 1, 2
 
 
 def shape(node: Node, page: int) -> list:
     """The template of one page. Neighbours of one key become one node."""
-    own = squeeze(" ".join(run[0] for run in node.children if not isinstance(run, Node)))
-    out = [node.key, [page], zlib.crc32(own.encode()) if own else 0, False, []]
-    for kid in node.children:
-        if isinstance(kid, Node):
-            made = shape(kid, page)
-            if out[4] and out[4][-1][0] == made[0]:
-                out[4][-1] = fold(out[4][-1], made)
-            else:
-                out[4].append(made)
-    return out
+    if node.made is None:
+        own = squeeze(" ".join(run[0] for run in node.children if not isinstance(run, Node)))
+        out = node.made = [node.key, [page], zlib.crc32(own.encode()) if own else 0, False, [], None]
+        for kid in node.children:
+            if isinstance(kid, Node):
+                made = shape(kid, page)
+                if out[4] and out[4][-1][0] == made[0]:
+                    out[4][-1] = fold(out[4][-1], made)
+                else:
+                    out[4].append(made)
+    return node.made
 
 
 def align(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
@@ -190,7 +220,7 @@ def fold(a: list, b: list) -> list:
         if p < len(a[4]):
             kids.append(fold(a[4][p], b[4][q]))
         i, j = p + 1, q + 1
-    return [a[0], sorted({*a[1], *b[1]})[:SUPPORT], a[2], a[3] or b[3] or a[2] != b[2], kids]
+    return [a[0], sorted({*a[1], *b[1]})[:SUPPORT], a[2], a[3] or b[3] or a[2] != b[2], kids, None]
 
 
 def _below(path: int, key: str) -> int:
@@ -211,34 +241,94 @@ def paths(t: list, path: int = 0, found: dict[int, set] | None = None) -> dict[i
 def prune(t: list, keep: set[int], path: int = 0) -> list:
     """A template without the nodes whose path isn't kept."""
     kids = [(k, at) for k in t[4] if (at := _below(path, k[0])) in keep]
-    return [*t[:4], [prune(k, keep, at) for k, at in kids]]
+    return [*t[:4], [prune(k, keep, at) for k, at in kids], None]
 
 
 def _constant(t: list | None) -> bool:
     return t is not None and not t[3] and t[2] != 0 and len(t[1]) >= SUPPORT
 
 
-def blocks(node: Node, template: list | None, within: bool = False) -> Iterator[tuple[str, int, bool]]:
-    """Texts of blocks in page order, their characters in links, and whether they are constant; no furniture."""
-    fits = template if template is not None and template[0] == node.key else None
-    matched: dict[int, list] = {}
+def own_texts(root: Node) -> dict[int, tuple[int, int, int]]:
+    """Path of keys -> hash of a page's own text there, its characters, and those of them in links; paths without text left out."""
+    runs: dict[int, list[list]] = {}
+    todo = [(root, 0)]
+    while todo:
+        node, path = todo.pop()
+        for kid in reversed(node.children):
+            if isinstance(kid, Node):
+                todo.append((kid, _below(path, kid.key)))
+            elif not kid[0].isspace():
+                runs.setdefault(path, []).append(kid)
+    found = {}
+    for path, of in runs.items():
+        text = squeeze(" ".join(r[0] for r in of))
+        if text:
+            found[path] = (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), len(text), min(len(text), sum(r[1] for r in of)))
+    return found
+
+
+def decide(t: list, counts: dict[int, tuple[int, int, int, int]]) -> list:
+    """A template with verdicts, from counts by path: pages, distinct texts, characters, characters in links.
+
+    Only paths of SUPPORT pages or more are in counts. n pages with at most the
+    root of n texts share these: template, as what is mostly links. Otherwise
+    texts are the pages' own, and weigh by their characters outside links a page.
+    """
+
+    def weigh(node: list, path: int) -> tuple[list, float, float, list]:
+        """Verdict copy, own weight, weight with all below, and the kids alike."""
+        pages, texts, chars, links = counts.get(path, (0, 0, 0, 0))
+        shared = pages > 0 and (texts * texts <= pages or 2 * links > chars)
+        own = 0.0 if shared or not pages else (chars - links) / pages
+        kids = [weigh(k, _below(path, k[0])) for k in node[4]]
+        out = [*node[:4], [k[0] for k in kids], BOILERPLATE if shared or _constant(node) else OUTSIDE]
+        return out, own, own + sum(k[2] for k in kids), kids
+
+    def choose(node: tuple) -> None:
+        out, own, _, kids = node
+        tag = lambda k: k[0][0].split(".")[0]
+        live = [k for k in kids if k[2] > 0]
+        boxes = [k for k in live if tag(k) not in _FLOW]
+        flow = own + sum(k[2] for k in live if tag(k) in _FLOW)
+        best = max((k[2] for k in boxes), default=0.0)
+        heading = any(tag(k)[:1] == "h" and tag(k) in _FLOW for k in live)
+        if heading or flow and 4 * flow >= best:
+            out[5] = SLOT
+            return
+        heavy = [k for k in boxes if 4 * k[2] >= best]
+        if len(heavy) > 1:
+            heavy = [k for k in heavy if not _furniture(k[0][0])] or heavy
+        for k in heavy:
+            choose(k)
+
+    top = weigh(t, 0)
+    choose(top)
+    return top[0]
+
+
+def matched(node: Node, fits: list | None) -> Iterator[tuple[Node | list, list | None]]:
+    """Children of a node in page order: runs of text, and elements with the template node they align with."""
+    of: dict[int, list] = {}
     kids = [k for k in node.children if isinstance(k, Node)]
     if fits and kids:
-        mine = shape(node, 0)
-        of, at = [], -1
+        group, at = [], -1
         for n, k in enumerate(kids):
             at += not n or kids[n - 1].key != k.key
-            of.append(at)
-        pairs = dict(align(mine, fits)[1])
-        matched = {n: fits[4][pairs[of[n]]] for n in range(len(kids)) if of[n] in pairs}
-    n = 0
+            group.append(at)
+        pairs = dict(align(shape(node, 0), fits)[1])
+        of = {id(k): fits[4][pairs[g]] for k, g in zip(kids, group) if g in pairs}
     for kid in node.children:
+        yield kid, of.get(id(kid))
+
+
+def blocks(node: Node, template: list | None, within: bool = False) -> Iterator[tuple[str, int, bool]]:
+    """Texts of blocks in page order, their characters in links, and whether they are template; no furniture."""
+    fits = template if template is not None and template[0] == node.key else None
+    for kid, inside in matched(node, fits):
         if not isinstance(kid, Node):
             if text := squeeze(kid[0]):
-                yield text, kid[1], _constant(fits)
+                yield text, kid[1], _constant(fits) or fits is not None and fits[5] == BOILERPLATE
             continue
-        inside = matched.get(n)
-        n += 1
         if kid.furniture():
             continue
         if kid.tag == "header":
@@ -249,6 +339,16 @@ def blocks(node: Node, template: list | None, within: bool = False) -> Iterator[
         yield from blocks(kid, inside, within or kid.tag in ("article", "main"))
 
 
+def slots(node: Node, template: list) -> Iterator[tuple[Node, list]]:
+    """The elements of a page that align with content slots of its template."""
+    if template[5] == SLOT:
+        yield node, template
+        return
+    for kid, inside in matched(node, template):
+        if inside is not None:
+            yield from slots(kid, inside)
+
+
 def _regions(node: Node, template: list | None) -> Iterator[tuple[Node, list | None]]:
     """Outermost articles, or main elements without one, with their template nodes."""
     kids = [k for k in node.children if isinstance(k, Node) and not k.furniture()]
@@ -264,18 +364,25 @@ def _regions(node: Node, template: list | None) -> Iterator[tuple[Node, list | N
             yield kid, inside
 
 
-def extract(page: str | None, template: list | None) -> str:
-    """Main text of a page: the largest article's blocks, or without one all blocks that aren't mostly links."""
-    if not page:
-        return ""
-    root = parse(page)
+def by_roles(root: Node, template: list | None) -> str:
+    """Main text by roles and names: the largest article's blocks, or without one all blocks that aren't mostly links."""
     best = ""
     for region, inside in _regions(root, template):
         text = " ".join(t for t, _, constant in blocks(region, inside, True) if not constant)
         best = max(best, text, key=len)
-    if best:
-        return best
-    return " ".join(t for t, links, constant in blocks(root, template) if not constant and 2 * links <= len(t))
+    return best or " ".join(t for t, links, constant in blocks(root, template) if not constant and 2 * links <= len(t))
+
+
+def extract(page: str | None, template: list | None) -> str:
+    """Main text of a page: what varies in the slots of its host's template; by roles and names where it has none."""
+    if not page:
+        return ""
+    root = parse(page)
+    if template is not None and template[5] is not None:
+        text = " ".join(t for region, inside in slots(root, template) for t, _, constant in blocks(region, inside, True) if not constant)
+        if text:
+            return text
+    return by_roles(root, template)
 
 
 def _host(url: str) -> Column:
@@ -283,28 +390,37 @@ def _host(url: str) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, template (JSON): one tree per host, folded over all of its pages.
+    """host, template (JSON): one tree per host with verdicts, folded and counted over all of its pages.
 
     Folded inside tasks first. Over the partial trees of a host the pages of each
     path of keys are counted: a path that fewer than SUPPORT pages have holds no
     constant node, and falls away. Nothing else does, so a tree is bounded by what
-    recurs on a host. Then the trees are folded in sixteen groups and together.
+    recurs on a host. Then the trees are folded, at most about FAN_IN at once, in as
+    many rounds as it takes. Copies of a page count once.
     """
+    schema = "host string, template string, path long, page long, value long, chars long, links long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        counts: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["host", "template"])
+            rows = [(host, json.dumps(t), *[None] * 5) for host, t in held.items()] + counts
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] * 2 + [pa.int64()] * 5)]
             held.clear()
-            return out
+            counts.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if body := page.as_py():
-                    made = shape(parse(body), zlib.crc32(body.encode()))
+                    code = body.encode("utf-8", "surrogatepass")
+                    root, number = parse(body), xxhash.xxh64_intdigest(code) - (1 << 63)
+                    made = shape(root, zlib.crc32(code))
                     held[host] = fold(held[host], made) if host in held else made
-                if len(held) >= 2000:
+                    counts += [(host, None, path, number, *of) for path, of in own_texts(root).items()]
+                if len(held) >= 2000 or len(counts) >= 100_000:
                     yield flush()
         if held:
             yield flush()
@@ -328,12 +444,27 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             trees = [json.dumps(prune(json.loads(t.as_py()), set(k.as_py() or ()))) for t, k in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["host", "template"])
 
-    parts = materialise(pages.select(_host(url).alias("host"), F.col(html)).mapInArrow(partial, "host string, template string"), "templates")
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = []
+            for tree, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                known = {c["path"]: (c["pages"], c["texts"], c["chars"], c["links"]) for c in counts or ()}
+                trees.append(json.dumps(decide(json.loads(tree), known)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["host", "template"])
+
+    read = materialise(pages.select(_host(url).alias("host"), F.col(html)).mapInArrow(partial, schema), "templates")
+    parts = read.where("template is not null").select("host", "template")
     seen = parts.mapInArrow(listed, "host string, path long, page long, enough boolean").groupBy("host", "path").agg(F.bool_or("enough").alias("enough"), F.size(F.collect_set("page")).alias("n"))
     keep = seen.where(F.col("enough") | (F.col("n") >= SUPPORT)).groupBy("host").agg(F.collect_list("path").alias("keep"))
-    parts = parts.join(keep, "host", "left").select("host", "template", "keep").mapInArrow(pruned, "host string, template string")
-    some = parts.groupBy("host", F.pmod(F.xxhash64("template"), F.lit(16))).applyInArrow(together, "host string, template string")
-    return some.groupBy("host").applyInArrow(together, "host string, template string")
+    parts = materialise(parts.join(keep, "host", "left").select("host", "template", "keep").mapInArrow(pruned, "host string, template string"), "pruned")
+    while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        groups = F.pmod(F.xxhash64("template"), F.lit(-(-most // FAN_IN)))
+        parts = materialise(parts.groupBy("host", groups.alias("group")).applyInArrow(together, "host string, template string"), "folded")
+    once = read.where("path is not null").groupBy("host", "path", "page").agg(*(F.first(c).alias(c) for c in ("value", "chars", "links")))
+    texts = once.groupBy("host", "path", "value").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    counts = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    counts = counts.where(F.col("pages") >= SUPPORT).groupBy("host").agg(F.collect_list(F.struct("path", "pages", "texts", "chars", "links")).alias("counts"))
+    return parts.join(counts, "host", "left").select("host", "template", "counts").mapInArrow(decided, "host string, template string")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -343,11 +474,19 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     blocks are joined by one space in page order. Null or empty pages give an
     empty text, a null or odd url the host ''. Repeated rows and null keys stay;
     an empty table gives none; other columns aren't read.
+
+    Hosts that have more than a thousandth of all pages are dealt to copies of
+    their template. There can't be over a thousand of them, so they are broadcast.
     """
     worker_path(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias(key), F.col(url).alias("url"), F.col(html).alias("html"), _host(url).alias("host"), F.pmod(F.xxhash64(key, html), F.lit(SALTS).cast("long")).alias("salt"))
-    known = templates(pages, url, html).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    sizes = materialise(pages.groupBy(_host(url).alias("host")).agg(F.count("*").alias("n")), "hosts")
+    room = max(COPY_PAGES, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    large = F.broadcast(sizes.where(F.col("n") > room).select("host", F.ceil(F.col("n") / room).alias("copies")))
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    rows = pages.select(F.col(key).alias(key), F.col(url).alias("url"), F.col(html).alias("html"), _host(url).alias("host")).join(large, "host", "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(key, "html"), copies))
+    known = templates(pages, url, html).join(large, "host", "left").select("host", "template", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
     joined = rows.join(known, ["host", "salt"], "left").select(key, "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
