@@ -201,8 +201,8 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = 2048, key: str =
         types = None
         for batch in batches:
             types = batch.column(0).type
-            for k, t in zip(batch.column(0), batch.column(1)):
-                body = np.append(tok.ids(t.as_py()), np.array([end_id], tok.dtype))
+            for k, found in zip(batch.column(0), tok.ids_of(batch.column(1))):
+                body = np.append(found, np.array([end_id], tok.dtype))
                 keys.append(k.as_py())
                 bodies.append(body)
                 size += len(body)

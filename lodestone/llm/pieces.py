@@ -11,9 +11,12 @@ applied to whole texts by the library.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from tokenizers import Tokenizer
@@ -154,6 +157,78 @@ class Pieces:
                 at = cut
         return fresh
 
+    def _inner(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks that follow a space, one chunk after the other, and how many each has."""
+        ids, sizes = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), 100_000):
+            some = words.slice(at, 100_000)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            ids.append(np.array(self._core.encode_ordinary(" " + joined), self.dtype))
+            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + 1)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self._length[ids[-1]]), ends) + 1, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _first(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks that start a text, and how many each has."""
+        ids = []
+        for word in words:
+            if (found := self._memo.get(BARE + word)) is None:
+                found = self._fresh([BARE + word])[BARE + word]
+                if len(self._memo) < self._room:
+                    self._memo[BARE + word] = found
+            ids.append(found)
+        return np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of several texts: each distinct chunk of them is split once, and all are put together by number."""
+        plain = pc.invert(pc.match_substring(texts, BARE))
+        for special in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, special)))
+        at = np.flatnonzero(pc.fill_null(plain, False).to_numpy(zero_copy_only=False))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if len(at):
+            lists = pc.split_pattern(texts.take(pa.array(at)), " ")
+            coded = lists.flatten().dictionary_encode()
+            words, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+            first = np.concatenate([[0], ends[:-1]])
+            trimmed = pc.utf8_trim(words, WHITE + ALSO_WHITE)
+            length = pc.binary_length(words).to_numpy()
+            odd = (length == 0) | (pc.binary_length(trimmed).to_numpy() != length)
+            late = length != pc.binary_length(pc.utf8_rtrim(words, WHITE + ALSO_WHITE)).to_numpy()
+            bad = odd[number]
+            bad[first] = late[number[first]]
+            regular = ~np.logical_or.reduceat(bad, first)
+            live = np.repeat(regular, ends - first)
+            live[first] = False
+            starts = np.zeros(len(number), bool)
+            starts[first[regular]] = True
+            used, starters = np.zeros(len(words), bool), np.zeros(len(words), bool)
+            used[number[live]] = starters[number[starts]] = True
+            inner, inner_sizes = self._inner(words.filter(pa.array(used)))
+            outer, outer_sizes = self._first(words.filter(pa.array(starters)).to_pylist())
+            ids, sizes = np.concatenate([inner, outer]), np.concatenate([inner_sizes, outer_sizes])
+            which = np.where(starts, len(inner_sizes) + np.cumsum(starters)[number], np.cumsum(used)[number]) - 1
+            which = which[live | starts]
+            n = sizes[which]
+            upto = np.cumsum(n)
+            source = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+            body = ids[source]
+            cuts = upto[np.cumsum((ends - first)[regular]) - 1].tolist()
+            for i, a, b in zip(at[regular].tolist(), [0, *cuts], cuts):
+                out[i] = body[a:b]
+        return [self.ids(t.as_py()) if found is None else found for found, t in zip(out, texts)]
+
+    def ids_of(self, texts: pa.Array, room: int = 8 << 20) -> Iterator[np.ndarray]:
+        """ids() of every text, in order, taken together as far as about `room` bytes of text go."""
+        if not self.piecewise or self._core is None:
+            yield from (self.ids(t.as_py()) for t in texts)
+            return
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // room
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(1, np.int64)
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            yield from self._together(texts.slice(a, b - a))
+
     def _part(self, words: list[str], check: bool) -> bytes:
         found = list(map(self._memo.get, words))
         if None in found:

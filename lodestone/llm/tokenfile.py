@@ -4,7 +4,8 @@ An id is split into chunks of a few bits, low chunk first. All low chunks form
 level 0; a bitmap tells which ids go on, and their next chunks form level 1, and
 so on. A rank directory counts the set bits before every 512th, so the place of
 an id's next chunk is one directory entry and at most eight words away: any id is
-read without decoding its neighbours.
+read without decoding its neighbours. What is opened for many reads counts these
+words once.
 
 A file is a Parquet table of segments: a run of whole documents in ascending
 order with their levels as binary columns. Any store that Spark reaches can hold it.
@@ -54,16 +55,18 @@ class Codes:
     """The ids of a segment, by position."""
 
     def __init__(self, levels: list[tuple[bytes, bytes, bytes]], widths: tuple[int, ...] = WIDTHS):
-        self.widths = widths
-        self.levels = [
-            (np.frombuffer(c, "<u1" if w <= 8 else "<u2" if w <= 16 else "<u4"), np.frombuffer(b, "<u8"), np.frombuffer(r, "<u4")) for (c, b, r), w in zip(levels, widths)
-        ]
+        self.widths, self.levels = widths, []
+        for (chunks, bits, ranks), w in zip(levels, widths):
+            words = np.frombuffer(bits, "<u8")
+            inside = np.bitwise_count(words).astype(np.int64).reshape(-1, 8)
+            before = np.frombuffer(ranks, "<u4").astype(np.int64)[:, None] + np.cumsum(inside, 1) - inside
+            self.levels.append((np.frombuffer(chunks, "<u1" if w <= 8 else "<u2" if w <= 16 else "<u4"), words, before.ravel()))
 
     def at(self, positions: np.ndarray) -> np.ndarray:
         """The ids at any positions, in their order."""
         place = np.asarray(positions, np.int64)
         out, who, shift = np.zeros(len(place), np.uint32), np.arange(len(place)), 0
-        for (chunks, words, ranks), width in zip(self.levels, self.widths):
+        for (chunks, words, before), width in zip(self.levels, self.widths):
             out[who] |= chunks[place].astype(np.uint32) << np.uint32(shift)
             shift += width
             word, bit = place >> 6, (place & 63).astype(np.uint64)
@@ -71,12 +74,7 @@ class Codes:
             if not on.any():
                 break
             who, place, word, bit = who[on], place[on], word[on], bit[on]
-            rank = ranks[place >> 9].astype(np.int64)
-            first = (word >> 3) << 3
-            for j in range(7):
-                rank += np.where(first + j < word, np.bitwise_count(words[np.minimum(first + j, word)]), 0)
-            rank += np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
-            place = rank
+            place = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
         return out
 
 
@@ -106,8 +104,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
         end = np.array([end_id], np.uint32)
         for batch in batches:
             types = batch.column(0).type
-            for k, t in zip(batch.column(0), batch.column(1)):
-                body = np.concatenate([tok.ids(t.as_py()).astype(np.uint32), end])
+            for k, found in zip(batch.column(0), tok.ids_of(batch.column(1))):
+                body = np.concatenate([found.astype(np.uint32), end])
                 keys.append(k.as_py())
                 bodies.append(body)
                 size += len(body)
@@ -145,13 +143,13 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = True)
                 keys, ends = row["keys"].values, row["ends"].values.to_numpy()
                 codes = Codes(list(zip(*(row[c].as_py() for c in ("chunks", "bitmaps", "ranks")))))
                 at = np.concatenate([[0], ends[:-1]])
+                found = np.concatenate([codes.at(np.arange(lo, min(lo + 200_000, ends[-1]))) for lo in range(0, ends[-1], 200_000)])
                 for lo in range(0, len(keys), 2000):
                     hi = min(lo + 2000, len(keys))
-                    found = codes.at(np.arange(at[lo], ends[hi - 1]))
-                    bodies = [found[a - at[lo] : b - at[lo]] for a, b in zip(at[lo:hi], ends[lo:hi])]
+                    bodies = [found[a:b] for a, b in zip(at[lo:hi].tolist(), ends[lo:hi].tolist())]
                     columns = [
-                        pa.array([row["part"].as_py()] * (hi - lo), pa.int32()), pa.array([row["segment"].as_py()] * (hi - lo), pa.int32()), keys.slice(lo, hi - lo),
-                        pa.array(at[lo:hi], pa.int64()), pa.array(ends[lo:hi] - at[lo:hi], pa.int64()), pa.array([zlib.crc32(b.astype("<u4").tobytes()) for b in bodies], pa.int64()),
+                        pa.array(np.full(hi - lo, row["part"].as_py(), np.int32)), pa.array(np.full(hi - lo, row["segment"].as_py(), np.int32)), keys.slice(lo, hi - lo),
+                        pa.array(at[lo:hi], pa.int64()), pa.array(ends[lo:hi] - at[lo:hi], pa.int64()), pa.array([zlib.crc32(b) for b in bodies], pa.int64()),
                     ]
                     if ids:
                         columns.append(pa.array([b.astype(np.int32) for b in bodies], pa.list_(pa.int32())))
