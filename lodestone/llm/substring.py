@@ -206,8 +206,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_bytes: int = SHARD_BY
     docs = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= 2 * width - 1))  # shorter texts have no window
     held = materialise(phrases(docs, width), "phrases")
     room = max(1, shard_bytes // 48)
-    seen = held.groupBy("p", "q").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum("n").alias("n"))
-    recurring = materialise(seen.where("least < most").select("p", "q", F.ceil(F.col("n") / room).alias("parts"), "n"), "recurring")
+    seen = held.groupBy("p", "q").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum("n").alias("n"), F.sum(F.col("n") + 4).alias("weight"))
+    recurring = materialise(seen.where("least < most").select("p", "q", F.ceil(F.col("weight") / room).alias("parts"), "n"), "recurring")
     shards = -(-(held.agg(F.sum("n")).first()[0] or 1) * WORD_BYTES // shard_bytes)
     buckets = -(-(recurring.agg(F.sum("n")).first()[0] or 1) // room)
     shard = F.pmod(F.xxhash64("doc", "tie"), F.lit(shards)).alias("shard")
