@@ -15,8 +15,11 @@ from lodestone.session import materialise, worker_path
 
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
-#: Hash buckets that distinct pre-tokens are joined in: the pre-tokens of one are held in memory.
-BUCKETS = 256
+#: Text bytes for which there is a hash bucket that distinct pre-tokens are joined in, and the least number of buckets.
+BUCKET_BYTES = 128 << 20
+BUCKETS = 64
+#: Piece counts that a bucket remembers: about 100 bytes each.
+REMEMBERED = 2_000_000
 
 
 class _Numbers(dict):
@@ -124,7 +127,7 @@ def _tokens(n_chunks: bytes, steps: bytes, counts: bytes, lengths: bytes, number
     return _sums(per_doc, per_chunk[index] * _unpack(counts))
 
 
-def frequencies(docs: DataFrame, path: str, key: str, text: str, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def frequencies(docs: DataFrame, path: str, key: str, text: str, block_bytes: int, buckets: int) -> DataFrame:
     """One row per block of documents: its packed frequencies, and its distinct pre-tokens by hash bucket."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -152,10 +155,11 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str, block_bytes: in
     return docs.select(F.col(key), F.col(text)).mapInArrow(blocks, schema)
 
 
-def piece_counts(asked: DataFrame, path: str) -> DataFrame:
+def piece_counts(asked: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """(asker, bucket, pretokens) -> (asker, bucket, pieces): a hash join, bucket by bucket.
 
-    Each distinct pre-token goes through the model once, when its bucket meets it first.
+    Each distinct pre-token goes through the model once, when its bucket meets it
+    first. A bucket that remembers too many counts starts anew, and counts again.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +174,8 @@ def piece_counts(asked: DataFrame, path: str) -> DataFrame:
             for bucket, blob in zip(batch.column(1), batch.column(2)):
                 if bucket.as_py() != at:
                     at, counts = bucket.as_py(), Counts()
+                elif len(counts) >= remembered:
+                    counts.clear()
                 answers.append(_pack(np.fromiter(map(counts.__getitem__, _unpack_texts(blob.as_py())), np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(answers, pa.binary())], names=["asker", "bucket", "pieces"])
 
@@ -177,7 +183,7 @@ def piece_counts(asked: DataFrame, path: str) -> DataFrame:
     return rows.select("asker", "bucket", "pretokens").mapInArrow(count, "asker long, bucket int, pieces binary")
 
 
-def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 512, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """Tokens of every whole text under the tokenizer file at `path`.
 
     Returns key, n_bytes, n_tokens, over_limit (n_tokens > limit), a row per
@@ -188,11 +194,13 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     packed, and its distinct pre-tokens as strings, by hash bucket. Only those are
     shuffled to be joined to piece counts, so a frequent pre-token is a string per
     block, not per document. Piece counts return to their block, which sums
-    frequency times pieces. No id is made. `buckets` should grow with the distinct
-    pre-tokens: those of one bucket are held in memory (about 100 bytes each).
+    frequency times pieces. No id is made. Unless given, `buckets` grows with the
+    bytes of all texts; the pre-tokens of one bucket are held in memory, up to REMEMBERED.
     """
     spark = docs.sparkSession
     worker_path(spark)
+    if buckets is None:
+        buckets = max(BUCKETS, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_BYTES)
     blocks = materialise(frequencies(docs, path, key, text, block_bytes, buckets), "frequencies")
     answers = piece_counts(blocks.select(F.col("block").alias("asker"), F.inline("dealt")), path)
     packed = blocks.drop("dealt")

@@ -23,3 +23,18 @@ def test_many_texts_at_once(name, room):
     found = [f.tolist() for f in p.ids_of(pa.array(data, pa.string()), room)]
     assert found == [tok.encode(t or "", add_special_tokens=False).ids for t in data]
     assert list(p.ids_of(pa.array([], pa.string()), room)) == [] and [f.tolist() for f in p.ids_of(pa.array([None, ""], pa.string()))] == [[], []]
+
+
+def test_a_bucket_that_forgets_counts_alike(spark):
+    from lodestone.llm import tokencount
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(i, 0, tokencount._pack_texts([f" w{i % 5}", " word", "日本"])) for i in range(12)]
+    asked = spark.createDataFrame(rows, "asker long, bucket int, pretokens binary")
+    for remembered in (1, 1000):
+        found = tokencount.piece_counts(asked, path, remembered).collect()
+        for r in found:
+            want = [len(tok.encode(t, add_special_tokens=False).ids) for t in (f" w{r['asker'] % 5}", " word", "日本")]
+            assert tokencount._unpack(bytes(r["pieces"])).tolist() == want
+        assert len(found) == 12
