@@ -1,10 +1,13 @@
 """Laws that hold at every size: one more shard, and short documents."""
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
 
-from lodestone.llm import packing, queries, sharding
+from lodestone.llm import decontaminate, packing, queries, sharding
+from tests.llm.test_operators import brute_contamination
 from tests.test_oracles import canonical
 
 
@@ -50,3 +53,17 @@ def test_short_documents_are_solved_too():
         assert len(taken) == len(set(taken)) and all(lengths[g].sum() <= 2048 for g in groups)
         assert lengths[taken].sum() > 0.9 * lengths.sum()
         assert lengths[taken].sum() / len(groups) > 0.95 * 2048
+
+
+def test_very_long_texts_and_items(spark):
+    rng = random.Random(6)
+    long = " ".join(rng.choices([f"w{i}" for i in range(4000)], k=60_000))
+    item = " ".join(long.split()[20_000:41_000])
+    data = [(1, long), (2, "the " * 30_000), (3, None), (4, item[:300])]
+    items = [("big", item), ("big2", item), ("the", "the"), ("no", "absent words of no document at all in this small corpus")]
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find(docs, bench, block_bytes=100_000).collect()}
+    assert [(r["start"], r["end"]) for r in found[1]["spans"]] == [(20_000, 41_000)] and found[1]["items"] == ["big", "big2"] and found[1]["n_hit"] == 21_000
+    assert found[2]["n_hit"] == 30_000 and found[2]["items"] == ["the"] and found[3]["n_words"] == 0
+    want = brute_contamination(data[3:], items)
+    assert [(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), None) for r in [found[4]]] == [(*want[0][:4], None)]
