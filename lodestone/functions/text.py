@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from lodestone.constants import STOP_WORDS
 
+_STOP = frozenset(STOP_WORDS)
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -23,23 +25,26 @@ def name_key(names: pd.Series) -> pd.Series:
     return names.map(lambda t: unicodedata.normalize("NFKC", t).strip().casefold(), na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def cjk_bigrams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All neighbouring pairs inside runs of CJK characters, without stop words."""
-    import regex
-
-    runs, stop = regex.compile("[㐀-鿿]{2,}"), set(STOP_WORDS)
-    for texts in batches:
-        yield texts.map(lambda t: [w for r in runs.findall(t or "") for w in (r[i : i + 2] for i in range(len(r) - 1)) if w not in stop])
+_LATIN = re.compile("[a-z0-9]+")
+_COMPOUND = re.compile("[a-z0-9]+(?:[._/-][a-z0-9]+)+")
+_CJK = re.compile("[㐀-鿿]+")
 
 
-def latin_tokens(text: Column) -> Column:
-    """Search tokens of Latin text: runs of [a-z0-9], then compounds such as a.b or 12-3 once more.
+def search_tokens(text: str | None) -> list[str]:
+    """Search tokens of a text after NFKC, in lower case (None: none).
 
-    Accented letters part words. For texts with CJK add cjk_bigrams.
+    Runs of [a-z0-9]; compounds such as a.b or 12-3 once more; of a run of CJK
+    characters all neighbouring pairs, or the one it is, without stop words.
+    Accented letters part words.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:[._/-][a-z0-9]+)+"), F.lit(0)))
+    if not text:
+        return []
+    plain = text.isascii()
+    low = (text if plain else unicodedata.normalize("NFKC", text)).lower()
+    found = _LATIN.findall(low) + _COMPOUND.findall(low)
+    for run in () if plain else _CJK.findall(low):
+        found += [w for w in ([run] if len(run) == 1 else map("".join, zip(run, run[1:]))) if w not in _STOP]
+    return found
 
 
 def distinct_words(text: Column) -> Column:

@@ -2,48 +2,105 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from lodestone.constants import ASPECT_PATTERN, B, EXACT_PATTERN, HITS_PER_VERSION, K1, PROFILES, RRF_K, TEXT_BONUS, TITLE_BONUS
-from lodestone.functions.text import latin_tokens
+from lodestone.functions.text import search_tokens
+from lodestone.session import materialise, worker_path
 
+#: Terms that are broadcast to filter an index, and (question, term) rows that are broadcast to be joined, at most.
+BROADCAST_TERMS = 500_000
+#: Vectors and questions that are multiplied at once.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, len (tokens of the document), term, tf: the lexical index, aggregated before it is shuffled."""
-    tokens = docs.select(F.col(key), latin_tokens(F.col(text)).alias("tokens"))
-    rows = tokens.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return rows.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
+def lexical_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """key, len (tokens of the text), terms (map of term -> tf): a row per row of docs, in one pass without a shuffle.
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """term, df."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    With `terms` (term) only those are kept: a set of them is broadcast if there
+    are at most BROADCAST_TERMS, else all terms stay. Null texts have no tokens.
+    """
+    spark = docs.sparkSession
+    worker_path(spark)
+    kind, shared = docs.schema[key].dataType.simpleString(), None
+    if terms is not None:
+        some = [r[0] for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+        shared = spark.sparkContext.broadcast(frozenset(some)) if len(some) <= BROADCAST_TERMS else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = shared.value if shared else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sizes, ends, words, counts = [], [0], [], []
+                for t in some.column(1):
+                    found = search_tokens(t.as_py())
+                    tf = Counter(found if only is None else filter(only.__contains__, found))
+                    sizes.append(len(found))
+                    words += tf.keys()
+                    counts += tf.values()
+                    ends.append(len(words))
+                of = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), of], names=[key, "len", "terms"])
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, len int, terms map<string,int>")
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n documents and mean tokens."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(latin_tokens(F.col(text)))).alias("mean"))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, len (tokens of the document), term, tf: the lexical index row by row."""
+    return lexical_index(docs, key, text).select(key, "len", F.explode("terms").alias("term", "tf"))
+
+
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df."""
+    index = lexical_index(docs.select(F.lit(0).alias("doc_id"), F.col(text)), "doc_id", text)
+    return index.select(F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term: the distinct tokens of every query (query_id, query)."""
+    return lexical_index(queries, "query_id", "query").select("query_id", F.explode(F.map_keys("terms")).alias("term"))
+
+
+def _bounded(asked: DataFrame) -> DataFrame:
+    """Rows of questions, broadcast if they are at most BROADCAST_TERMS."""
+    return F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, key, score: BM25 of every document that shares a term with a query.
 
-    queries has query_id and query. The terms of all queries are met with the
-    index in one pass; only matching postings are aggregated further.
+    queries has query_id and query. Documents are tokenised once: the index of the
+    asked terms is written, and lengths, frequencies and hits are read from it.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(latin_tokens(F.col("query")))).alias("term"))
-    tokens = docs.select(F.col(key), latin_tokens(F.col(text)).alias("tokens"))
-    rows = tokens.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    hits = rows.join(asked.select("term").distinct(), "term").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    stats = corpus_stats(docs, text)
-    weights = document_frequency(hits).crossJoin(F.broadcast(stats)).select("term", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
+    asked = materialise(asked_terms(queries), "asked")
+    index = materialise(lexical_index(docs, key, text, asked), "index")
+    hits = index.select(key, "len", F.explode("terms").alias("term", "tf"))
+    stats = index.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("mean")))
-    return hits.join(weights, "term").select(key, "term", part.alias("part")).join(asked, "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    return hits.join(_bounded(weights), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+
+
+def title_overlap(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, key, score: distinct terms of a query in the first line of a document, the catalogue's order."""
+    asked = materialise(asked_terms(queries), "asked")
+    titles = docs.select(F.col(key), F.split(F.col(text), "\n")[0].alias("title"))
+    hits = lexical_index(titles, key, "title", asked).select(key, F.explode(F.map_keys("terms")).alias("term"))
+    return hits.join(_bounded(asked), "term").groupBy("query_id", key).agg(F.count("*").cast("double").alias("score"))
 
 
 def phrase_bonus(text: Column, title: Column, query: Column) -> Column:
@@ -81,18 +138,114 @@ def normalised(vector: Column) -> Column:
     return F.when(fine, F.transform(v, lambda x: x / size))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine(vectors: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, score and the other columns: exact cosine of every vector with every asked one.
 
-    asked (query_id, q) is the stated query set: its size bounds the rows per vector.
+    asked (query_id, q) is the stated query set: its size bounds the rows per
+    vector, and it may have at most QUERY_BLOCK rows; nearest() takes any number.
     """
+    if asked.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError("too many asked vectors to return all scores; use nearest()")
     scan = vectors.withColumn("v", normalised(F.col(vector))).where("v is not null").drop(vector)
     block = asked.select("query_id", normalised(F.col("q")).alias("q")).where("q is not null")
-    return scan.join(F.broadcast(block), F.lit(True)).withColumn("score", dot(F.col("v"), F.col("q"))).drop("v", "q")
+    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return scan.join(F.broadcast(block), F.lit(True)).withColumn("score", dot).drop("v", "q")
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length one; zeros for null, empty, zero and non-finite ones."""
+    rows = [np.asarray(v, np.float64) if v else np.zeros(0) for v in vectors.to_pylist()]
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for at, r in enumerate(rows):
+        if len(r):
+            size = np.sqrt(r @ r)
+            if 0 < size < np.inf:
+                out[at, : len(r)] = r / size
+    return out
+
+
+def _vector_blocks(vectors: DataFrame, key: str, vector: str, group: str | None, size: int) -> DataFrame:
+    """keys, groups, dim, matrix: usable vectors in blocks of `size`, as bytes."""
+    kinds = [f"{vectors.schema[c].dataType.simpleString()}" for c in (key, group) if c]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                m = _matrix(some.column(some.num_columns - 1))
+                live = np.flatnonzero(m.any(1))
+                columns = [pa.array([some.column(i).take(pa.array(live)).to_pylist()], pa.list_(some.column(i).type)) for i in range(some.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([m.shape[1]], pa.int32()), pa.array([m[live].tobytes()], pa.binary())], names=names)
+
+    names = ["keys", *(["groups"] if group else []), "dim", "matrix"]
+    schema = ", ".join(f"{n} array<{k}>" for n, k in zip(names, kinds)) + ", dim int, matrix binary"
+    return vectors.select(key, *([group] if group else []), F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
+    """query_id, key, (group,) score: for every asked vector (query_id, q) at least its k best by exact cosine, of each group if there is one.
+
+    Blocks of vectors meet blocks of questions, never row by row. A pair of blocks
+    keeps the k best of each question and all that tie with them to nine places, so
+    ranks taken over the result are exact. Null, zero and non-finite vectors have no
+    neighbours.
+    """
+    worker_path(vectors.sparkSession)
+    left = _vector_blocks(vectors, key, vector, group, VECTOR_BLOCK)
+    right = materialise(_vector_blocks(asked, "query_id", "q", None, QUERY_BLOCK), "asked").select(F.col("keys").alias("queries"), F.col("dim").alias("asked_dim"), F.col("matrix").alias("asked_matrix"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {name: batch.column(i)[n] for i, name in enumerate(batch.schema.names)}
+                keys, queries = row["keys"].values, row["queries"].values
+                if not len(keys) or not len(queries):
+                    continue
+                a, b = (np.frombuffer(row[m].as_py()).reshape(-1, row[d].as_py()) for m, d in (("matrix", "dim"), ("asked_matrix", "asked_dim")))
+                if a.shape[1] != b.shape[1]:
+                    raise ValueError(f"vectors of {a.shape[1]} and {b.shape[1]} places cannot be compared")
+                scores = a @ b.T
+                rounded = np.round(scores, 9)
+                codes = row["groups"].values.dictionary_encode() if group else None
+                of = codes.indices.fill_null(-1).to_numpy() if group else np.zeros(len(keys), np.int64)
+                at, to = [], []
+                for g in np.unique(of):
+                    mine = np.flatnonzero(of == g)
+                    least = np.partition(rounded[mine], max(len(mine) - k, 0), axis=0)[max(len(mine) - k, 0)]
+                    i, j = np.nonzero(rounded[mine] >= least)
+                    at.append(mine[i])
+                    to.append(j)
+                at, to = np.concatenate(at), np.concatenate(to)
+                columns = [queries.take(pa.array(to)), keys.take(pa.array(at)), *([row["groups"].values.take(pa.array(at))] if group else []), pa.array(scores[at, to])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", key, *([group] if group else []), "score"])
+
+    fields = [f"query_id {asked.schema['query_id'].dataType.simpleString()}", *(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in (key, group) if c), "score double"]
+    return left.crossJoin(right).mapInArrow(run, ", ".join(fields))
+
+
+@lru_cache(maxsize=500_000)
+def _bucket(term: str, dim: int) -> tuple[int, float]:
+    digest = hashlib.sha256(term.encode()).digest()
+    return int.from_bytes(digest[:8], "big") % dim, 1.0 if digest[8] % 2 == 0 else -1.0
+
+
+def hash_vectors(docs: DataFrame, dim: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, embedding: the hashing embedding of whole texts, as hash_buckets() defines it, in one pass."""
+    worker_path(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            for n, t in enumerate(batch.column(1)):
+                tf = Counter(search_tokens(t.as_py()))
+                if tf:
+                    at, sign = zip(*(_bucket(w, dim) for w in tf))
+                    np.add.at(out[n], list(at), np.array(sign) * (1.0 + np.log(list(tf.values()))))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[key, "embedding"])
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
 def hash_buckets(index: DataFrame, dim: int, key: str = "doc_id") -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.constants import HITS_PER_VERSION, PROFILES, RERANK_POOL
+from lodestone.constants import HITS_PER_VERSION, PROFILES, RERANK_POOL, STOP_WORDS
 from lodestone.operators import ranking as R
 from lodestone.plans.registry import query
 from lodestone.session import table
 
-_TOKENS = "list_concat(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:[._/-][a-z0-9]+)+'))"
+# On these tables NFKC changes no token, so the SQL leaves it out.
+_TOKENS = f"""list_concat(list_concat(regexp_extract_all(lower(coalesce({{0}}, '')), '[a-z0-9]+'), regexp_extract_all(lower(coalesce({{0}}, '')), '[a-z0-9]+(?:[._/-][a-z0-9]+)+')),
+  list_filter(flatten(list_transform(regexp_extract_all({{0}}, '[㐀-鿿]+'), lambda r: CASE WHEN len(r) = 1 THEN [r] ELSE list_transform(range(1, len(r)), lambda i: r[i:i + 1]) END)), lambda w: w NOT IN {STOP_WORDS!r}))"""
 _BM25 = f"""
 q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format('text')})) AS term FROM benchmark),
 d AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents),
@@ -58,14 +60,14 @@ def bm25_grouped_top3(spark, sf_dir):
 SELECT term, count(DISTINCT doc_id) AS df, round(ln(1e0 + (n - count(DISTINCT doc_id) + 5e-1) / (count(DISTINCT doc_id) + 5e-1)), 6) AS idf FROM d, n GROUP BY term, n""")
 def df_idf_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    counts = R.document_frequency(R.postings(docs)).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
+    counts = R.document_frequency(docs).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
     return counts.select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"SELECT source, count(*) AS n_docs, sum(len({_TOKENS.format('text')}))::BIGINT AS n_tokens, round(avg(len({_TOKENS.format('text')})), 6) AS mean_tokens FROM documents GROUP BY source")
 def doc_length_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "source", "text").select("source", F.size(R.latin_tokens(F.col("text"))).alias("n"))
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("mean_tokens"))
+    docs = R.lexical_index(table(spark, sf_dir, "documents", "source", "text"), "source")
+    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_tokens"), F.round(F.avg("len"), 6).alias("mean_tokens"))
 
 
 @query(f"""WITH p AS (SELECT item_id, term, count(*) AS tf, sha256(term) AS h FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL)
@@ -76,38 +78,55 @@ def hash_embed_buckets(spark, sf_dir):
 
 
 _COS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
-c AS (SELECT q.vec_id AS query_id, u.vec_id, u.label, list_dot_product(q.e, u.e) AS score FROM u, u q WHERE q.vec_id < 8)"""
+c AS (SELECT q.vec_id AS query_id, u.vec_id, u.label, list_dot_product(q.e, u.e) AS score FROM u, u q WHERE q.vec_id % 20 = 0)"""
 
 
-def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, k: int, group: str | None = None) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20, against all."""
     vectors = table(spark, sf_dir, "embeddings")
-    return R.cosine(vectors, vectors.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.nearest(vectors, asked, k, group=group)
 
 
 @query(f"WITH {_COS} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM c) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    return R.top_k(_cosines(spark, sf_dir), 10, "query_id", "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return R.top_k(_nearest(spark, sf_dir, 10), 10, "query_id", "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_COS}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(score, 9) DESC, vec_id) AS hit FROM c),
 p AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS place FROM h WHERE hit = 1)
 SELECT query_id, label, vec_id, hit, place, round(score, 6) AS score FROM h JOIN p USING (query_id, label) WHERE hit <= 3 AND place <= 4""")
 def cosine_grouped_top3(spark, sf_dir):
-    return R.grouped_top(_cosines(spark, sf_dir), 4, "query_id", "label", "vec_id").select("query_id", "label", "vec_id", "hit", "place", F.round("score", 6).alias("score"))
-
-
-# Channels: BM25 rank; a catalogue order by text length; vectors have no text here.
-_CHANNELS = f"""{_BM25}, catalog AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY len(text) DESC, doc_id) AS rank
-  FROM (SELECT query_id, doc_id, text FROM ranked JOIN documents USING (doc_id) WHERE rank <= 40)),
-ch AS (SELECT query_id, doc_id AS unit_id, 'bm25' AS channel, rank FROM ranked WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, 'catalog', rank FROM catalog WHERE rank <= 20)"""
+    return R.grouped_top(_nearest(spark, sf_dir, 3, "label"), 4, "query_id", "label", "vec_id").select("query_id", "label", "vec_id", "hit", "place", F.round("score", 6).alias("score"))
+
+
+#: Places of the hashing embedding.
+DIM = 256
+_EMBED = """SELECT id, bucket, sum(s * (1e0 + ln(tf))) AS w FROM (
+    SELECT id, tf, (('0x' || h[1:16])::UHUGEINT % 256)::INTEGER AS bucket, CASE WHEN ('0x' || h[17:18])::INTEGER % 2 = 0 THEN 1e0 ELSE -1e0 END AS s
+    FROM (SELECT {0} AS id, term, count(*) AS tf, sha256(term) AS h FROM (SELECT {0}, unnest({1}) AS term FROM {2}) GROUP BY ALL)) GROUP BY ALL"""
+# Channels: BM25; the hashing embedding's cosine; the catalogue, by words of the question in the first line.
+_CHANNELS = f"""{_BM25},
+de AS ({_EMBED.format("doc_id", _TOKENS.format("text"), "documents")}), dn AS (SELECT id, sqrt(sum(w * w)) AS size FROM de GROUP BY id),
+qe AS ({_EMBED.format("item_id", _TOKENS.format("text"), "benchmark")}), qn AS (SELECT id, sqrt(sum(w * w)) AS size FROM qe GROUP BY id),
+cosines AS (SELECT qe.id AS query_id, de.id AS doc_id, sum((de.w / dn.size) * (qe.w / qn.size)) AS score FROM de JOIN qe USING (bucket) JOIN dn ON dn.id = de.id JOIN qn ON qn.id = qe.id WHERE dn.size > 0 AND qn.size > 0 GROUP BY ALL),
+vector AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM cosines WHERE round(score, 9) > 0),
+catalog AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, count(*) AS n FROM q JOIN (SELECT doc_id, unnest(list_distinct({_TOKENS.format("split_part(text, chr(10), 1)")})) AS term FROM documents) USING (term) GROUP BY ALL)),
+ch AS (SELECT query_id, doc_id AS unit_id, 'bm25' AS channel, rank FROM ranked WHERE rank <= 30
+  UNION ALL SELECT query_id, doc_id, 'vector', rank FROM vector WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, 'catalog', rank FROM catalog WHERE rank <= 20)"""
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.top_k(_scored(spark, sf_dir), 40, "query_id", "doc_id")
-    lexical = ranked.where("rank <= 30").select("query_id", F.col("doc_id").alias("unit_id"), F.lit("bm25").alias("channel"), "rank")
-    texts = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.length("text").cast("double").alias("score"))
-    by_size = R.top_k(ranked.select("query_id", "doc_id").join(texts, "doc_id"), 20, "query_id", "doc_id")
-    return lexical.unionByName(by_size.select("query_id", F.col("doc_id").alias("unit_id"), F.lit("catalog").alias("channel"), "rank"))
+    docs, questions = table(spark, sf_dir, "documents", "doc_id", "text"), _questions(spark, sf_dir)
+    asked = R.hash_vectors(questions, DIM, "query_id", "query").select("query_id", F.col("embedding").alias("q"))
+    found = (
+        ("bm25", 30, R.bm25(docs, questions)),
+        ("vector", 30, R.nearest(R.hash_vectors(docs, DIM), asked, 30, "doc_id").where(F.round("score", 9) > 0)),
+        ("catalog", 20, R.title_overlap(docs, questions)),
+    )
+    ranked = [R.top_k(rows, k, "query_id", "doc_id").select("query_id", F.col("doc_id").alias("unit_id"), F.lit(name).alias("channel"), "rank") for name, k, rows in found]
+    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
 
 
 @query(f"""WITH {_CHANNELS}, f AS (SELECT query_id, unit_id, sum(1e0 / (60 + rank)) AS score, count(*) AS n_channels FROM ch GROUP BY ALL)
@@ -167,7 +186,7 @@ def multi_query_merge(spark, sf_dir):
 
 @query(f"""WITH {_FUSED}, t AS (SELECT query_id, count(*) AS candidates FROM fr WHERE profile = 'semantic' GROUP BY query_id)
 SELECT t.query_id, candidates, least(candidates, 8) AS reranked, candidates - least(candidates, 8) AS unscored,
-  (SELECT count(*) FROM ch WHERE ch.query_id = t.query_id AND channel = 'bm25') AS n_bm25, 0::BIGINT AS n_vector, (SELECT count(*) FROM ch WHERE ch.query_id = t.query_id AND channel = 'catalog') AS n_catalog FROM t""")
+  (SELECT count(*) FROM ch WHERE ch.query_id = t.query_id AND channel = 'bm25') AS n_bm25, (SELECT count(*) FROM ch WHERE ch.query_id = t.query_id AND channel = 'vector') AS n_vector, (SELECT count(*) FROM ch WHERE ch.query_id = t.query_id AND channel = 'catalog') AS n_catalog FROM t""")
 def candidate_trace(spark, sf_dir):
     rows = _fused(spark, sf_dir).where("profile = 'semantic'").withColumn("rerank_score", F.when(F.col("fusion_rank") <= 8, F.col("score")))
     return R.candidate_trace(rows)
