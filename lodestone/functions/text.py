@@ -94,8 +94,18 @@ def redact(text: Column) -> Column:
 
 
 def quantities(text: Column) -> Column:
-    """Numbers with a unit as 'value unit' strings."""
-    return F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?\s?(?:%|bp|万元|亿元|元|天|days|kg|km))"), F.lit(1))
+    """Numbers with a unit as structs of unit and value, scaled so that equal quantities are equal: 1% is 100 bp, 1亿元 is 10000万元."""
+    found = F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?\s?(?:%|bp|万元|亿元|元|天|days|kg|km))"), F.lit(1))
+    scale = {"%": ("bp", "100"), "万元": ("元", "10000"), "亿元": ("元", "100000000"), "days": ("天", "1")}
+
+    def scaled(x: Column) -> Column:
+        unit, value = F.regexp_extract(x, r"([^\d.\s]+)$", 1), F.regexp_extract(x, r"^([\d.]+)", 1).try_cast("decimal(28,6)")
+        name, times = unit, F.lit("1")
+        for one, (base, factor) in scale.items():
+            name, times = F.when(unit == one, base).otherwise(name), F.when(unit == one, factor).otherwise(times)
+        return F.struct(name.alias("unit"), (value * times.cast("decimal(10,0)")).cast("decimal(38,6)").alias("value"))
+
+    return F.transform(found, scaled)
 
 
 def excerpt(text: Column, size: int = 280) -> Column:

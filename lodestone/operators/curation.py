@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,7 @@ from pyspark.sql.window import Window
 from lodestone.constants import GAP_RUNS, TITLE_SIMILARITY
 from lodestone.functions.similarity import may_reach, ratio
 from lodestone.functions.text import gap_key
+from lodestone.session import worker_path
 
 #: Titles of a band that meet others in one task.
 TITLE_CHUNK = 1_000
@@ -21,14 +25,14 @@ def body_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def body_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """a, b: every further row of a body with the first one, which names the group."""
-    hashed = docs.select(F.col(key).alias("b"), F.sha2(text, 256).alias("body"))
-    return hashed.withColumn("a", F.min("b").over(Window.partitionBy("body"))).where("a < b").select("a", "b")
+    hashed = docs.select(F.col(key).alias("b"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("body"))
+    return hashed.join(hashed.groupBy("body").agg(F.min("b").alias("a")), "body").where("a < b").select("a", "b")
 
 
 def name_pairs(names: DataFrame) -> DataFrame:
     """a, b: pages that share a name (page, name), each with the first page of the name."""
-    rows = names.select(F.col("page").alias("b"), "name").distinct()
-    return rows.withColumn("a", F.min("b").over(Window.partitionBy("name"))).where("a < b").select("a", "b").distinct()
+    rows = names.select(F.col("page").alias("b"), F.coalesce(F.concat(F.lit("="), F.col("name")), F.lit("")).alias("name"))
+    return rows.join(rows.groupBy("name").agg(F.min("b").alias("a")), "name").where("a < b").select("a", "b").distinct()
 
 
 def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY, chunk: int = TITLE_CHUNK) -> DataFrame:
@@ -179,18 +183,44 @@ def citation_map(paragraphs: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.groupBy("paragraph").agg(F.count("mark").alias("n_marks"), F.count("version").alias("n_linked"), F.countDistinct("version").alias("n_versions"))
 
 
-def mentions(names: DataFrame, pages: DataFrame, connected: DataFrame) -> DataFrame:
+def mentions(names: DataFrame, pages: DataFrame, connected: DataFrame, block: int = 200_000) -> DataFrame:
     """src, dst, n: pages whose text names another page often enough and that aren't connected yet.
 
-    names (dst, name) is the stated set that is looked up in all pages (src,
-    text), so it is broadcast in the size that Spark's threshold allows. A name of
-    eight characters counts from its first use, a shorter one from its second;
-    plain ASCII names need four.
+    names (dst, name) is the stated set that is looked up in all pages (src, text).
+    It is dealt to blocks of about `block` names; an automaton of each block reads
+    the pages once. A name of eight characters counts from its first use, a shorter
+    one from its second; plain ASCII names need four. Uses don't overlap.
     """
-    fit = names.where((F.length("name") >= 4) | ~F.col("name").rlike(r"^[\x00-\x7F]*$"))
-    rows = pages.join(fit, F.contains(F.col("text"), F.col("name")) & (F.col("src") != F.col("dst")))
-    n = ((F.length("text") - F.length(F.replace("text", "name", F.lit("")))) / F.length("name")).cast("long")
-    rows = rows.select("src", "dst", n.alias("n"), F.length("name").alias("size")).where("n >= 2 or size >= 8")
+    worker_path(pages.sparkSession)
+    fit = names.where((F.length("name") >= 4) | ((F.length("name") > 0) & ~F.col("name").rlike(r"^[\x00-\x7F]*$"))).distinct()
+    blocks = -(-fit.count() // block) or 1
+    source = pages.schema["src"].dataType.simpleString()
+
+    def found(part: list[str]) -> DataFrame:
+        shared = pages.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = ahocorasick.Automaton()
+            for name in shared.value:
+                auto.add_word(name, name)
+            auto.make_automaton()
+            for batch in batches:
+                at, of, times = [], [], []
+                for i, t in enumerate(batch.column(1)):
+                    text = t.as_py() or ""
+                    for name in {n for _, n in auto.iter(text)} if len(auto) else ():
+                        at.append(i)
+                        of.append(name)
+                        times.append(text.count(name))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(of, pa.string()), pa.array(times, pa.int64())], names=["src", "name", "n"])
+
+        return pages.select("src", "text").mapInArrow(run, f"src {source}, name string, n long")
+
+    rows = None
+    for at in range(blocks):
+        some = found([r[0] for r in fit.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == at).select("name").distinct().collect()])
+        rows = some if rows is None else rows.unionByName(some)
+    rows = rows.where((F.col("n") >= 2) | (F.length("name") >= 8)).join(fit, "name").where("src <> dst")
     return rows.groupBy("src", "dst").agg(F.sum("n").alias("n")).join(connected.select("src", "dst"), ["src", "dst"], "left_anti")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.sequences import numbered
+
 
 def fence(hits: DataFrame, catalog: DataFrame, *keys: str) -> DataFrame:
     """Hits whose identity and signature are those of the current catalogue."""
@@ -23,6 +25,8 @@ def verified_hits(hits: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def term_match(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """Keys whose text contains any term of a stated set of at most 24 (column term); the terms are one array, so rows are never multiplied."""
+    if terms.select("term").distinct().limit(25).count() > 24:
+        raise ValueError("more than 24 terms")
     asked = terms.agg(F.collect_set("term").alias("terms"))
     return docs.crossJoin(F.broadcast(asked)).where(F.exists("terms", lambda t: F.contains(F.col(text), t))).select(key).distinct()
 
@@ -61,14 +65,14 @@ def inbound_free(resources: DataFrame, links: DataFrame, purge: DataFrame) -> Da
 def title_links(statements: DataFrame, titles: DataFrame) -> DataFrame:
     """statement, page: named titles resolved by their base; of several the one of the statement's year, else none if still several.
 
-    statements: statement, base, year; titles: page, base, year. The base joins by
-    equality, so no statement meets all titles.
+    statements: statement, base, year; titles: page, base, year. Titles are counted
+    by base, and by base and year, so that no statement meets more than two rows.
     """
-    both = statements.join(titles.withColumnRenamed("year", "of"), "base")
-    w = Window.partitionBy("statement")
-    rows = both.withColumn("n", F.count("*").over(w)).withColumn("same", F.sum((F.col("of") == F.col("year")).cast("int")).over(w))
-    pick = (F.col("n") == 1) | ((F.col("same") == 1) & (F.col("of") == F.col("year")))
-    return rows.where(pick).select("statement", "page")
+    by_base = titles.groupBy("base").agg(F.count("*").alias("n"), F.min("page").alias("only"))
+    by_year = titles.groupBy("base", "year").agg(F.count("*").alias("same"), F.min("page").alias("dated"))
+    rows = statements.join(by_base, "base").join(by_year, ["base", "year"], "left")
+    page = F.when(F.col("n") == 1, F.col("only")).when(F.col("same") == 1, F.col("dated"))
+    return rows.select("statement", page.alias("page")).where("page is not null")
 
 
 def editions(titles: DataFrame) -> DataFrame:
@@ -149,8 +153,8 @@ def referenced(snapshots: DataFrame, resources: DataFrame) -> DataFrame:
 
 def catalog_ids(pages: DataFrame) -> DataFrame:
     """pages with id 'W1', 'W2', ...: knowledge first, then by title and version."""
-    order = Window.orderBy((F.col("kind") != "knowledge").cast("int"), "title", "version")
-    return pages.withColumn("id", F.concat(F.lit("W"), F.row_number().over(order)))
+    rows = pages.withColumn("__last", (F.col("kind") != "knowledge").cast("int"))
+    return numbered(rows, "__n", "__last", "title", "version").withColumn("id", F.concat(F.lit("W"), F.col("__n"))).drop("__n", "__last")
 
 
 def passage_conflicts(units: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def passage_conflicts(units: DataFrame) -> DataFrame:
 def routes(rows: DataFrame, primary: Column) -> DataFrame:
     """page, priority, queries: routes merged per page, primary ones first, the least priority counts."""
     out = rows.groupBy("page").agg(F.min("priority").alias("priority"), F.sort_array(F.collect_set("query")).alias("queries"), F.bool_or(primary).alias("primary"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("primary").desc(), "priority", "page")).cast("long"))
+    return numbered(out.withColumn("__last", ~F.col("primary")), "place", "__last", "priority", "page").drop("__last")
 
 
 def windows(length: Column, size: int, overlap: int) -> Column:

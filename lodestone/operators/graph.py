@@ -1,12 +1,14 @@
 """Graphs: edges, neighbourhoods, closures, roots, trees and DAGs.
 
 Closures run as frontier loops: each round is one join of the frontier with the
-edges and one anti-join with what is known, written to shared storage every few
-rounds, and only a row count comes back.
+edges and one anti-join with what is known, written to shared storage, and only
+whether rows are left comes back.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -88,20 +90,26 @@ def ready(steps: DataFrame, done: DataFrame) -> DataFrame:
     return steps.join(unmet, "step", "left_anti").join(finished, "step", "left_anti")
 
 
-def dag_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, level: rounds of peeling nodes without unpeeled predecessors; nodes on or behind a cycle get null."""
-    left, links = materialise(nodes.select("node"), "dag"), materialise(edges.select("src", "dst").distinct(), "dag")
-    peeled = None
-    for level in range(rounds):
-        blocked = links.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        free = materialise(left.join(blocked, "node", "left_anti"), "dag")
-        if free.isEmpty():
-            break
-        layer = free.select("node", F.lit(level).alias("level"))
-        peeled = layer if peeled is None else peeled.unionByName(layer)
-        left = materialise(left.join(free, "node", "left_anti"), "dag")
-    rest = left.select("node", F.lit(None).cast("int").alias("level"))
-    return rest if peeled is None else peeled.unionByName(rest)
+def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, level: rounds of peeling nodes without unpeeled predecessors; nodes on or behind a cycle get null.
+
+    Each round takes the edges of the nodes peeled last, so as many rounds run as
+    the graph is deep, over shrinking rest. Edges from what is no node count for nothing.
+    """
+    links = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    links = materialise(links, "links")
+    into = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"))
+    rest = materialise(nodes.select("node").distinct().join(into, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")), "dag")
+    layers, level = [], 0
+    while not rest.where("open = 0").isEmpty():
+        free = rest.where("open = 0").select("node")
+        layers.append(free.select("node", F.lit(level).alias("level")))
+        met = links.join(free.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"))
+        rest = materialise(rest.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "dag")
+        level += 1
+        if len(layers) == 40:  # a plan of few branches
+            layers = [materialise(reduce(DataFrame.unionByName, layers), "levels")]
+    return reduce(DataFrame.unionByName, layers, rest.select("node", F.lit(None).cast("int").alias("level")))
 
 
 def minimal_ranges(ranges: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -46,20 +48,31 @@ def after_failure(jobs: DataFrame, delays: tuple[int, ...] = RETRY_DELAYS) -> Da
 def idempotent(requests: DataFrame, identity: list[str], hours: int = IDEMPOTENCY_HOURS) -> DataFrame:
     """outcome of every request: FIRST, REPLAY, CONFLICT or IN_PROGRESS.
 
-    requests: identity columns, at, request_hash, done_at (null while running).
-    The record a request meets is the one opened last by a FIRST at most `hours`
-    before. Windows are dealt from each identity's first request, so that a
-    record lapses at a fixed time.
+    requests: identity columns, at, request_id, request_hash, done_at (null while
+    running). A record opens with the first request of an identity that meets none,
+    and lapses `hours` after it was opened; so a record that opens late moves all
+    later ones. The requests of an identity are walked in order, in constant memory.
     """
-    w = Window.partitionBy(*identity).orderBy("at", "request_id")
-    span = hours * 3600
-    first = F.min("at").over(Window.partitionBy(*identity))
-    rows = requests.withColumn("window", F.floor((F.unix_timestamp("at") - F.unix_timestamp(first)) / span))
-    opened = Window.partitionBy(*identity, "window").orderBy("at", "request_id")
-    head = lambda c: F.first(c).over(opened)
-    rows = rows.withColumn("_n", F.row_number().over(opened)).withColumn("_hash", head("request_hash")).withColumn("_done", head("done_at"))
-    outcome = F.when(F.col("_n") == 1, "FIRST").when(F.col("_hash") != F.col("request_hash"), "CONFLICT").when(F.col("_done").isNull() | (F.col("_done") > F.col("at")), "IN_PROGRESS").otherwise("REPLAY")
-    return rows.withColumn("outcome", outcome).drop("_n", "_hash", "_done")
+    rows = requests.drop("outcome")
+    span, names = hours * 3_600_000_000, rows.columns
+    order = ["at", "request_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, opened, known, done = None, 0, None, None
+        for batch in batches:
+            column = lambda c: batch.column(names.index(c))
+            micros = lambda c: column(c).cast(pa.timestamp("us", column(c).type.tz)).cast(pa.int64()).to_pylist()
+            keys, out = zip(*(column(c).to_pylist() for c in identity)), []
+            for key, at, sha, end in zip(keys, micros("at"), column("request_hash").to_pylist(), micros("done_at")):
+                if key != who or at - opened >= span:
+                    who, opened, known, done = key, at, sha, end
+                    out.append("FIRST")
+                else:
+                    out.append("CONFLICT" if sha != known else "IN_PROGRESS" if done is None or done > at else "REPLAY")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "outcome"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(*identity).sortWithinPartitions(*identity, *order).mapInArrow(run, f"{fields}, outcome string")
 
 
 def conflicts(requests: DataFrame, identity: list[str]) -> DataFrame:

@@ -316,15 +316,16 @@ def candidate_trace(units: DataFrame, query: str = "query_id") -> DataFrame:
     return rows.withColumn("unscored", F.col("candidates") - F.col("reranked"))
 
 
-def relevance(matches: DataFrame, terms: DataFrame, n_pages: int) -> DataFrame:
+def relevance(matches: DataFrame, terms: DataFrame, pages: DataFrame) -> DataFrame:
     """page, score: share of the question's inverse-frequency mass that a page matches.
 
     matches: page, term, where ('text' or 'category'), distinct; terms: term,
     subject. The subject's share counts 0.82, that of all terms 0.15, and the
-    category's 0.03.
+    category's 0.03. Of `pages` only the number counts.
     """
     counts = matches.where("where = 'text'").groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(counts, "term", "left").withColumn("mass", F.log(F.lit(1.0) + (F.lit(float(n_pages)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)))
+    known = terms.join(counts, "term", "left").crossJoin(F.broadcast(pages.agg(F.count("*").alias("n"))))
+    weighed = known.withColumn("mass", F.log(F.lit(1.0) + (F.col("n") + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5)))
     totals = weighed.agg(F.sum("mass").alias("total"), F.sum(F.when(F.col("subject"), F.col("mass"))).alias("subject_total"))
     rows = matches.join(weighed.select("term", "subject", "mass"), "term").crossJoin(F.broadcast(totals))
     text = F.col("where") == "text"

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from lodestone.session import materialise
+
 
 def islands(rows: DataFrame, by: list[str], order: str, starts: Column | None = None) -> DataFrame:
     """island: number of the contiguous run a row is in. A run ends where the order skips, or where `starts` holds."""
@@ -78,3 +80,17 @@ def fragments(text: Column, width: int) -> Column:
     count = F.ceil(F.length(text) / F.lit(width)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("index"), (i * width).alias("start"), F.substring(text, i * width + 1, F.lit(width)).alias("text")))
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<struct<index:int,start:int,text:string>>"))
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their place from 1 in an order over all of them, without one task that sees all.
+
+    Rows are dealt by ranges of the order and numbered inside them; only the
+    ranges' sizes are summed up. Ties and repeats get places of their own.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    held = materialise(dealt, "numbered")
+    sizes = held.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return held.withColumn(name, inside.cast("long")).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")

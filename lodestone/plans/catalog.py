@@ -77,13 +77,14 @@ def role_resolution(spark, sf_dir):
 
 
 @query(f"""WITH {_ROLES}, r AS (SELECT s_suppkey AS resource_id, s_nationkey AS space_id, s_acctbal < 3000 AS restricted FROM supplier)
-SELECT user_id, resource_id FROM r JOIN roles USING (space_id) WHERE NOT restricted OR (user_id + resource_id) % 4 = 0""")
+SELECT user_id, resource_id FROM r JOIN roles USING (space_id) WHERE user_id % 20 = 0 AND (NOT restricted OR (user_id, resource_id) IN (SELECT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey))""")
 def acl_readable(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier")
     resources = supplier.select(F.col("s_suppkey").alias("resource_id"), F.col("s_nationkey").alias("space_id"), (F.col("s_acctbal") < 3000).alias("restricted"), F.lit(None).cast("date").alias("deleted_at"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("home"))
-    grants = customers.join(resources, (F.col("user_id") + F.col("resource_id")) % 4 == 0).select("user_id", "resource_id", F.lit("read").alias("permission"))
-    return C.readable(resources, _roles(spark, sf_dir), grants).select("user_id", "resource_id")
+    bought = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_custkey % 20 = 0").join(table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    grants = bought.select(F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("resource_id"), F.lit("read").alias("permission"))
+    asked = _roles(spark, sf_dir).where("user_id % 20 = 0")  # the stated users; open resources come for each of them
+    return C.readable(resources, asked, grants).select("user_id", "resource_id")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")

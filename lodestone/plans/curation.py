@@ -54,11 +54,11 @@ def gap_aggregate(spark, sf_dir):
     return found.select("gap", "runs", F.array_min("own_run_ids").alias("first_run"))
 
 
-@query("""WITH r AS (SELECT user_id AS query_id, event_id % 400 AS page, CASE WHEN event_id % 3 = 0 THEN 'source' ELSE 'wiki' END AS kind FROM events WHERE event_id % 7 = 0)
+@query("""WITH r AS (SELECT user_id AS query_id, event_id % 400 AS page, CASE WHEN event_id % 3 = 0 THEN 'source' ELSE 'wiki' END AS kind FROM events)
 SELECT query_id, CASE WHEN bool_or(page % 23 = 0 AND kind = 'source') THEN 'SOURCE_READ' WHEN bool_or(page % 23 = 0 AND kind = 'wiki') THEN 'WIKI_ONLY' ELSE 'UNREAD' END AS state, count(DISTINCT page) FILTER (page % 23 <> 0) AS n_next FROM r GROUP BY query_id""")
 def query_coverage(spark, sf_dir):
     e = F.col("event_id")
-    routes = table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("query_id"), (e % 400).alias("page"), F.when(e % 3 == 0, "source").otherwise("wiki").alias("kind"))
+    routes = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), (e % 400).alias("page"), F.when(e % 3 == 0, "source").otherwise("wiki").alias("kind"))
     read = spark.range(400).where("id % 23 = 0").withColumnRenamed("id", "page")
     return C.query_coverage(routes, read).select("query_id", "state", F.size("next").cast("long").alias("n_next"))
 
@@ -92,10 +92,10 @@ def alias_collisions(spark, sf_dir):
     return C.collisions(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("target")))
 
 
-@query("SELECT p_partkey AS passage, CASE WHEN p_size % 2 = 1 THEN 'REJECTED' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) THEN 'EXTRACTED' ELSE 'NEEDS_REVIEW' END AS status FROM part")
+@query("SELECT p_partkey AS passage, CASE WHEN p_size % 2 = 1 THEN 'REJECTED' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') THEN 'EXTRACTED' ELSE 'NEEDS_REVIEW' END AS status FROM part")
 def cited_only_disposition(spark, sf_dir):
     passages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("passage"), F.when(F.col("p_size") % 2 == 1, "REJECTED").otherwise("EXTRACTED").alias("status"))
-    cited = table(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey").where("l_orderkey % 100 = 0").select(F.col("l_partkey").alias("passage"))
+    cited = table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("passage"))
     return C.dispositions(passages, cited)
 
 

@@ -8,18 +8,17 @@ from lodestone.operators import graph as G
 from lodestone.plans.registry import query
 from lodestone.session import table
 
-_ZIG = "zig AS (SELECT DISTINCT 'p' || l_partkey % 400 AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_partkey % 400 < 200 AND l_orderkey % 17 = 0)"
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 100000 AS dst FROM lineitem WHERE l_orderkey % 50 = 0)"
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 100000 AS dst FROM lineitem)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_orderkey").where("l_orderkey % 50 = 0")
+    rows = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey")
     return rows.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst")).distinct()
 
 
-@query("SELECT l_partkey AS src, l_suppkey + 100000 AS dst, CASE WHEN l_returnflag = 'R' THEN 'CITES' ELSE 'REQUIRES' END AS type, count(DISTINCT l_linenumber) AS n_anchors FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL")
+@query("SELECT l_partkey AS src, l_suppkey + 100000 AS dst, CASE WHEN l_returnflag = 'R' THEN 'CITES' ELSE 'REQUIRES' END AS type, count(DISTINCT l_linenumber) AS n_anchors FROM lineitem GROUP BY ALL")
 def edge_assembly(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst"), "l_returnflag", F.col("l_linenumber").alias("anchor"), F.lit("relation").alias("origin"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst"), "l_returnflag", F.col("l_linenumber").alias("anchor"), F.lit("relation").alias("origin"))
     cites = rows.where("l_returnflag = 'R'").drop("l_returnflag").withColumn("type", F.lit("CITES"))
     needs = rows.where("l_returnflag <> 'R'").drop("l_returnflag").withColumn("type", F.lit("REQUIRES"))
     return G.assemble(cites, needs).select("src", "dst", "type", F.size("anchors").cast("long").alias("n_anchors"))
@@ -72,10 +71,10 @@ def canonical_root(spark, sf_dir):
     return G.roots(table(spark, sf_dir, "part", "p_partkey").select(key.alias("node"), target.cast("long").alias("target"))).na.fill(-1)
 
 
-@query(f"""WITH RECURSIVE {_HALF}, f AS (SELECT * FROM h WHERE src % 7 <> 0), r(root, node, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 100 UNION SELECT root, dst, n + 1 FROM r JOIN f ON src = node WHERE n < 20)
+@query(f"""WITH RECURSIVE {_HALF}, f AS (SELECT * FROM h WHERE src % 7 <> 0), r(root, node, n) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT root, dst, n + 1 FROM r JOIN f ON src = node WHERE n < 20)
 SELECT root, node FROM r WHERE node NOT IN (SELECT src FROM f)""")
 def successor_leaves(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part", "p_partkey").where("p_partkey > 100").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("node"))
+    seeds = table(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("node"))
     return G.leaves(_halves(spark, sf_dir).where("src % 7 <> 0"), seeds, 20)
 
 
@@ -86,10 +85,10 @@ def dag_ready_steps(spark, sf_dir):
     return G.ready(steps, steps.select("step").where("step % 3 = 0")).select("step")
 
 
-@query("WITH RECURSIVE p AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= 500), r(node, level) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT p.node, level + 1 FROM r JOIN p ON p.node // 2 = r.node) SELECT node, level FROM r")
+@query("WITH RECURSIVE p AS (SELECT p_partkey AS node FROM part), r(node, level) AS (SELECT node, 0 FROM p WHERE node <= 1 UNION ALL SELECT p.node, level + 1 FROM r JOIN p ON p.node // 2 = r.node WHERE p.node > 1) SELECT node, level FROM r")
 def dag_levels(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part", "p_partkey").where("p_partkey between 1 and 500").select(F.col("p_partkey").alias("node"))
-    edges = _halves(spark, sf_dir).where("src <= 500").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = table(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("node"))
+    edges = _halves(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return G.dag_levels(nodes, edges)
 
 
@@ -113,14 +112,14 @@ def outermost_sections(spark, sf_dir):
     return G.outermost(_ranges(spark, sf_dir)[0]).select("doc", F.col("section").cast("long").alias("section"))
 
 
-_STAMP = "n AS (SELECT p_partkey AS node, p_name AS own FROM part WHERE p_partkey < 200)"
+_STAMP = "n AS (SELECT p_partkey AS node, p_name AS own FROM part)"
 
 
 @query(f"""WITH {_STAMP}, a AS (SELECT node, sha256(own) AS stamp FROM n),
 b AS (SELECT n.node, sha256(n.own || coalesce(string_agg(a.stamp, '' ORDER BY a.stamp), '')) AS stamp FROM n LEFT JOIN a ON a.node // 2 = n.node AND a.node > 1 GROUP BY n.node, n.own),
 c AS (SELECT n.node, sha256(n.own || coalesce(string_agg(b.stamp, '' ORDER BY b.stamp), '')) AS stamp FROM n LEFT JOIN b ON b.node // 2 = n.node AND b.node > 1 GROUP BY n.node, n.own) SELECT node, stamp FROM c""")
 def merkle_stamp(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part", "p_partkey", "p_name").where("p_partkey < 200").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("own"))
+    nodes = table(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("own"))
     edges = nodes.where("node > 1").select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst"))
     return G.stamps(nodes, edges, 2)
 

@@ -40,15 +40,20 @@ def retry_state(spark, sf_dir):
     return J.after_failure(rows).select("job_id", "next_state", F.coalesce("delay_s", F.lit(-1)).alias("delay_s"))
 
 
-@query("SELECT user_id, event_type, count(DISTINCT props) AS n_hashes, count(*) AS n FROM events WHERE event_id % 50 < 3 GROUP BY ALL HAVING count(DISTINCT props) > 1")
+@query("SELECT user_id, event_type, count(DISTINCT props) AS n_hashes, count(*) AS n FROM events GROUP BY ALL HAVING count(DISTINCT props) > 1")
 def idempotency_conflicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 50 < 3").withColumnRenamed("props", "request_hash")
+    rows = table(spark, sf_dir, "events").withColumnRenamed("props", "request_hash")
     return J.conflicts(rows, ["user_id", "event_type"])
 
 
-@query("""WITH e AS (SELECT *, floor((epoch(ts)::BIGINT - epoch(min(ts) OVER (PARTITION BY user_id, event_type))::BIGINT) / 86400) AS w, props::JSON->>'k' AS h FROM events),
-f AS (SELECT *, row_number() OVER o AS n, first_value(h) OVER o AS h0, first_value(ts) OVER o AS t0 FROM e WINDOW o AS (PARTITION BY user_id, event_type, w ORDER BY ts, event_id))
-SELECT event_id, CASE WHEN n = 1 THEN 'FIRST' WHEN h0 <> h THEN 'CONFLICT' WHEN t0 + INTERVAL 1 HOUR > ts THEN 'IN_PROGRESS' ELSE 'REPLAY' END AS outcome FROM f""")
+# A record opens with the first request of its identity that no record in force meets, and is in force for 24 hours.
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts, props::JSON->>'k' AS h, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+t AS (SELECT user_id, event_type, ts, min(n) AS n FROM e GROUP BY ALL),
+later AS MATERIALIZED (SELECT t.user_id, t.event_type, t.n, x.n AS opens FROM t ASOF JOIN t x ON t.user_id = x.user_id AND t.event_type = x.event_type AND t.ts + INTERVAL 24 HOUR <= x.ts),
+record(user_id, event_type, n) AS (SELECT DISTINCT user_id, event_type, 1::BIGINT FROM e UNION ALL SELECT r.user_id, r.event_type, l.opens FROM record r JOIN later l USING (user_id, event_type, n)),
+f AS (SELECT e.event_id, e.n, e.ts, e.h, r.n AS n0, o.h AS h0, o.ts AS t0 FROM e ASOF JOIN record r ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n >= r.n
+  JOIN e o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.n = r.n)
+SELECT event_id, CASE WHEN n = n0 THEN 'FIRST' WHEN h0 <> h THEN 'CONFLICT' WHEN t0 + INTERVAL 1 HOUR > ts THEN 'IN_PROGRESS' ELSE 'REPLAY' END AS outcome FROM f""")
 def idempotent_replay(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("request_id"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").alias("request_hash"), (F.col("ts") + F.expr("interval 1 hour")).alias("done_at"))
     return J.idempotent(rows, ["user_id", "event_type"]).select(F.col("request_id").alias("event_id"), "outcome")

@@ -7,9 +7,13 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lodestone.session import worker_path
+
 #: File kinds that are taken, and the limit on their size.
 EXTENSIONS = ("pdf", "docx", "xlsx", "txt", "md", "html", "png", "jpg")
 MAX_BYTES = 100 << 20
@@ -57,10 +61,22 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ordinal, line (from 1), char_start, text, content_sha256: a block per line that isn't blank."""
-    lines = F.split(F.col(text), "\n")
-    starts = F.transform(lines, lambda l, i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    rows = docs.select(key, F.posexplode(F.arrays_zip(lines.alias("t"), starts.alias("s"))).alias("i", "z")).where(F.trim("z.t") != "")
-    return rows.select(key, F.col("i").cast("long").alias("ordinal"), (F.col("i") + 1).cast("long").alias("line"), F.col("z.s").cast("long").alias("char_start"), F.col("z.t").alias("text"), F.sha2("z.t", 256).alias("content_sha256"))
+    worker_path(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if not (body := batch.column(1)[k].as_py()):
+                    continue
+                lines = body.split("\n")
+                starts = np.cumsum([0, *(len(line) + 1 for line in lines[:-1])])
+                at = [n for n, line in enumerate(lines) if line.strip(" ")]
+                columns = [batch.column(0).take(pa.array(np.full(len(at), k))), pa.array(at, pa.int64()), pa.array(starts[at], pa.int64()), pa.array([lines[n] for n in at], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "ordinal", "char_start", "text"])
+
+    rows = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, ordinal long, char_start long, text string")
+    return rows.select(key, "ordinal", (F.col("ordinal") + 1).alias("line"), "char_start", "text", F.sha2("text", 256).alias("content_sha256"))
 
 
 def block_text(kind: Column, data: Column) -> Column:
