@@ -32,3 +32,16 @@ GAP_RUNS = 500
 
 TITLE_SIMILARITY = 0.82
 EFFECTIVE_OFFSET = "+08:00"
+
+# Phrases and words that carry no subject, for the terms that reading plans discover pages by.
+DISCOVERY_STOPS = ("有哪些", "为什么", "怎么样", "如何", "怎么", "什么", "是否", "请问", "分别", "以及", "同时", "应该", "需要", "进行", "有关", "相关")
+DISCOVERY_STOP_CHARACTERS = "的了是在和与及或等请吗呢"
+DISCOVERY_STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "is", "are", "how", "what", "which", "please")
+ACTION_PHRASES = (
+    "过程中", "过程", "业务", "估值", "定值", "处理", "核算", "会计", "计量", "测算", "计算", "操作", "流程", "方法", "标准", "指引", "准则", "规则", "规定", "实务", "事项", "问题", "情况", "场景",
+    "具体", "详细", "说明", "介绍", "确定", "确认", "关于", "对于", "针对", "涉及", "应当", "应如何",
+)
+#: A star stands for any ending.
+ACTION_WORDS = ("business", "valu*", "accounting", "treatment", "process*", "handl*", "measur*", "calculat*", "method*", "standard*", "guidance", "rule*", "operation*", "explain", "describe")
+ROUTER_STOPS = ("如何", "怎么", "什么", "哪些", "是否", "请问", "应当", "需要", "进行", "处理", "流程", "规则", "方法")
+ROUTER_STOP_WORDS = ("how", "what", "which", "the", "and", "with", "for", "from", "does", "should", "please")
