@@ -31,3 +31,16 @@ def test_html():
     assert [b[:3] for b in H.html_blocks(page)] == [("heading", 1, "A&B"), ("paragraph", 0, "x y z"), ("table", 0, "1\t2\n3\t"), ("list", 0, "i")]
     assert H.html_blocks(None) == []
     assert H.sanitize('<p onclick="x">a<script>alert(1)</script><a href="javascript:x">b</a><a href="/c">d</a>') == '<p>a<a>b</a><a href="/c">d</a></p>'
+
+
+def test_rows_of_texts_equal_their_functions(spark):
+    from lodestone.functions import structure as S
+    from lodestone.operators import structure as O
+
+    data = [(1, "a\nb\n\nc.\nd\n" + "x" * 100), (2, None), (3, ""), (4, "第一条 总则\n" * 3), (1, "twice")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    want = sorted((k, *r) for k, t in data if t is not None for r in S.merge_lines(t.split("\n")))
+    assert sorted(map(tuple, O.merged_lines(df).collect())) == want
+    want = sorted((k, n) for k, t in data if t is not None for n, *_ in S.outline(t.split("\n")))
+    assert sorted((r["doc_id"], r["section"]) for r in O.sections(df).collect()) == want
+    assert O.headings(df.where("false")).count() == 0 and O.packets(df, 7).groupBy("doc_id").count().count() == 2
