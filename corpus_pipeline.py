@@ -24,7 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every near-duplicate class."""
+    """The document of least doc_id of every near-duplicate class.
+
+    Null and empty texts have one fingerprint, so one document of them stays. All
+    rows of a doc_id stay or go together; rows without one stay.
+    """
     copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
 
@@ -38,14 +42,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark windows."""
+    """Documents of which less than a twentieth lies in benchmark windows.
+
+    Null and empty texts stay. All rows of a doc_id go if one of them is contaminated; rows without one stay.
+    """
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     bad = found.where(decontaminate.contaminated()).select("doc_id").distinct()
     return docs.select(COLUMNS).join(bad, "doc_id", "left_anti").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 token ids."""
+    """Sequences of at most 2048 token ids. A null or empty text is its end id; repeated rows and null keys are packed row by row."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
