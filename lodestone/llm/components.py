@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each node with an edge can reach.
 
     edges has two columns of nodes; loops, repeats and nulls are dropped first.
@@ -32,9 +32,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     a, b = edges.columns
     clean = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     stars = materialise(clean, "edges")
-    for _ in range(rounds):
+    while True:  # the stars settle after about the squared logarithm of the nodes, at most
         inner = stars.select(F.col("v").alias("u")).distinct().join(stars.select("u"), "u", "left_semi")
         if inner.isEmpty() and not stars.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").take(1):
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         stars = materialise(_small_star(_large_star(stars)), "stars")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

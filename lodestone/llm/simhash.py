@@ -15,7 +15,8 @@ from lodestone.session import materialise, worker_path
 
 #: Fingerprints in a bucket beyond which it is dealt out anew by further bits.
 BUCKET = 8_000
-#: Depth of such dealing: beyond it (31 bits fixed, at least) buckets are joined as they are.
+#: Depth of such dealing: beyond it (31 bits fixed, at least) a bucket is joined as it is, in the memory of one
+#: task (about 100 bytes for a fingerprint); its fingerprints are distinct and share these bits.
 DEPTH = 3
 #: Node pairs followed, and places compared, at once.
 FRONT = 100_000
@@ -194,17 +195,21 @@ def _links(buckets: DataFrame, budget: int, batch_rows: int = 200_000) -> DataFr
             low = root != np.arange(len(root))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[root[low]])], names=["a", "b"])
 
-        held, rows = [], 0
+        held, rows = [], 0  # a bucket that goes on is only joined to when it ends
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(4)])
-            rows += batch.num_rows
-            if rows >= batch_rows:
-                ids, vals, fps, nodes = map(np.concatenate, zip(*held))
-                last = np.flatnonzero((ids != ids[-1]) | (vals != vals[-1]))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                yield from joined(ids[:cut], vals[:cut], fps[:cut], nodes[:cut])
-                held = [[x[cut:] for x in (ids, vals, fps, nodes)]]
-                rows = len(ids) - cut
+            some = [batch.column(i).to_numpy() for i in range(4)]
+            ids, vals = some[:2]
+            ends = np.flatnonzero((ids[1:] != ids[:-1]) | (vals[1:] != vals[:-1])) + 1
+            if held and batch.num_rows and (held[-1][0][-1], held[-1][1][-1]) != (ids[0], vals[0]):
+                ends = np.concatenate([[0], ends])
+            if rows + batch.num_rows >= batch_rows and len(ends):
+                cut = int(ends[-1])
+                yield from joined(*map(np.concatenate, zip(*held, [x[:cut] for x in some])))
+                held, rows = [], 0
+                some = [x[cut:] for x in some]
+            if len(some[0]):
+                held.append(some)
+                rows += len(some[0])
         if held:
             yield from joined(*map(np.concatenate, zip(*held)))
 
@@ -216,7 +221,7 @@ def _links(buckets: DataFrame, budget: int, batch_rows: int = 200_000) -> DataFr
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, budget: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Fingerprint and near-duplicate class of every row.
 
-    Returns key (long), fingerprint (16 hex digits), component_id: the smallest
+    The key is an integer. Returns key (long), fingerprint (16 hex digits), component_id: the smallest
     key reachable over links between fingerprints of at most `budget` differing
     bits. A text without words (null, empty) has fingerprint zero and is linked
     like any other. Rows that share a key are one document. A row with a null key

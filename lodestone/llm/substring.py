@@ -242,7 +242,7 @@ def kept_words(text: str | None, spans: list[list[int]] | None) -> tuple[int, li
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Remove every word in a window of `width` words that also starts in a document of a smaller key.
+    """Remove every word in a window of `width` words that also starts in a document of a smaller key (an integer).
 
     Returns the columns of docs with n_words, n_removed, kept_text (the words that
     stay, joined by one space) and spans (removed word spans, unmerged; null if

@@ -1,13 +1,15 @@
 """Laws that hold at every size: one more shard, and short documents."""
 
+import math
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from lodestone.llm import decontaminate, packing, queries, sharding
-from tests.llm.test_operators import brute_contamination
+from lodestone.llm import decontaminate, packing, quality, queries, sharding, simhash, substring, tokencount, tokenfile, toxicity
+from tests.llm.test_operators import BPE, brute_classes, brute_contamination, brute_fingerprint, brute_quality, brute_substring
 from tests.test_oracles import canonical
 
 
@@ -67,3 +69,68 @@ def test_very_long_texts_and_items(spark):
     assert found[2]["n_hit"] == 30_000 and found[2]["items"] == ["the"] and found[3]["n_words"] == 0
     want = brute_contamination(data[3:], items)
     assert [(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), None) for r in [found[4]]] == [(*want[0][:4], None)]
+
+
+def test_one_very_long_text_through_all_operators(spark, tmp_path):
+    rng = random.Random(8)
+    long = " ".join(rng.choices([f"word{i}" for i in range(3000)], k=120_000))
+    data = [(1, long), (2, "short " + long[5000:6000]), (3, long), (4, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    tok = Tokenizer.from_file(BPE)
+    ids = {k: tok.encode(t or "", add_special_tokens=False).ids for k, t in data}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs, BPE).collect()} == {k: len(v) for k, v in ids.items()}
+    near = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert near == {k: (f"{brute_fingerprint(t):016x}", {3: 1}.get(k, k)) for k, t in data}
+    cut = {r["doc_id"]: r["n_removed"] for r in substring.dedup(docs).collect()}
+    assert cut[1] == cut[4] == 0 and cut[3] == 120_000 and cut[2] == {r[0]: r[2] for r in brute_substring(data[:2])}[2] > 50
+    packed: dict = {}
+    for r in packing.pack(docs, BPE, end_id=1).collect():
+        packed.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    assert {k: [i for _, some in sorted(v) for i in some] for k, v in packed.items()} == {k: [*v, 1] for k, v in ids.items()}
+    path = f"file://{tmp_path}/long"
+    tokenfile.write(docs, path, BPE, end_id=2)
+    assert {r["doc_id"]: r["ids"] for r in tokenfile.read(spark, path).collect()} == {k: [*v, 2] for k, v in ids.items()}
+    found = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.ledger(docs).collect()}
+    assert found == {k: brute_quality(t) for k, t in data}
+
+
+def test_ftrl_equals_its_definition():
+    rng = random.Random(3)
+    rows = [(np.array(sorted(rng.sample(range(1, 60), 8)) + [0], np.int64), rng.randint(0, 1)) for _ in range(80)]
+    f = toxicity.Ftrl(l1=0.5, epochs=3)
+    z, n = [0.0] * 64, [0.0] * 64
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= f.l1 else -(z[i] - math.copysign(f.l1, z[i])) / ((f.beta + math.sqrt(n[i])) / f.alpha + f.l2)
+
+    ones = sum(y for _, y in rows)
+    odds = (len(rows) - ones) / ones
+    for _ in range(f.epochs):
+        for at, y in rows:
+            w = {int(i): weight(i) for i in at}
+            g = (max(1, min(f.balance, odds)) if y else max(1, min(f.balance, 1 / odds))) * (1 / (1 + math.exp(-sum(w.values()))) - y)
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / f.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    assert np.allclose(toxicity.train(rows, f, 6), [weight(i) for i in range(64)], atol=1e-12)
+
+
+def test_buckets_that_span_batches(spark):
+    rng = random.Random(2)
+    rows = [(1, b, fp, 1000 * b + n) for b in range(6) for n, fp in enumerate(sorted({rng.getrandbits(12) for _ in range(40)}))]
+    want = set()
+    for b in range(6):
+        of = {n: fp for _, v, fp, n in rows if v == b}
+        want |= set(brute_classes(of, 1).items())
+    df = spark.createDataFrame(rows, "id int, val long, fp long, node long").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        links = [(r["a"], r["b"]) for r in simhash._links(df, 1, batch_rows=50).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    root = {n: n for *_, n in rows}
+    for _ in range(50):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root.items()) == want
