@@ -108,6 +108,13 @@ def quantities(text: Column) -> Column:
     return F.transform(found, scaled)
 
 
+def deletions_only(sentence: Column, narrowed: Column) -> Column:
+    """Whether a narrowed sentence is the sentence with characters deleted, none added or moved; null if either is."""
+    letters = F.filter(F.split(narrowed, ""), lambda c: c != "")
+    after = lambda at, c: F.when(at < 0, -1).otherwise(F.coalesce(F.nullif(F.call_function("locate", c, sentence, at + 1), F.lit(0)), F.lit(-1)))
+    return F.when(sentence.isNotNull(), F.aggregate(letters, F.lit(0), after) >= 0)
+
+
 def excerpt(text: Column, size: int = 280) -> Column:
     """The first characters of a text."""
     return F.substring(text, 1, size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -183,21 +184,19 @@ def citation_map(paragraphs: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.groupBy("paragraph").agg(F.count("mark").alias("n_marks"), F.count("version").alias("n_linked"), F.countDistinct("version").alias("n_versions"))
 
 
-def mentions(names: DataFrame, pages: DataFrame, connected: DataFrame, block: int = 200_000) -> DataFrame:
-    """src, dst, n: pages whose text names another page often enough and that aren't connected yet.
+def occurrences(names: DataFrame, texts: DataFrame, block: int = 200_000) -> DataFrame:
+    """src, name, n: how often each text (src, text) holds each name (name); uses of one name don't overlap.
 
-    names (dst, name) is the stated set that is looked up in all pages (src, text).
-    It is dealt to blocks of about `block` names; an automaton of each block reads
-    the pages once. A name of eight characters counts from its first use, a shorter
-    one from its second; plain ASCII names need four. Uses don't overlap.
+    Names are dealt to blocks of about `block`; an automaton of each block reads the
+    texts once, so no name meets a text that doesn't hold it.
     """
-    worker_path(pages.sparkSession)
-    fit = names.where((F.length("name") >= 4) | ((F.length("name") > 0) & ~F.col("name").rlike(r"^[\x00-\x7F]*$"))).distinct()
+    worker_path(texts.sparkSession)
+    fit = names.select("name").where("name <> ''").distinct()
     blocks = -(-fit.count() // block) or 1
-    source = pages.schema["src"].dataType.simpleString()
+    source = texts.schema["src"].dataType.simpleString()
 
     def found(part: list[str]) -> DataFrame:
-        shared = pages.sparkSession.sparkContext.broadcast(part)
+        shared = texts.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = ahocorasick.Automaton()
@@ -214,13 +213,21 @@ def mentions(names: DataFrame, pages: DataFrame, connected: DataFrame, block: in
                         times.append(text.count(name))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(of, pa.string()), pa.array(times, pa.int64())], names=["src", "name", "n"])
 
-        return pages.select("src", "text").mapInArrow(run, f"src {source}, name string, n long")
+        return texts.select("src", "text").mapInArrow(run, f"src {source}, name string, n long")
+
+    parts = [found([r[0] for r in fit.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == at).collect()]) for at in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
 
-    rows = None
-    for at in range(blocks):
-        some = found([r[0] for r in fit.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == at).select("name").distinct().collect()])
-        rows = some if rows is None else rows.unionByName(some)
-    rows = rows.where((F.col("n") >= 2) | (F.length("name") >= 8)).join(fit, "name").where("src <> dst")
+def mentions(names: DataFrame, pages: DataFrame, connected: DataFrame, block: int = 200_000) -> DataFrame:
+    """src, dst, n: pages whose text names another page often enough and that aren't connected yet.
+
+    names (dst, name) are looked up in all pages (src, text). A name of eight
+    characters counts from its first use, a shorter one from its second; plain
+    ASCII names need four.
+    """
+    fit = names.where((F.length("name") >= 4) | ~F.col("name").rlike(r"^[\x00-\x7F]*$")).distinct()
+    rows = occurrences(fit, pages, block).where((F.col("n") >= 2) | (F.length("name") >= 8)).join(fit, "name").where("src <> dst")
     return rows.groupBy("src", "dst").agg(F.sum("n").alias("n")).join(connected.select("src", "dst"), ["src", "dst"], "left_anti")
 
 

@@ -75,6 +75,41 @@ def title_links(statements: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.select("statement", page.alias("page")).where("page is not null")
 
 
+def title_matches(named: DataFrame, titles: DataFrame) -> DataFrame:
+    """Named titles with every page they may mean: the columns of named, and page, of_base, of_year.
+
+    named: full, base, version (its edition, null: none) and any other columns but
+    those of titles. titles: page, title, own (the title without what publishes it),
+    base, version, year. Bases under six characters match nothing, different
+    editions never match, and a named edition matches an unversioned page only by
+    the full title. Otherwise full titles or bases are equal, or the page's own title holds a
+    base of ten characters or more: equal ones are joined, held ones looked up by an automaton.
+    """
+    from lodestone.operators.curation import occurrences
+
+    fit = named.where(F.length("base") >= 6)
+    pages = titles.where("title <> ''").select("page", "title", "own", F.col("base").alias("of_base"), F.col("version").alias("of_version"), F.col("year").alias("of_year"))
+    long = fit.where(F.length("base") >= 10)
+    held = occurrences(long.select(F.col("base").alias("name")), pages.select(F.col("page").alias("src"), F.col("own").alias("text"))).select(F.col("src").alias("page"), F.col("name").alias("base"))
+    rows = fit.join(pages, F.col("full") == F.col("title")).unionByName(fit.join(pages, F.col("base") == F.col("of_base"))).unionByName(long.join(held.join(pages, "page"), "base").select(*fit.columns, *pages.columns))
+    apart = F.col("version").isNotNull() & (F.col("of_version").isNull() & (F.col("full") != F.col("title")) | (F.col("of_version") != F.col("version")))
+    return rows.where(~F.coalesce(apart, F.lit(False))).select(*named.columns, "page", "of_base", "of_year").distinct()
+
+
+def abolitions(named: DataFrame, titles: DataFrame) -> DataFrame:
+    """source, page, partial: what a page (source, of a year) repeals, whole or in part; never itself or an edition dated after it."""
+    rows = title_matches(named, titles).where("source <> page")
+    return rows.where(~F.coalesce(F.col("of_year") > F.col("year"), F.lit(False))).select("source", "page", "partial").distinct()
+
+
+def publications(named: DataFrame, titles: DataFrame) -> DataFrame:
+    """source, page: what a page (source, own_base, year) publishes; of several editions those of its year, if there are any. Never its own base."""
+    rows = title_matches(named, titles).where("source <> page and of_base <> own_base")
+    same = F.coalesce(F.col("of_year") == F.col("year"), F.lit(False))
+    by = rows.groupBy("source", "full").agg(F.countDistinct("page").alias("n"), F.bool_or(same).alias("dated"))
+    return rows.join(by, ["source", "full"]).where((F.col("n") == 1) | ~F.col("dated") | same).select("source", "page").distinct()
+
+
 def editions(titles: DataFrame) -> DataFrame:
     """page, next_page: each edition and the next newer one of the same base and kind of version key.
 

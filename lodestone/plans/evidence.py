@@ -71,6 +71,49 @@ def title_links(spark, sf_dir):
     return E.title_links(statements, titles)
 
 
+# Every part is a rule with an edition in two of three cases; every supplier names rules, with an edition in every second.
+_TITLES = """t AS (SELECT p_partkey AS page, p_name || CASE WHEN p_size % 3 > 0 THEN ' ' || (2000 + p_size % 3) ELSE '' END AS title, p_name AS base, CASE WHEN p_size % 3 > 0 THEN 2000 + p_size % 3 END AS version FROM part),
+own AS (SELECT *, CASE WHEN page % 4 = 0 THEN base || ', as amended' ELSE title END AS own, version AS year FROM t),
+n AS (SELECT s_suppkey AS source, p_name AS base, CASE WHEN s_suppkey % 2 = 0 THEN 2001 END AS version, p_name || CASE WHEN s_suppkey % 2 = 0 THEN ' 2001' ELSE '' END AS full, 2000 + s_suppkey % 4 AS year, s_suppkey % 5 = 0 AS partial, 'part ' || s_suppkey AS own_base
+  FROM supplier JOIN part ON p_partkey = (s_suppkey * 7) % 150),
+m AS (SELECT n.*, own.page, own.base AS of_base, own.year AS of_year FROM n, own WHERE len(n.base) >= 6 AND NOT coalesce(n.version <> own.version, false) AND CASE WHEN n.version IS NOT NULL AND own.version IS NULL THEN n.full = title
+  ELSE n.full = title OR n.base = own.base OR (len(n.base) >= 10 AND contains(own, n.base)) END)"""
+
+
+def _named_titles(spark, sf_dir):
+    part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    version = F.when(F.col("p_size") % 3 > 0, F.lit(2000) + F.col("p_size") % 3)
+    title = F.concat("p_name", F.coalesce(F.concat(F.lit(" "), version.cast("string")), F.lit("")))
+    own = F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(", as amended"))).otherwise(title)
+    titles = part.select(F.col("p_partkey").alias("page"), title.alias("title"), own.alias("own"), F.col("p_name").alias("base"), version.alias("version"), version.alias("year"))
+    k, even = F.col("s_suppkey"), F.col("s_suppkey") % 2 == 0
+    named = table(spark, sf_dir, "supplier", "s_suppkey").join(part, F.col("p_partkey") == (k * 7) % 150).select(
+        k.alias("source"), F.col("p_name").alias("base"), F.when(even, 2001).alias("version"), F.concat("p_name", F.when(even, " 2001").otherwise("")).alias("full"),
+        (F.lit(2000) + k % 4).alias("year"), (k % 5 == 0).alias("partial"), F.concat(F.lit("part "), k).alias("own_base"),
+    )
+    return named, titles
+
+
+@query(f"WITH {_TITLES} SELECT DISTINCT source, page, partial FROM m WHERE source <> page AND NOT coalesce(of_year > year, false)")
+def abolition_links(spark, sf_dir):
+    return E.abolitions(*_named_titles(spark, sf_dir))
+
+
+@query(f"""WITH {_TITLES}, r AS (SELECT *, coalesce(of_year = year, false) AS same FROM m WHERE source <> page AND of_base <> own_base), g AS (SELECT source, "full", count(DISTINCT page) AS k, bool_or(same) AS dated FROM r GROUP BY ALL)
+SELECT DISTINCT source, page FROM r JOIN g USING (source, "full") WHERE k = 1 OR NOT dated OR same""")
+def publication_links(spark, sf_dir):
+    return E.publications(*_named_titles(spark, sf_dir))
+
+
+@query("SELECT p_partkey, p_partkey % 3 > 0 AS kept FROM part")
+def deletions_only(spark, sf_dir):
+    from lodestone.functions.text import deletions_only as only
+
+    k = F.col("p_partkey")
+    narrowed = F.when(k % 3 == 0, F.concat("p_name", F.lit("!"))).when(k % 3 == 1, F.col("p_name")).otherwise(F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 100)))
+    return table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", only(F.col("p_name"), narrowed).alias("kept"))
+
+
 @query("SELECT page, next_page FROM (SELECT p_partkey AS page, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) AS next_page FROM part) WHERE next_page IS NOT NULL")
 def edition_order(spark, sf_dir):
     return E.editions(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.col("p_brand").alias("base"), F.col("p_type").alias("kind"), F.array(F.col("p_size")).alias("version")))

@@ -73,3 +73,19 @@ def test_lines_have_their_place(spark):
     data = [(1, "a\n\n  \nbé\nc"), (2, None), (3, ""), (4, "\n" * 20_000 + "end")]
     found = sorted((r["doc_id"], r["ordinal"], r["line"], r["char_start"], r["text"]) for r in line_blocks(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert found == [(1, 0, 1, 0, "a"), (1, 3, 4, 6, "bé"), (1, 4, 5, 9, "c"), (4, 20_000, 20_001, 20_000, "end")]
+
+
+def test_titles_named_and_held(spark):
+    titles = [(1, "Rules on fees 2020", "Rules on fees 2020", "Rules on fees", 2020), (2, "Rules on fees 2022", "Rules on fees 2022", "Rules on fees", 2022), (3, "Rules on fees", "Rules on fees", "Rules on fees", None), (4, "Notice: Rules on fees, amended", "Rules on fees, amended", "Notice", None), (5, "Short", "Short", "Short", None), (6, None, None, None, None)]
+    t = spark.createDataFrame([(*r, r[4]) for r in titles], "page long, title string, own string, base string, version int, year int")
+    named = [(10, "Rules on fees", None, "Rules on fees", 2021, False, "x"), (11, "Rules on fees", 2020, "Rules on fees 2020", 2019, True, "Rules on fees"), (12, "Short", None, "Short", 2021, False, "x"), (1, "Rules on fees", None, "Rules on fees", 2020, False, "x"), (13, "Rules on fees", None, "Rules on fees", None, False, "x")]
+    n = spark.createDataFrame(named, "source long, base string, version int, full string, year int, partial boolean, own_base string")
+    assert sorted(map(tuple, E.abolitions(n, t).collect())) == [(1, 3, False), (1, 4, False), (10, 1, False), (10, 3, False), (10, 4, False), (13, 1, False), (13, 2, False), (13, 3, False), (13, 4, False)]
+    found = sorted(map(tuple, E.publications(n, t).collect()))
+    assert found == [(1, 2), (1, 3), (1, 4), (10, 1), (10, 2), (10, 3), (10, 4), (13, 1), (13, 2), (13, 3), (13, 4)]
+
+
+def test_deletions(spark):
+    data = [("abcabc", "aca", True), ("abc", "cab", False), ("abc", "", True), ("", "a", False), ("条款一二", "条二", True), (None, "a", None), ("a", None, None), ("a\nb", "\nb", True)]
+    rows = spark.createDataFrame(data, "a string, b string, want boolean").select("want", T.deletions_only(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in rows)
