@@ -1,6 +1,6 @@
 """Named queries over the driver's tables. Importing this package registers all of them."""
 
-from lodestone.plans import catalog, curation, evaluation, evidence, graph, jobs, ranking, reading, structure  # noqa: F401
+from lodestone.plans import catalog, compilation, curation, evaluation, evidence, graph, jobs, ranking, reading, structure  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
