@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from lodestone.constants import STOP_WORDS
 from lodestone.functions import text as T
 from lodestone.operators import curation as C
 from lodestone.plans.registry import query
@@ -123,7 +124,8 @@ def duplicate_signals(spark, sf_dir):
     return pairs.select("a", "b", F.array_join("methods", ",").alias("methods"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\s\x0B,.;:!?()\[\]{{}}|/\\]+'), lambda x: len(x) BETWEEN 2 AND 160 AND x NOT IN {STOP_WORDS!r}) AS w FROM benchmark)
+SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:24], ' ') AS terms FROM p""")
 def plan_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.search_terms(F.col("text")), " ").alias("terms"))
 

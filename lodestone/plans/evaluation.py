@@ -158,7 +158,11 @@ def prefix_batching(spark, sf_dir):
     return S.prefix_within(rows, ["source"], ["doc_id"], "size", 30000, 12).select("source", "doc_id", "running")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, lang, strlen(text)::INTEGER AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r(source, n, used, taken, ok) AS (SELECT DISTINCT source, 0::BIGINT, 0::BIGINT, []::VARCHAR[], false FROM d
+  UNION ALL SELECT source, n, used + CASE WHEN k THEN size ELSE 0 END, CASE WHEN k THEN list_append(taken, lang) ELSE taken END, k
+  FROM (SELECT d.source, d.n, used, taken, lang, size, len(list_filter(taken, lambda x: x = lang)) < 3 AND used + size <= 12000 AS k FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1))
+SELECT source, doc_id, lang, size FROM r JOIN d USING (source, n) WHERE ok""")
 def greedy_version_budget(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", F.octet_length("text").alias("size"))
     return S.greedy_budget(rows, "source", ["doc_id"], "lang", "size", 12000, 3)
