@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.session import materialise, worker_path
+from lodestone.session import discard, materialise, worker_path
 
 #: Distinct pages that have to agree on a text before it counts as constant.
 SUPPORT = 5
@@ -457,14 +457,18 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     seen = parts.mapInArrow(listed, "host string, path long, page long, enough boolean").groupBy("host", "path").agg(F.bool_or("enough").alias("enough"), F.size(F.collect_set("page")).alias("n"))
     keep = seen.where(F.col("enough") | (F.col("n") >= SUPPORT)).groupBy("host").agg(F.collect_list("path").alias("keep"))
     parts = materialise(parts.join(keep, "host", "left").select("host", "template", "keep").mapInArrow(pruned, "host string, template string"), "pruned")
+    steps = [parts]
     while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
         groups = F.pmod(F.xxhash64("template"), F.lit(-(-most // FAN_IN)))
         parts = materialise(parts.groupBy("host", groups.alias("group")).applyInArrow(together, "host string, template string"), "folded")
+        steps.append(parts)
     once = read.where("path is not null").groupBy("host", "path", "page").agg(*(F.first(c).alias(c) for c in ("value", "chars", "links")))
     texts = once.groupBy("host", "path", "value").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     counts = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     counts = counts.where(F.col("pages") >= SUPPORT).groupBy("host").agg(F.collect_list(F.struct("path", "pages", "texts", "chars", "links")).alias("counts"))
-    return parts.join(counts, "host", "left").select("host", "template", "counts").mapInArrow(decided, "host string, template string")
+    known = materialise(parts.join(counts, "host", "left").select("host", "template", "counts").mapInArrow(decided, "host string, template string"), "decided")
+    discard(read, *steps)
+    return known
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
