@@ -26,7 +26,7 @@ def name_key(names: pd.Series) -> pd.Series:
 
 
 _LATIN = re.compile("[a-z0-9]+")
-_COMPOUND = re.compile("[a-z0-9]+(?:[._/-][a-z0-9]+)+")
+_WORDS = re.compile("[a-z0-9]+(?:[._/-][a-z0-9]+)*")
 _CJK = re.compile("[㐀-鿿]+")
 
 
@@ -40,8 +40,10 @@ def search_tokens(text: str | None) -> list[str]:
     if not text:
         return []
     plain = text.isascii()
-    low = (text if plain else unicodedata.normalize("NFKC", text)).lower()
-    found = _LATIN.findall(low) + _COMPOUND.findall(low)
+    low = (text if plain or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
+    found = _WORDS.findall(low)
+    if compounds := [w for w in found if not w.isalnum()]:
+        found += [part for w in compounds for part in _LATIN.findall(w)]
     for run in () if plain else _CJK.findall(low):
         found += [w for w in ([run] if len(run) == 1 else map("".join, zip(run, run[1:]))) if w not in _STOP]
     return found
