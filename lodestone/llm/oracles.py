@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from lodestone.llm.mixing import mix_sql
+from lodestone.llm.negatives import MINE_SQL
+from lodestone.llm.resampling import resample_sql
 from lodestone.llm.sharding import Tree, shard_sql
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -51,4 +54,4 @@ bits AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base > 0 AS base_failed, base + more = 0 AS kept, (base + more)::BIGINT AS failed FROM bits
 """
 
-ORACLES = {"op1_shard": shard_sql(Tree.of(8), Tree.of(9)), "op4_substring_dedup": OP4, "op7_decontaminate": OP7, "op10_quality": OP10}
+ORACLES = {"op1_shard": shard_sql(Tree.of(8), Tree.of(9)), "op4_substring_dedup": OP4, "op7_decontaminate": OP7, "op10_quality": OP10, "op11_hard_negatives": MINE_SQL, "op12_mixing": mix_sql(), "op13_resampling": resample_sql()}

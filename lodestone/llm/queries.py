@@ -1,11 +1,11 @@
-"""The queries op1 to op10, and their DuckDB SQL where SQL can express them."""
+"""The queries op1 to op13, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import decontaminate, extraction, packing, quality, sharding, simhash, substring, tokencount, tokenfile, toxicity
+from lodestone.llm import decontaminate, extraction, mixing, negatives, packing, quality, resampling, sharding, simhash, substring, tokencount, tokenfile, toxicity
 from lodestone.llm.oracles import ORACLES
 from lodestone.session import shared_dir, table
 
@@ -62,8 +62,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.kept(quality.POLICIES[-1]).alias("kept"), "failed")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict:
-    found = (op1_shard, op2_token_counts, op3_simhash, op4_substring_dedup, op5_html, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality)
+    found = (op1_shard, op2_token_counts, op3_simhash, op4_substring_dedup, op5_html, op6_toxicity, op7_decontaminate, op8_packing, op9_token_file, op10_quality, op11_hard_negatives, op12_mixing, op13_resampling)
     return {f.__name__: f for f in found}
 
 
