@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.functions import structure as S
+from lodestone.functions import structure as S, units as U
 from lodestone.functions.text import quantities
 from lodestone.session import worker_path
 from lodestone.sources import text as X
@@ -58,6 +59,61 @@ def clause_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows_of(docs, lambda t: S.resolve(t, S.outline(t.split("\n"))), "family string, number int, state string, section int", key, text)
 
 
+def section_blocks(text: str) -> Iterator[tuple[int, list[str], bool, list[U.Block]]]:
+    """(section, titles, headed, blocks) of a text's innermost sections in order.
+
+    A block is a line that isn't blank, or neighbouring lines of a table (with tabs,
+    or from a bar); its ordinal is where it starts in the text.
+    """
+    lines = text.split("\n")
+    sections = S.outline(lines)
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    owner = [0] * len(lines)
+    for n, _, first, last, _ in sections:
+        owner[first : last + 1] = [n] * (last + 1 - first)
+    tabular = [("\t" in line.strip() or line.lstrip().startswith("|")) for line in lines]
+    at = 0
+    while at < len(lines):
+        section, blocks = owner[at], []
+        while at < len(lines) and owner[at] == section:
+            end = at + 1
+            while tabular[at] and end < len(lines) and tabular[end] and owner[end] == section:
+                end += 1
+            body = "\n".join(lines[at:end])
+            if end > at + 1:
+                ruled = re.fullmatch(r"[\s|:\-]+", lines[at + 1])
+                blocks.append(U.Block(starts[at], body, "table", starts[at + (2 if ruled else 1)] - starts[at] - 1))
+            elif body.strip(" "):
+                blocks.append(U.Block(starts[at], body))
+            at = end
+        titles, n = [], section
+        while n > 0:
+            titles.insert(0, sections[n][4])
+            n = sections[n][1]
+        yield section, titles, section > 0, blocks
+
+
+def units(docs: DataFrame, budget: int = 480, overlap: int = 64, context: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, section, path, prefix, body, n_tokens, spans: semantic units, none across sections.
+
+    spans are the places of the unit in the text and in its body: what a unit says
+    again (a table's header, the end of the unit before) comes first. Without that
+    the spans of a text cover each character of each block once. Tokens are words
+    and single CJK characters; prefix and body together keep to the budget.
+    """
+    if budget < 2 or overlap < 0 or context < 0:
+        raise ValueError("a unit takes two tokens at least, overlap and context none at least")
+
+    def found(t: str) -> Iterator[tuple]:
+        for section, titles, headed, blocks in section_blocks(t):
+            for u in U.units(blocks, titles, headed, budget, overlap, context):
+                yield section, titles, u.prefix, u.text, u.tokens, [{"start": o + a, "end": o + b, "body_start": c, "body_end": d} for o, a, b, c, d in u.spans]
+
+    return rows_of(docs, found, "section int, path array<string>, prefix string, body string, n_tokens int, spans array<struct<start: int, end: int, body_start: int, body_end: int>>", key, text)
+
+
 def statements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kind, value, partial: repeals, replacements and dates of effect."""
     return rows_of(docs, S.statements, "kind string, value string, partial boolean", key, text)

@@ -98,3 +98,20 @@ def gaps_left(spark, sf_dir):
 def read_priority(spark, sf_dir):
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(S.read_priority(F.col("p_size") / 50.0, k % 2, k % 3, k % 5, k % 7), 6).alias("score"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, sum(length(line))::BIGINT AS n_chars, true AS fits, true AS reversible FROM l WHERE trim(line) <> '' AND NOT contains(line, chr(9)) AND NOT starts_with(ltrim(line), '|') GROUP BY doc_id""")
+def reversible_units(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    plain = docs.withColumn("text", F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.contains(x, F.lit("\t")) & ~F.startswith(F.ltrim(x), F.lit("|"))), "\n"))
+    rows = S.units(plain, 120, 0, 24).join(plain, "doc_id")
+    same = F.forall("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == F.substring(F.col("body"), s["body_start"] + 1, s["body_end"] - s["body_start"]))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.groupBy("doc_id").agg(F.sum(size).alias("n_chars"), (F.max("n_tokens") <= 120).alias("fits"), F.bool_and(same).alias("reversible"))
+
+
+@query("""SELECT p_partkey AS doc_id, section, prefix, n_units FROM part, (VALUES (0, '', 1), (1, '第一章 总则', 1), (2, '第一章 总则 / 第', 1), (3, NULL, 1), (4, '第二章 附则', 1), (5, '第二章 附则 / 第', 1)) t(section, prefix, n_units)""")
+def unit_context(spark, sf_dir):
+    rows = S.units(_regulations(spark, sf_dir), 60, 8, 40).groupBy("doc_id", "section").agg(F.first("prefix").alias("prefix"), F.count("*").cast("int").alias("n_units"))
+    return rows.select("doc_id", "section", F.regexp_extract("prefix", "^(第.章 ..( / 第)?)?", 0).alias("prefix"), "n_units").withColumn("prefix", F.when(F.col("section") != 3, F.col("prefix")))
