@@ -186,3 +186,43 @@ def trim_tiers(items: list[tuple[str, int, int]], budget: int) -> list[str]:
 def priority(relevance: float, hit: float, channels: int, gain: float, role: float) -> float:
     """Order in which graph pages are read."""
     return 0.55 * relevance + 0.25 * hit + 0.03 * channels + 0.35 * gain + 0.3 * role
+
+
+_PART = f"第\\s*[（(]?\\s*({_NUMBER})\\s*[）)]?\\s*([章节条款项])"
+_PATH = f"{_PART}(?:\\s*{_PART})*"
+_ANNEX = f"附[件录表]\\s*(?:{_NUMBER}|[A-Za-z][A-Za-z0-9]*)"
+_UNITS = {"章": "chapter", "节": "section", "条": "article", "项": "item", "款": "paragraph"}
+#: Kinds of places that a text points to, tried in this order; of places that overlap the first found counts.
+LOCATORS = (
+    ("external", re.compile(f"《(?P<title>[^《》\\n]+)》(?P<more>(?:[（(][^（）()\\n]+[）)])*)\\s*(?P<path>(?:{_ANNEX})?\\s*(?:{_PATH})?)")),
+    ("annex", re.compile(f"(?:参见|参照|按照|依据|依照|见|按)\\s*(?P<title>{_ANNEX})\\s*(?P<path>(?:{_PATH})?)")),
+    ("relative", re.compile("(?P<title>前|后|上一|下一)(?P<path>[章节条项])")),
+    ("note", re.compile("\\[\\^(?P<title>[^\\]\\s]+)\\](?!\\s*[:：])(?P<path>)")),
+    ("path", re.compile(f"(?P<title>)(?P<path>{_PATH})")),
+)
+
+
+def path_parts(path: str) -> list[tuple[str, int]]:
+    """(family, number) of the parts of a path such as 第三条第（一）项; a number that can't be read is -1."""
+    return [(_UNITS[u], -1 if (v := numeral(n)) is None else v) for n, u in re.findall(_PART, path)]
+
+
+def locators(line: str) -> list[tuple[int, int, str, str, list[tuple[str, int]]]]:
+    """(start, end, kind, title, parts) of the places that a line points to, in order.
+
+    A line's own number at its start is no reference.
+    """
+    found: list[tuple[int, int, str, str, list[tuple[str, int]]]] = []
+    own = heading(line)
+    first = len(line) - len(line.lstrip())
+    for kind, pattern in LOCATORS:
+        for m in pattern.finditer(line):
+            if any(m.start() < b and a < m.end() for a, b, *_ in found) or kind == "path" and own and m.start() == first:
+                continue
+            if kind == "relative":
+                parts = [(_UNITS[m["path"]], -1 if m["title"] in ("前", "上一") else 1)]
+            else:
+                parts = path_parts(m["path"])
+            title = m["title"] + m["more"] if kind == "external" else re.sub("\\s", "", m["title"])
+            found.append((m.start(), m.end(), kind, title, parts))
+    return sorted(found)
