@@ -22,8 +22,8 @@ from lodestone.session import materialise, worker_path
 
 #: Places of a piece, centroids of a piece, rows that the centroids are fitted on at most, and rounds of fitting.
 PIECE, CENTROIDS, SAMPLE, ROUNDS = 2, 256, 8_192, 8
-#: Bytes of a stripe of the index, about: a task holds one at a time.
-STRIPE_BYTES = 24 << 20
+#: Bytes of a stripe of the index, about, and rows that one has at least, on average: a task holds one at a time.
+STRIPE_BYTES, STRIPE_ROWS = 24 << 20, 512
 #: Bounds of scores, and components of exact ones, that a task works on at once.
 SCORES, COMPONENTS = 1 << 20, 1 << 23
 _LONG = np.iinfo(np.int64)
@@ -309,7 +309,7 @@ def mine(vectors: DataFrame, asked: Column | None = None, positives: int = 5, ne
     quantiser = fitted(rows, layout, sample)
     held = materialise(index(rows, layout, quantiser), "index")
     width = layout.dim * np.dtype(layout.kind).itemsize + layout.dim // PIECE + 40
-    stripes = max(-(-n * width // stripe_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stripes = max(1, -(-n * width // stripe_bytes), min(-(-n // STRIPE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     anchor = held.where(asked if asked is not None else F.col("id") % 50 == 0).select(F.monotonically_increasing_id().alias("anchor"), F.col("id"), "label", "exact")
     anchor = materialise(anchor, "anchors")
 
