@@ -14,7 +14,7 @@ def _world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     k = F.col("p_partkey")
     part = table(spark, sf_dir, "part", "p_partkey")
     pages = part.select(k.alias("page"), F.when(k % 3 == 0, "document").otherwise("knowledge").alias("kind"), F.when(k % 17 == 0, k - 1).alias("canonical"))
-    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumn("edge", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumn("edge", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     kind = F.when(F.col("l_linenumber") == 1, "CITES").when(F.col("l_linenumber") == 2, "REQUIRES").when(F.col("l_linenumber") == 7, "EXCEPTION_OF").otherwise("MENTIONS")
     edges = items.select("edge", F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), kind.alias("type"), (F.col("l_quantity") == 7).alias("proposed"))
     anchors = items.select("edge", F.col("l_suppkey").alias("page"), F.concat(F.lit("b"), F.col("l_orderkey") % 50).alias("block"))
@@ -28,7 +28,7 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORLD = """p AS (SELECT p_partkey AS page, p_partkey % 3 = 0 AS document FROM part),
-e AS (SELECT l_orderkey * 10 + l_linenumber AS edge, l_partkey AS source, l_suppkey AS target, CASE l_linenumber WHEN 1 THEN 'CITES' WHEN 2 THEN 'REQUIRES' ELSE 'EXCEPTION_OF' END AS type, l_quantity = 7 AS proposed, 'b' || (l_orderkey % 50) AS block
+e AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS edge, l_partkey AS source, l_suppkey AS target, CASE l_linenumber WHEN 1 THEN 'CITES' WHEN 2 THEN 'REQUIRES' ELSE 'EXCEPTION_OF' END AS type, l_quantity = 7 AS proposed, 'b' || (l_orderkey % 50) AS block
   FROM lineitem WHERE l_linenumber IN (1, 2, 7) AND l_partkey IN (SELECT page FROM p) AND l_suppkey IN (SELECT page FROM p)),
 s AS (SELECT n_nationkey::BIGINT AS q, 3 * (n_nationkey::BIGINT + 1) AS page, unnest(['b' || n_nationkey, 'b' || (n_nationkey + 25)]) AS block FROM nation),
 c AS (SELECT e.* FROM e JOIN p ON p.page = source WHERE type = 'CITES' AND NOT proposed AND NOT document),
