@@ -45,3 +45,9 @@ ACTION_PHRASES = (
 ACTION_WORDS = ("business", "valu*", "accounting", "treatment", "process*", "handl*", "measur*", "calculat*", "method*", "standard*", "guidance", "rule*", "operation*", "explain", "describe")
 ROUTER_STOPS = ("如何", "怎么", "什么", "哪些", "是否", "请问", "应当", "需要", "进行", "处理", "流程", "规则", "方法")
 ROUTER_STOP_WORDS = ("how", "what", "which", "the", "and", "with", "for", "from", "does", "should", "please")
+
+# What parts a question into facets, and how much of its subject makes a page strong: CJK places or Latin words with a share, a long CJK term, a single Latin word.
+FACET_BREAKS = "[、，,；;。！？!?\\n]|以及|同时|分别|[和与及]|\\band\\b"
+STRONG_PLACES, STRONG_WORDS, STRONG_SHARE = 4, 2, 0.2
+STRONG_LENGTH, STRONG_LENGTH_SHARE, STRONG_WORD_SHARE = 3, 0.18, 0.3
+FACET_SHARE = 0.5

@@ -71,6 +71,51 @@ def _udf(f):
 graph_terms, subject_terms, router_features = (_udf(f) for f in (graph_terms_of, subject_terms_of, router_features_of))
 
 
+_BREAKS = re.compile(K.FACET_BREAKS, re.IGNORECASE)
+
+
+def question_facets_of(text: str | None) -> list[list[str]]:
+    """Terms of each part of a question, as graph_terms_of() and subject_terms_of() of the whole give them; parts alike come once."""
+    known = graph_terms_of(text) | subject_terms_of(text)
+    parts = [sorted(graph_terms_of(p) & known) for p in _BREAKS.split(text or "")]
+    return [list(p) for p in dict.fromkeys(map(tuple, filter(None, parts)))]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def question_facets(texts: pd.Series) -> pd.Series:
+    """question_facets_of() of a column."""
+    return texts.map(question_facets_of)
+
+
+def mass(terms: Column, masses: Column) -> Column:
+    """Sum of the masses (map of term -> mass) of terms; those it doesn't know have none."""
+    return F.aggregate(terms, F.lit(0.0), lambda n, t: n + F.coalesce(F.element_at(masses, t), F.lit(0.0)))
+
+
+def strong(matched: Column, subject: Column, question: Column, masses: Column, facets: Column) -> Column:
+    """Whether a page's matched terms make it about a question's subject (subject terms; question by lower case).
+
+    All subject terms do, or all that a facet has; else a share of the subject's
+    mass together with several places of the question, words, or one long term, so
+    that the overlapping pairs of one short word don't count as several signals.
+    """
+    mine = F.array_intersect(matched, subject)
+    cjk = F.filter(mine, lambda t: t.rlike("^[㐀-鿿]"))
+    at = lambda t: F.call_function("locate", t, question)
+    places = F.size(F.array_distinct(F.flatten(F.transform(F.filter(cjk, lambda t: at(t) > 0), lambda t: F.sequence(at(t), at(t) + F.length(t) - 1)))))
+    words, longest = F.size(mine) - F.size(cjk), F.coalesce(F.array_max(F.transform(cjk, F.length)), F.lit(0))
+    share = mass(mine, masses) / F.greatest(mass(subject, masses), F.lit(1e-12))
+    named = F.exists(facets, lambda f: (F.size(F.array_intersect(f, subject)) > 0) & (F.size(F.array_except(F.array_intersect(f, subject), mine)) == 0))
+    enough = ((places >= K.STRONG_PLACES) | (words >= K.STRONG_WORDS)) & (share >= K.STRONG_SHARE)
+    enough = enough | ((longest >= K.STRONG_LENGTH) & (share >= K.STRONG_LENGTH_SHARE)) | ((words == 1) & (share >= K.STRONG_WORD_SHARE))
+    return (F.size(mine) > 0) & ((F.size(F.array_except(subject, mine)) == 0) | named | enough)
+
+
+def covered_facets(matched: Column, facets: Column, masses: Column) -> Column:
+    """How many facets have half of their mass among matched terms."""
+    return F.size(F.filter(facets, lambda f: mass(F.array_intersect(f, matched), masses) >= K.FACET_SHARE * mass(f, masses)))
+
+
 def context_order(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, page, rank: read pages by the score of the best page that needs them.
 

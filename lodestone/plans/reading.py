@@ -93,3 +93,15 @@ def page_match(spark, sf_dir):
     pages = docs.select("doc_id", F.col("lang").alias("name"), F.col("text").alias("title"), F.lit(None).cast("string").alias("text"))
     aliases = docs.where("doc_id % 5 = 0").select("doc_id", F.col("source").alias("alias")).unionByName(docs.where("doc_id % 11 = 3").select("doc_id", F.lit("Known as THEN, too").alias("alias")))
     return R.page_match(pages, aliases, F.lit(" THEN "), "doc_id").select("doc_id")
+
+
+# A question of four words in three facets; part n matches those that the bits of its size name.
+@query("""WITH p AS (SELECT p_partkey AS page, p_size % 16 AS b FROM part), m AS (SELECT *, (b & 1) * 1e0 + (b >> 1 & 1) * 2e0 + (b >> 2 & 1) * 3e0 + (b >> 3 & 1) * 4e0 AS mass, (b & 1) + (b >> 1 & 1) + (b >> 2 & 1) + (b >> 3 & 1) AS n FROM p)
+SELECT page, b > 0 AND (b & 4 > 0 OR b & 8 > 0 OR b & 3 = 3 OR (n >= 2 AND mass >= 2) OR (n = 1 AND mass >= 3)) AS strong, (CASE WHEN b & 2 > 0 THEN 1 ELSE 0 END + (b >> 2 & 1) + (b >> 3 & 1))::INTEGER AS n_facets FROM m""")
+def strong_pages(spark, sf_dir):
+    words = ("alpha", "beta", "gamma", "delta")
+    question = spark.createDataFrame([("Alpha beta, gamma and delta",)], "question string").select(F.lower("question").alias("question"), R.subject_terms("question").alias("subject"), R.question_facets("question").alias("facets"))
+    bits = F.array_compact(F.array(*(F.when(F.col("p_size").bitwiseAND(F.lit(1 << n)) > 0, F.lit(w)) for n, w in enumerate(words))))
+    masses = F.create_map(*(x for n, w in enumerate(words) for x in (F.lit(w), F.lit(n + 1.0))))
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("page"), bits.alias("matched")).crossJoin(F.broadcast(question))
+    return rows.select("page", R.strong(F.col("matched"), F.col("subject"), F.col("question"), masses, F.col("facets")).alias("strong"), R.covered_facets(F.col("matched"), F.col("facets"), masses).alias("n_facets"))
