@@ -110,7 +110,8 @@ def relevance_seeds(candidates: DataFrame, terms: DataFrame, most: int = 8, gain
     In each round the page of highest read_priority is taken for every question, as
     long as one adds a role or, being strong, a share `gain` of the terms' mass;
     beyond `most` rounds a page's reason is COVERAGE_ESCALATION. If no page of a
-    question is strong all its pages may be taken, for review.
+    question is strong all its pages may be taken, for review. As each round adds a
+    role or that share, there are at most 1 / gain rounds and one for each role.
     """
     from lodestone.operators.structure import read_priority
 
@@ -223,10 +224,10 @@ def _new_only(citing: DataFrame, known: DataFrame, prints: DataFrame, eligible:
     pages = pages.join(eligible.select("query_id", "page", "rank"), ["query_id", "page"], "left")
     seen = known.join(prints, "page").select("query_id", "item").distinct().withColumn("seen", F.lit(True))
     items = pages.join(prints, "page", "left").join(seen, ["query_id", "item"], "left")
-    first = Window.partitionBy("query_id", "item").orderBy(F.col("rank").asc_nulls_last(), "page")
-    items = items.withColumn("at", F.row_number().over(first))
-    good = F.col("read") | F.col("item").isNull() | (F.col("seen").isNull() & (F.col("at") == 1))
-    return citing.join(items.where(good).select("query_id", "page").distinct(), ["query_id", "page"], "left_semi")
+    free = items.where(F.col("read") | F.col("item").isNull()).select("query_id", "page")
+    first = items.where("item is not null and seen is null").groupBy("query_id", "item").agg(F.min(F.struct(F.col("rank").isNull().alias("unranked"), "rank", "page")).alias("first"))
+    good = free.unionByName(first.select("query_id", "first.page")).distinct()
+    return citing.join(good, ["query_id", "page"], "left_semi")
 
 
 def plan_warnings(queries: DataFrame, reads: DataFrame, links: DataFrame, pages: DataFrame, edges: DataFrame, seeds: DataFrame, searches: DataFrame) -> DataFrame:

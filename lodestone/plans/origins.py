@@ -61,4 +61,4 @@ def inline_links(spark, sf_dir):
     names = part.select("page", F.when(p % 2 == 0, F.concat(F.lit("P"), p)).otherwise(F.concat(F.lit("Q"), F.floor(p / 4))).alias("name"))
     text = F.concat(F.lit("see [[p"), p - p % 2, F.lit("]], [[q"), F.floor(p / 4) + 1, F.lit("|other]] and [[Nowhere]]"))
     blocks = part.select("page", text.alias("text"), F.when(p % 50 == 1, "stale").otherwise(F.sha2(text, 256)).alias("content_sha256"))
-    return N.inline_links(pages, names, blocks).select("page", "state", "target")
+    return N.inline_links(pages, names, blocks).select("page", "state", "target").distinct()

@@ -11,10 +11,11 @@ def test_inline_links(spark):
     body = {1: "[[two]] [[One]] [[Shared|x]] [[Nobody]] ![[Eight]]", 2: "[[ONE]] and [[Shared]]", 3: "[[One]] in a document", 4: "stale", 5: "[[Four]] [[Loop]] [[closed]] [[Ten]] [[Gone]] [[Half]] [[two]]", 8: None, 9: "[[One]]"}
     blocks = [(p, t, sha256((t or "").encode()).hexdigest() if p != 4 else "0") for p, t in body.items() if t is not None] + [(1, "[[Eight]]", sha256(b"[[Eight]]").hexdigest())]
     make = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(2)
-    got = N.inline_links(make(pages, "page int, kind string, canonical int, canonical_open boolean"), make(names, "page int, name string"), make(blocks, "page int, text string, content_sha256 string"))
-    found = sorted(((r["page"], r["state"], r["target"], tuple(r["candidates"] or ())) for r in got.collect()), key=repr)
+    world = (make(pages, "page int, kind string, canonical int, canonical_open boolean"), make(names, "page int, name string"), make(blocks, "page int, text string, content_sha256 string"))
+    found = sorted(((r["page"], r["token"], r["state"], r["target"], r["n_candidates"]) for r in N.inline_links(*world).collect()), key=repr)
     assert found == sorted([
-        (1, "LINK", 3, ()), (1, "AMBIGUOUS", None, (1, 3)), (1, "UNAVAILABLE", None, ()), (1, "LINK", 8, ()),
-        (2, "LINK", 1, ()), (2, "AMBIGUOUS", None, (1, 3)), (5, "UNAVAILABLE", None, ()), (5, "LINK", 3, ()),
+        (1, "two", "LINK", 3, None), (1, "shared", "AMBIGUOUS", None, 2), (1, "nobody", "UNAVAILABLE", None, None), (1, "eight", "LINK", 8, None), (2, "one", "LINK", 1, None), (2, "shared", "AMBIGUOUS", None, 2),
+        *((5, t, "UNAVAILABLE", None, None) for t in ("four", "loop", "closed", "ten", "gone", "half")), (5, "two", "LINK", 3, None),
     ], key=repr)
+    assert sorted(map(tuple, N.candidates(*world).collect())) == [("shared", 1), ("shared", 3)]
     assert [r["page"] for r in N.invalid_pages(make([(1, None, "x"), (2, "a", sha256(b"a").hexdigest())], "page int, text string, content_sha256 string")).collect()] == [1]
