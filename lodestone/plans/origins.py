@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import metadata as M, navigation as N
+from lodestone.operators import metadata as M, navigation as N, replacements as R
 from lodestone.plans.registry import query
 from lodestone.session import table
 
@@ -62,3 +62,35 @@ def inline_links(spark, sf_dir):
     text = F.concat(F.lit("see [[p"), p - p % 2, F.lit("]], [[q"), F.floor(p / 4) + 1, F.lit("|other]] and [[Nowhere]]"))
     blocks = part.select("page", text.alias("text"), F.when(p % 50 == 1, "stale").otherwise(F.sha2(text, 256)).alias("content_sha256"))
     return N.inline_links(pages, names, blocks).select("page", "state", "target").distinct()
+
+
+def _notices(spark, sf_dir):
+    """A notice for every part: the new edition of its number repeals the old one, in part for every third; every fourth gives no date."""
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    lines = [
+        F.concat(F.lit("现公布《规则"), n, F.lit("新版》"), F.when(k % 4 == 0, "。").otherwise("，自2024年3月1日起施行。")),
+        F.concat(F.lit("《规则"), n, F.lit("》"), F.when(k % 3 == 0, "第三条").otherwise(""), F.lit("同时废止；《草案》尚未废止。")),
+    ]
+    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), t.alias("text")) for i, t in enumerate(lines)))
+    return table(spark, sf_dir, "part", "p_partkey").select((k * 3).alias("version_id"), F.explode(rows).alias("b")).select("version_id", F.concat_ws("-", "version_id", "b.ordinal").alias("block_id"), "b.*")
+
+
+@query("""SELECT p_partkey * 3 AS version_id, '规则' || p_partkey AS predecessor, '规则' || p_partkey || '新版' AS successor, CASE WHEN p_partkey % 4 <> 0 THEN DATE '2024-03-01' END AS effective_from, CASE WHEN p_partkey % 3 = 0 THEN 'partial' ELSE 'full' END AS scope FROM part""")
+def replacement_facts(spark, sf_dir):
+    return R.replacement_facts(_notices(spark, sf_dir)).select("version_id", "predecessor", "successor", "effective_from", "scope")
+
+
+# Versions 3p + 1 and 3p + 2 are the old and the new rule; every fifth old one but 0 has a double, every seventh fact is registered, of which every second is revoked.
+@query("""WITH p AS (SELECT p_partkey AS k FROM part),
+f AS (SELECT k, CASE WHEN k % 5 <> 0 OR k = 0 THEN 3 * k + 1 END AS old, 3 * k + 2 AS new, CASE WHEN k % 4 <> 0 THEN DATE '2024-03-01' END AS day, CASE WHEN k % 3 = 0 THEN 'partial' ELSE 'full' END AS scope FROM p),
+g AS (SELECT k, 3 * k + 1 AS old, 3 * k + 2 AS new, DATE '2024-03-01' AS day, CASE WHEN k % 3 = 0 THEN 'partial' ELSE 'full' END AS scope, k % 2 = 0 AS revoked FROM p WHERE k % 7 = 0)
+SELECT CASE WHEN old IS NULL OR day IS NULL THEN 'NEEDS_INPUT' ELSE 'READY' END AS status, old AS predecessor, new AS successor, day AS effective_from, scope FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.old = f.old AND g.new = f.new AND (revoked OR (g.day = f.day AND g.scope = f.scope)))
+UNION ALL SELECT 'CONFIRMED', old, new, day, scope FROM g WHERE NOT revoked""")
+def replacement_suggestions(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part", "p_partkey")
+    titles = F.array(F.struct((3 * k + 1).alias("version_id"), F.concat(F.lit("《规则 "), n, F.lit("》.pdf")).alias("t")), F.struct((3 * k + 2).alias("version_id"), F.concat(F.lit("规则"), n, F.lit("新版")).alias("t")), F.struct(F.when(k % 5 == 0, -k).otherwise(3 * k).alias("version_id"), F.when(k % 5 == 0, F.concat(F.lit("规则"), n)).otherwise("通知").alias("t")))
+    documents = part.select(F.explode(titles).alias("d")).select("d.version_id", F.array("d.t").alias("titles"))
+    registered = part.where(k % 7 == 0).select((3 * k + 1).alias("predecessor"), (3 * k + 2).alias("successor"), F.lit("2024-03-01").cast("date").alias("effective_from"), F.when(k % 3 == 0, "partial").otherwise("full").alias("scope"), F.when(k % 2 == 0, "REVOKED").otherwise("ACTIVE").alias("state"))
+    notices = _notices(spark, sf_dir)
+    return R.suggestions(R.replacement_facts(notices), documents, registered, notices).select("status", "predecessor", "successor", "effective_from", "scope")
