@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.operators import associations as A
+from lodestone.operators import associations as A, reads as R
 from lodestone.plans.registry import query
 from lodestone.session import table
 
@@ -35,3 +35,19 @@ def reading_closure(spark, sf_dir):
     index = A.section_index(rules)
     seeds = rules.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 4).otherwise(1).alias("section"))
     return A.reading_closure(index, A.references(rules, index), seeds)
+
+
+# Nations read the parts of their remainder: every third whole, others around the second item; every fifth lacks a line, of every fourth the first line was seen.
+@query("""WITH p AS (SELECT p_partkey AS page, p_partkey % 25 AS q FROM part WHERE p_partkey % 5 <> 0),
+b AS (SELECT page, q, unnest(CASE WHEN page % 3 = 0 THEN range(8) ELSE [0, 1, 3] END) AS ordinal FROM p), s AS (SELECT *, page % 4 = 0 AND ordinal = 0 AS seen FROM b)
+SELECT q AS query_id, page, ordinal, CASE WHEN seen THEN page ELSE coalesce((SELECT max(p_partkey) FROM part WHERE p_partkey % 25 = q AND p_partkey % 4 = 0), 0) + row_number() OVER (PARTITION BY q, seen ORDER BY page, ordinal) END AS evidence FROM s""")
+def scoped_reads(spark, sf_dir):
+    rules = _rules(spark, sf_dir)
+    page = F.col("doc_id")
+    blocks = rules.select(page.alias("page"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).select("page", F.concat_ws("-", "page", "ordinal").alias("block"), "ordinal")
+    pages = rules.select(page.alias("page"), F.when(page % 5 == 0, 9).otherwise(8).alias("block_count"))
+    sections = A.section_index(rules).select(page.alias("page"), "section", F.col("first_line").alias("first"), F.col("last_line").alias("last"))
+    requests = rules.select((page % 25).alias("query_id"), page.alias("page"), page.alias("place"), (page % 3 == 0).alias("whole"))
+    anchors = requests.select("query_id", "page", F.concat_ws("-", "page", F.lit(3)).alias("block"))
+    seen = requests.where("page % 4 = 0").select("query_id", "page", F.concat_ws("-", "page", F.lit(0)).alias("block"), F.col("page").alias("evidence"))
+    return R.scoped_read(requests, pages, blocks, sections, anchors, seen).select("query_id", "page", "ordinal", "evidence")
