@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -63,3 +64,57 @@ def left_out(requests: DataFrame, pages: DataFrame, blocks: DataFrame, anchors:
     rows = rows.join(placed, ["query_id", "page"], "left")
     reason = F.when(~(F.coalesce("n", F.lit(0)) == F.coalesce("block_count", F.lit(-1))), "INCOMPLETE").when(~F.col("whole") & F.col("placed").isNull(), "NO_ANCHORS")
     return rows.select("query_id", "page", reason.alias("reason")).where("reason is not null")
+
+
+def fill(groups: list[list[dict]], budget: int) -> dict[object, list[int] | None]:
+    """page -> None (whole) or indexes of its sections, of what fits a request, for groups in their order.
+
+    A group that fits is taken whole, else its pages one by one; of a page that
+    doesn't fit the sections of best positive score that do, if it is reducible. What doesn't fit is skipped, and what
+    comes later may still fit. pages: page, bytes, sections (index, bytes, score), reducible.
+    """
+    used, taken = 0, {}
+    for group in groups:
+        rest = [p for p in group if p["page"] not in taken]
+        if used + sum(p["bytes"] for p in rest) <= budget:
+            used += sum(p["bytes"] for p in rest)
+            taken |= {p["page"]: None for p in rest}
+            continue
+        for p in rest:
+            if used + p["bytes"] <= budget:
+                used += p["bytes"]
+                taken[p["page"]] = None
+            elif p["reducible"] and len(p["sections"]) > 1:
+                chosen = []
+                for index, size, score in sorted(p["sections"], key=lambda s: (-s[2], s[0])):
+                    if score > 0 and used + size <= budget:
+                        used += size
+                        chosen.append(index)
+                if chosen:
+                    taken[p["page"]] = sorted(chosen)
+    return taken
+
+
+def fit_request(members: DataFrame, budgets: DataFrame) -> DataFrame:
+    """query_id, page, state (WHOLE, PARTIAL or LEFT_OUT), sections: what of the read pages one request holds.
+
+    members: query_id, root, tier, asked, rank, page, place, bytes, sections
+    (array<struct<index, bytes, score>>), reducible: pages with their dependency group,
+    named by its root. Groups go by tier, asked ones first, then by rank and root; pages
+    in a group by place. budgets: query_id, budget. What is left out is listed, none is lost. A
+    question's pages meet in one task: they are what one request chooses from.
+    """
+    kind, page = (members.schema[c].dataType.simpleString() for c in ("query_id", "page"))
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["tier", "asked", "rank", "root", "place", "page"], ascending=[True, False, True, True, True, True])
+        groups: dict[object, list[dict]] = {}
+        for r in part.itertuples():
+            sections = [(s["index"], s["bytes"], s["score"]) for s in r.sections] if r.sections is not None else []
+            groups.setdefault(r.root, []).append(dict(page=r.page, bytes=r.bytes, sections=sections, reducible=bool(r.reducible)))
+        taken = fill(list(groups.values()), int(part["budget"].iloc[0]))
+        pages = list(dict.fromkeys(part["page"]))
+        state = ["LEFT_OUT" if p not in taken else "WHOLE" if taken[p] is None else "PARTIAL" for p in pages]
+        return pd.DataFrame({"query_id": part["query_id"].iloc[0], "page": pages, "state": state, "sections": [taken.get(p) or [] for p in pages]})
+
+    return members.join(budgets, "query_id").groupBy("query_id").applyInPandas(pick, f"query_id {kind}, page {page}, state string, sections array<int>")

@@ -51,3 +51,17 @@ def scoped_reads(spark, sf_dir):
     anchors = requests.select("query_id", "page", F.concat_ws("-", "page", F.lit(3)).alias("block"))
     seen = requests.where("page % 4 = 0").select("query_id", "page", F.concat_ws("-", "page", F.lit(0)).alias("block"), F.col("page").alias("evidence"))
     return R.scoped_read(requests, pages, blocks, sections, anchors, seen).select("query_id", "page", "ordinal", "evidence")
+
+
+@query("""SELECT c_custkey AS query_id, page, state, sections FROM customer, (VALUES (0, 'a1', 'WHOLE', ''), (0, 'a2', 'LEFT_OUT', ''), (0, 'b', 'WHOLE', ''), (0, 'c', 'WHOLE', ''), (1, 'a1', 'WHOLE', ''), (1, 'a2', 'WHOLE', ''), (1, 'b', 'LEFT_OUT', ''), (1, 'c', 'WHOLE', ''),
+  (2, 'a1', 'WHOLE', ''), (2, 'a2', 'WHOLE', ''), (2, 'b', 'PARTIAL', '0'), (2, 'c', 'WHOLE', '')) t(k, page, state, sections) WHERE c_custkey % 3 = k""")
+def fitted_requests(spark, sf_dir):
+    """Every customer's request chooses from a group of two pages, a page of three sections, and a small one, under 100, 120 or 140 bytes."""
+    section = lambda i, size, score: F.struct(F.lit(i).alias("index"), F.lit(size).alias("bytes"), F.lit(score).alias("score"))
+    none = F.lit(None).cast("array<struct<index: int, bytes: int, score: double>>")
+    pages = [("a", 0, "a1", 1, 40, none), ("a", 0, "a2", 2, 70, none), ("b", 1, "b", 1, 50, F.array(section(0, 20, 2.0), section(1, 20, 1.0), section(2, 10, -1.0))), ("c", 2, "c", 1, 10, none)]
+    rows = F.array(*(F.struct(F.lit(r).alias("root"), F.lit(t).alias("tier"), F.lit(p).alias("page"), F.lit(o).alias("place"), F.lit(n).alias("bytes"), s.alias("sections")) for r, t, p, o, n, s in pages))
+    customer = table(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "query_id")
+    members = customer.select("query_id", F.explode(rows).alias("m")).select("query_id", "m.*", F.lit(False).alias("asked"), F.lit(1).alias("rank"), F.lit(True).alias("reducible"))
+    found = R.fit_request(members, customer.select("query_id", (100 + 20 * (F.col("query_id") % 3)).alias("budget")))
+    return found.select("query_id", "page", "state", F.array_join("sections", ",").alias("sections"))
