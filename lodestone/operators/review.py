@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import review as P
 from lodestone.operators.structure import numerals, rows_of
+from lodestone.session import materialise
 
 _RUN = ["run_id", "version_id"]
 
@@ -19,14 +20,15 @@ def bound(records: DataFrame) -> DataFrame:
     """Records (run_id, evidence, resource_id, version_id, block_id, ordinal, text, content_sha256, ...) that may support a review.
 
     An evidence number of a run counts if all its rows are one text of one block
-    and the hash is that of the text; of rows that repeat one stays.
+    and the hash is that of the text; of rows that repeat one stays. The result is
+    written once, as reviews read it several times.
     """
     parts = ("resource_id", "version_id", "block_id", "content_sha256", "text")
     whole = F.col("resource_id").isNotNull() & F.col("version_id").isNotNull() & F.col("block_id").isNotNull() & (F.sha2("text", 256) == F.col("content_sha256"))
     of = Window.partitionBy("run_id", "evidence")
     sign = F.xxhash64(*parts)
     rows = records.where("evidence > 0").withColumn("_one", (F.min(sign).over(of) == F.max(sign).over(of)) & whole)
-    return rows.where("_one").drop("_one").dropDuplicates(["run_id", "evidence"])
+    return materialise(rows.where("_one").drop("_one").dropDuplicates(["run_id", "evidence"]), "bound")
 
 
 def _lines(records: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def answer_issues(answers: DataFrame, records: DataFrame) -> DataFrame:
     another day than the cited source states. Fenced and quoted lines state nothing
     but bookings.
     """
-    lines = rows_of(answers, P.answer_lines, "line int, start int, end int, fence boolean, fenced boolean, hidden boolean, cited array<int>, body string", "run_id")
+    lines = materialise(rows_of(answers, P.answer_lines, "line int, start int, end int, fence boolean, fenced boolean, hidden boolean, cited array<int>, body string", "run_id"), "lines")
     cited = lines.select("run_id", F.explode("cited").alias("evidence")).distinct().join(records, ["run_id", "evidence"])
     known = source_issues(records).where("code <> 'SOURCE_RULE_BASIS_COMPARISON'")
     used = known.join(cited.groupBy("run_id").agg(F.collect_set("evidence").alias("used")), "run_id").where(F.arrays_overlap("evidence", "used")).drop("used")

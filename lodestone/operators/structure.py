@@ -14,6 +14,9 @@ from lodestone.functions.text import quantities
 from lodestone.session import worker_path
 from lodestone.sources import text as X
 
+#: Texts whose rows a task holds at once.
+TEXTS = 256
+
 
 def rows_of(docs: DataFrame, found: Callable[[str], Iterable[tuple]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the columns of `schema`: what a function finds in each text, in its order; null texts hold nothing."""
@@ -25,15 +28,16 @@ def rows_of(docs: DataFrame, found: Callable[[str], Iterable[tuple]], schema: st
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(fields)
-        for batch in batches:
-            at, rows = [], []
-            for n, t in enumerate(batch.column(1)):
-                if t.is_valid:
-                    some = list(found(t.as_py()))
-                    rows += some
-                    at += [n] * len(some)
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), f.type) for c, f in zip(columns, kinds))], names=[key, *kinds.names])
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS):
+                batch, at, rows = whole.slice(first, TEXTS), [], []
+                for n, t in enumerate(batch.column(1)):
+                    if t.is_valid:
+                        some = list(found(t.as_py()))
+                        rows += some
+                        at += [n] * len(some)
+                columns = zip(*rows) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), f.type) for c, f in zip(columns, kinds))], names=[key, *kinds.names])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, {schema}")
 
