@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import answers as P
-from lodestone.session import worker_path
+from lodestone.operators.pools import choose
 
 #: Terms of a vocabulary that are broadcast, at most.
 VOCABULARY = 10_000
@@ -161,7 +162,6 @@ def answer_context(plans: DataFrame, units: DataFrame, related: DataFrame, limit
     required facets and most direct hits; only complete units that aren't exclusions count for that.
     A question's passages meet in one task: they are the ranked pool of one question.
     """
-    worker_path(plans.sparkSession)
     needs = plans.select("query_id", F.array_distinct(F.flatten(F.transform("requirements", lambda n: n["facets"]))).alias("required"))
     rows = units.where("complete").join(needs, "query_id")
     counted = rows.where("not exclusion").groupBy("query_id", "version_id").agg(
@@ -171,20 +171,17 @@ def answer_context(plans: DataFrame, units: DataFrame, related: DataFrame, limit
     rows = rows.join(best, "query_id", "left").withColumn("score", F.lit(0.0)).withColumn("cites", F.lit(None).cast("array<struct<version_id: string, block_id: string>>"))
     more = related.select("query_id", "version_id", F.array("block_id").alias("block_ids"), "n_bytes", "cites", "score").withColumn("knows", F.lit(True))
     both = rows.withColumn("knows", F.lit(False)).unionByName(more, allowMissingColumns=True)
-    kind = both.schema["query_id"].dataType.simpleString()
-    fields = f"query_id {kind}, place int, role string, version_id string, first_ordinal int, block_ids array<string>, facets array<string>, primary_version string"
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        pages = part[part["knows"]].sort_values(["score", "version_id"], ascending=[False, True])
-        part = part[~part["knows"]].sort_values(["version_id", "first_ordinal"])
-        if not len(part):
-            return pd.DataFrame([], columns=[f.split()[0] for f in fields.split(", ")])
-        items = [dict(version=r.version_id, facets=set(r.facets), exclusion=bool(r.exclusion), direct=bool(r.direct), blocks=list(r.block_ids), ordinal=int(r.first_ordinal), bytes=int(r.n_bytes)) for r in part.itertuples()]
-        known = [dict(version=r.version_id, blocks=list(r.block_ids), bytes=int(r.n_bytes), cites={(c["version_id"], c["block_id"]) for c in r.cites} if r.cites is not None else set()) for r in pages.itertuples()]
-        primary = part["primary_version"].iloc[0]
-        taken, left_out = cover(items, known, set(part["required"].iloc[0]), primary, limit, max_bytes)
-        every, query = items + known, part["query_id"].iloc[0]
-        out = [(query, n, role, every[i]["version"], every[i].get("ordinal"), every[i]["blocks"], sorted(every[i].get("facets", ())), primary) for n, (i, role) in enumerate([*taken, *((i, None) for i in left_out)])]
-        return pd.DataFrame(out, columns=["query_id", "place", "role", "version_id", "first_ordinal", "block_ids", "facets", "primary_version"]).astype({"first_ordinal": "Int32"})
-
-    return both.groupBy("query_id").applyInPandas(pick, fields)
+
+    def pick(pool: list[dict]) -> Iterator[tuple]:
+        mine = [r for r in pool if not r["knows"]]
+        if not mine:
+            return
+        items = [dict(version=r["version_id"], facets=set(r["facets"]), exclusion=bool(r["exclusion"]), direct=bool(r["direct"]), blocks=r["block_ids"], ordinal=r["first_ordinal"], bytes=r["n_bytes"]) for r in mine]
+        known = [dict(version=r["version_id"], blocks=r["block_ids"], bytes=r["n_bytes"], cites={(c["version_id"], c["block_id"]) for c in r["cites"] or ()}) for r in pool if r["knows"]]
+        primary, every = mine[0]["primary_version"], items + known
+        taken, left_out = cover(items, known, set(mine[0]["required"]), primary, limit, max_bytes)
+        for n, (i, role) in enumerate([*taken, *((i, None) for i in left_out)]):
+            yield n, role, every[i]["version"], every[i].get("ordinal"), every[i]["blocks"], sorted(every[i].get("facets", ())), primary
+
+    order = [F.col("knows"), F.col("score").desc_nulls_last(), "version_id", "first_ordinal"]
+    return choose(both, "query_id", order, pick, "place int, role string, version_id string, first_ordinal int, block_ids array<string>, facets array<string>, primary_version string")

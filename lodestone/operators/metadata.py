@@ -32,22 +32,25 @@ def origins(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     in a record of publication at the head, or alone in a line; numbers that the text
     cites are none. The issuer stands in the title, the metadata table, the beginning of the
     number, or alone in one of the first or last eight lines (with a date at most).
-    Rows are read as they come, nothing is joined; repeated keys stay apart.
+    Rows are read as they come, nothing is joined; repeated keys stay apart. What
+    many expressions refer to is a column of its own, so that it is taken once for a row.
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     rows = docs.select(F.col(key), nfkc(F.coalesce("title", F.lit(""))).alias("title"), lines.alias("lines")).withColumn("head", nfkc(F.array_join(F.slice("lines", 1, 40), "\n")))
     ends = F.array_distinct(F.concat(F.slice("lines", 1, 8), F.reverse(F.slice(F.reverse("lines"), 1, 8))))
     cell = lambda name: F.nullif(F.trim(F.coalesce(*(F.nullif(F.regexp_extract("head", p, 1), F.lit("")) for p in P.CELLS[name]), F.lit(""))), F.lit(""))
+    rows = rows.withColumns({f"{n}_cell": cell(n) for n in P.CELLS})
     whole = F.lit(f"({P.NUMBER})")
-    in_cell = F.coalesce(_first(F.regexp_extract_all(cell("number"), whole, F.lit(1))), F.substring(cell("number"), 1, 40))
+    in_cell = F.coalesce(_first(F.regexp_extract_all("number_cell", whole, F.lit(1))), F.substring("number_cell", 1, 40))
     in_title = F.when(~F.col("title").rlike(P.ANNEX), _first(F.regexp_extract_all("title", F.lit(f"(?<!关于.{{0,2}})({P.NUMBER})(?!文件)"), F.lit(1))))
     joined = F.regexp_replace("head", "\\s*\n\\s*", "")
     records = F.filter(F.regexp_extract_all(joined, F.lit(f"({P.RECORD})"), F.lit(1)), lambda r: ~r.rlike("根据|依据|废止"))
     dated = F.transform(records, lambda r: F.struct(_first(F.regexp_extract_all(r, whole, F.lit(1))).alias("number"), F.regexp_extract(r, f"^(.*?)(?:{P.PUBLISHED})", 1).alias("before")))
     told = F.filter(dated, lambda r: r["number"].isNotNull() | r["before"].rlike(P.DATE))
-    rows = rows.withColumn("record", _first(told))
+    rows = rows.withColumn("told", told).withColumn("record", _first(F.col("told")))
     alone = F.filter(F.transform(F.split("head", "\n"), F.trim), lambda x: x.rlike(f"{P.NUMBER}") & ~x.rlike(P.CITED) & ~F.contains(x, F.lit("《")) & ~F.contains(x, F.lit("\t")) & (F.length(x) <= F.length(F.regexp_extract(x, f"({P.NUMBER})", 1)) + 10))
-    in_line = F.regexp_extract(_first(alone), f"({P.NUMBER})", 1)
+    rows = rows.withColumn("alone", alone)
+    in_line = F.regexp_extract(_first(F.col("alone")), f"({P.NUMBER})", 1)
     annex = F.col("title").rlike(P.ANNEX)
     rows = rows.withColumn("number", _number(F.coalesce(in_cell, F.when(~annex, F.coalesce(in_title, F.col("record.number"), in_line)))))
 
@@ -57,16 +60,18 @@ def origins(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     every = "|".join(sorted((f for forms in P.ISSUERS.values() for f in forms), key=len, reverse=True))
     rest = lambda x: F.regexp_replace(x, f"{every}|{P.DATE}|{P.CHINESE_DATE}|{P.SIGNATURE_WORDS}", "")
     signed = F.filter(F.transform(ends, F.trim), lambda x: (F.length(x) <= 40) & ~x.rlike(P.CHROME) & ~F.contains(x, F.lit("《")) & x.rlike(every) & (rest(x) == ""))
-    sources = {"title": named_issuer(F.col("title")), "metadata_table": named_issuer(cell("issuer")), "document_number": by_number, "signature": named_issuer(_first(signed))}
+    rows = rows.withColumn("signed", signed).withColumn("signature", _first(F.col("signed")))
+    sources = {"title": named_issuer(F.col("title")), "metadata_table": named_issuer(F.col("issuer_cell")), "document_number": by_number, "signature": named_issuer(F.col("signature"))}
     rows = rows.withColumns({f"by_{n}": c for n, c in sources.items()})
     located = F.lit(None).cast("string")
     for n in reversed(sources):
         located = F.when(F.col(f"by_{n}").isNotNull(), n).otherwise(located)
     # The last date before the record says "published", unless it is that of a decision.
     dates = F.regexp_extract_all("record.before", F.lit(f"({P.DATE}[^年]*?)(?=\\d{{4}}\\s*年|$)"), F.lit(1))
-    last = F.element_at(F.filter(dates, lambda d: ~d.rlike("审议|通过")), -1)
+    rows = rows.withColumn("dates", F.filter(dates, lambda d: ~d.rlike("审议|通过")))
+    last = F.when(F.size("dates") > 0, F.element_at("dates", -1))
     part = lambda n: F.regexp_extract(last, P.DATE, n).try_cast("int")
-    fine = (F.size(F.filter(dates, lambda d: ~d.rlike("审议|通过"))) > 0) & part(1).between(1900, 2100)
+    fine = part(1).between(1900, 2100)
     published = F.when(fine, F.try_to_date(F.format_string("%04d-%02d-%02d", part(1), part(2), part(3))))
     return rows.select(key, F.coalesce(*(F.col(f"by_{n}") for n in sources)).alias("issuer"), located.alias("located"), "number", published.alias("published"))
 

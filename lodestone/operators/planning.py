@@ -9,12 +9,13 @@ decides nothing about what they say.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from lodestone.session import materialise, worker_path
+from lodestone.operators.pools import choose
+from lodestone.session import materialise
 
 # Types of links that are followed from their source, and from their target.
 FORWARD = ("CITES", "REQUIRES", "DEPENDS_ON", "APPLIES_TO", "EXCEPTION_OF", "CONFLICTS_WITH", "SUPERSEDES", "PRECEDES", "PART_OF")
@@ -77,29 +78,25 @@ def unit_seeds(units: DataFrame, searches: DataFrame, pages: DataFrame, edges: D
     reranked); searches: query_id, search, unit, rank. A question's candidates meet
     in one task, with what their pages rest on: they are the ranked pool of one question.
     """
-    worker_path(units.sparkSession)
     prints = _footprints(pages, edges, anchors).groupBy("page").agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = units.join(pages.select("page", "kind"), "page").join(prints, "page", "left")
     order = Window.partitionBy("query_id").orderBy(F.col("rerank").isNull(), F.coalesce("rerank", "score").desc(), "unit")
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     best = searches.groupBy("query_id", "unit").agg(F.collect_list(F.struct("search", "rank")).alias("found"))
     rows = rows.join(best, ["query_id", "unit"], "left")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("query_id", "unit", "page")}
+    page, unit = (rows.schema[c].dataType.simpleString() for c in ("page", "unit"))
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        listed = [dict(unit=r.unit, page=r.page, section=r.section, blocks=list(r.blocks), knowledge=r.kind == "knowledge", items=list(r.items), reranked=not pd.isna(r.rerank)) for r in part.itertuples()]
-        ranked = sorted((f["rank"], f["search"], r.unit) for r in part.itertuples() if r.found is not None for f in r.found)
+    def pick(pool: list[dict]) -> Iterator[tuple]:
+        listed = [dict(unit=r["unit"], page=r["page"], section=r["section"], blocks=r["blocks"], knowledge=r["kind"] == "knowledge", items=r["items"], reranked=r["rerank"] is not None) for r in pool]
         by: dict[str, list] = {}
-        for _, search, unit in ranked:
+        for _, search, unit in sorted((f["rank"], f["search"], r["unit"]) for r in pool for f in r["found"] or ()):
             by.setdefault(search, []).append(unit)
-        chosen = choose_seeds(listed, {s: by[s] for s in sorted(by)}, most)
         page_of = {u["unit"]: (u["page"], u["blocks"]) for u in listed}
-        out = [(part["query_id"].iloc[0], page_of[u][0], u, n, b, page_of[u][1]) for n, (u, b) in enumerate(chosen)]
-        return pd.DataFrame(out, columns=["query_id", "page", "unit", "place", "best", "blocks"])
+        for n, (u, best) in enumerate(choose_seeds(listed, {s: by[s] for s in sorted(by)}, most)):
+            yield page_of[u][0], u, n, best, page_of[u][1]
 
-    fields = f"query_id {kinds['query_id']}, page {kinds['page']}, unit {kinds['unit']}, place int, best boolean, blocks array<string>"
-    return rows.select("query_id", "unit", "page", "section", "blocks", "kind", "items", "rerank", "found", "at").groupBy("query_id").applyInPandas(pick, fields)
+    pools = rows.select("query_id", "unit", "page", "section", "blocks", "kind", "items", F.nanvl(F.col("rerank").cast("double"), F.lit(None)).alias("rerank"), "found", "at")
+    return choose(pools, "query_id", [F.col("at")], pick, f"page {page}, unit {unit}, place int, best boolean, blocks array<string>")
 
 
 def relevance_seeds(candidates: DataFrame, terms: DataFrame, most: int = 8, gain: float = 0.06) -> DataFrame:

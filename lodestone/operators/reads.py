@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.pools import choose
+
 
 def anchored(requests: DataFrame, relations: DataFrame, discovered: DataFrame) -> DataFrame:
     """query_id, page, block: the anchors of requested pages: blocks that the search found, and those that relations of requested pages rest on.
@@ -104,17 +107,16 @@ def fit_request(members: DataFrame, budgets: DataFrame) -> DataFrame:
     in a group by place. budgets: query_id, budget. What is left out is listed, none is lost. A
     question's pages meet in one task: they are what one request chooses from.
     """
-    kind, page = (members.schema[c].dataType.simpleString() for c in ("query_id", "page"))
+    page = members.schema["page"].dataType.simpleString()
+    order = [F.col("tier").asc_nulls_last(), F.col("asked").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ("rank", "root", "place", "page"))]
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["tier", "asked", "rank", "root", "place", "page"], ascending=[True, False, True, True, True, True])
+    def pick(pool: list[dict]) -> Iterator[tuple]:
         groups: dict[object, list[dict]] = {}
-        for r in part.itertuples():
-            sections = [(s["index"], s["bytes"], s["score"]) for s in r.sections] if r.sections is not None else []
-            groups.setdefault(r.root, []).append(dict(page=r.page, bytes=r.bytes, sections=sections, reducible=bool(r.reducible)))
-        taken = fill(list(groups.values()), int(part["budget"].iloc[0]))
-        pages = list(dict.fromkeys(part["page"]))
-        state = ["LEFT_OUT" if p not in taken else "WHOLE" if taken[p] is None else "PARTIAL" for p in pages]
-        return pd.DataFrame({"query_id": part["query_id"].iloc[0], "page": pages, "state": state, "sections": [taken.get(p) or [] for p in pages]})
-
-    return members.join(budgets, "query_id").groupBy("query_id").applyInPandas(pick, f"query_id {kind}, page {page}, state string, sections array<int>")
+        for r in pool:
+            sections = [(s["index"], s["bytes"], s["score"]) for s in r["sections"] or ()]
+            groups.setdefault(r["root"], []).append(dict(page=r["page"], bytes=r["bytes"], sections=sections, reducible=bool(r["reducible"])))
+        taken = fill(list(groups.values()), int(pool[0]["budget"]))
+        for p in dict.fromkeys(r["page"] for r in pool):
+            yield p, "LEFT_OUT" if p not in taken else "WHOLE" if taken[p] is None else "PARTIAL", taken.get(p) or []
+
+    return choose(members.join(budgets, "query_id"), "query_id", order, pick, f"page {page}, state string, sections array<int>")
