@@ -20,7 +20,8 @@ ITEMS = ("item", "subitem")
 def section_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, section, parent, ancestors (nearest first), family, number, first_line, last_line: nested sections.
 
-    Section 0 is the whole text, without family.
+    Section 0 is the whole text, without family. The result is written once, as what
+    is located or read with a section asks for it several times.
     """
 
     def found(t: str) -> Iterator[tuple]:
@@ -32,7 +33,7 @@ def section_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             h = S.heading(title) if n else None
             yield n, parent, above[n], h[1] if h else None, h[2] if h else None, first, last
 
-    return rows_of(docs, found, "section int, parent int, ancestors array<int>, family string, number int, first_line int, last_line int", key, text)
+    return materialise(rows_of(docs, found, "section int, parent int, ancestors array<int>, family string, number int, first_line int, last_line int", key, text), "index")
 
 
 def pointers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
