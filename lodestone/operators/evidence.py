@@ -230,10 +230,14 @@ def library_map(pages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def best_by_terms(pages: DataFrame, terms: Column, title: str, key: str) -> DataFrame:
-    """Pages with the greatest number of terms in their title, if any has one."""
+    """Pages with the greatest number of terms in their title, if any has one.
+
+    Compared null-safely: from a plain equality Spark infers a filter on the greatest
+    number that still asks for the title, and fails once the aggregate is shuffled.
+    """
     rows = pages.withColumn("n", F.size(F.filter(terms, lambda t: F.contains(F.lower(title), t)))).where("n > 0")
-    most = rows.agg(F.max("n").alias("n"))
-    return rows.join(F.broadcast(most), "n").select(key, "n")
+    most = rows.agg(F.max("n").alias("most"))
+    return rows.join(F.broadcast(most), F.col("n").eqNullSafe(F.col("most"))).select(key, "n")
 
 
 def neighbours(edges: DataFrame, page: DataFrame) -> DataFrame:
