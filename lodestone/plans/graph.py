@@ -31,9 +31,11 @@ def backlink_degrees(spark, sf_dir):
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src % 3 = 0 AND dst % 2 = 0")
 def induced_subgraph(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    nodes = edges.select(F.col("src").alias("node")).where("node % 3 = 0").unionByName(edges.select(F.col("dst").alias("node")).where("node % 2 = 0")).distinct()
-    return G.induced(edges, nodes).select("src", "dst")
+    """Parts and suppliers are nodes of two kinds; their numbers overlap once there are more than 100 000 parts."""
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
+    edges = _edges(spark, sf_dir).select(node("part", "src").alias("src"), node("supplier", "dst").alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).where("node.key % 3 = 0").unionByName(edges.select(F.col("dst").alias("node")).where("node.key % 2 = 0")).distinct()
+    return G.induced(edges, nodes).select(F.col("src.key").alias("src"), F.col("dst.key").alias("dst"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN b ON src = node WHERE depth < 3)

@@ -23,3 +23,9 @@ def test_fallback_pages_over_several_files(spark, tmp_path):
     # Spark marks operators that ask for columns their input lacks.
     plan = QUERIES["fallback_pages"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "!" not in plan, plan
+
+
+def test_induced_subgraph_with_parts_beyond_the_suppliers_offset(spark, tmp_path):
+    rows = [(part, supplier) for part in (3, 4, 100_002, 100_004, 100_005) for supplier in (1, 2, 4, 5)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    same_as_sql(spark, tmp_path, "induced_subgraph", ["lineitem"])
