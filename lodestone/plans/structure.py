@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.functions.text import redact
 from lodestone.operators import structure as S
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 def _regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,8 @@ def _regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("目录"), F.lit("第一章 总则 …… 1"), F.lit(""), F.lit("第一章 总则"), F.concat(F.lit("第"), n, F.lit("条 "), F.col("p_type")), F.lit("1. first item"), F.lit("第二章 附则"),
         F.concat(F.lit("第"), (F.col("p_size") + 1).cast("string"), F.lit("条 依照第"), n, F.lit("条和《他法》第九条办理。")), F.concat(F.lit("自2024年"), (1 + F.col("p_partkey") % 12).cast("string"), F.lit("月7日起施行。同时废止《"), F.col("p_brand"), F.lit("》。")),
     ]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    parts = spread(table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type", "p_brand"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 @query("""SELECT p_partkey AS doc_id, line, level, family, CASE family WHEN 'article' THEN p_size + number ELSE number END AS number

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes in memory that a byte of a Parquet file may stand for: repetitive columns take a few bytes a row there.
+FILE_FACTOR = "64.0"
 
 
 def session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +24,7 @@ def session(app: str = "lodestone", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.sources.fileCompressionFactor": FILE_FACTOR,
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -39,6 +42,28 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, parts)])
 
 
+def file_sizes(spark: SparkSession) -> None:
+    """Let the planner count tables by what they take in memory, not by their compressed files.
+
+    Otherwise millions of short rows pass for a few MB and are broadcast through the
+    driver. Shuffled joins still become broadcasts where the rows prove to be few.
+    """
+    key = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(key, "1.0")) < float(FILE_FACTOR):
+        spark.conf.set(key, FILE_FACTOR)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys to a few tasks for every core.
+
+    A file of millions of short rows is only a few MB, which one task would read and
+    work on alone. A stated number of partitions is one that Spark doesn't join again.
+    """
+    spark = rows.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table of a data folder, pruned to the given columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,3 +29,11 @@ def test_induced_subgraph_with_parts_beyond_the_suppliers_offset(spark, tmp_path
     rows = [(part, supplier) for part in (3, 4, 100_002, 100_004, 100_005) for supplier in (1, 2, 4, 5)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     same_as_sql(spark, tmp_path, "induced_subgraph", ["lineitem"])
+
+
+def test_composed_texts_are_spread(spark):
+    from lodestone.plans import associations, review, structure
+
+    folder = "/root/testdata/sf0.001"
+    for rows in (structure._regulations(spark, folder), associations._rules(spark, folder), review._answers(spark, folder), review._records(spark, folder)):
+        assert rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
