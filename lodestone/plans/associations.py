@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.operators import associations as A, reads as R
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("第一章 总则"), F.concat(F.lit("第"), n, F.lit("条 目的")), F.lit("一、甲"), F.concat(F.lit("二、见第二章第"), n, F.lit("条第1项")),
         F.lit("第二章 附则"), F.concat(F.lit("第"), n, F.lit("条 其他，依照第一章第"), n, F.lit("条第二款和《"), F.col("p_brand"), F.lit("》第九条")), F.lit("1. x"), F.concat(F.lit("2. 按第"), (F.col("p_size") + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)).cast("string"), F.lit("条，见附件"), n),
     ]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    parts = spread(table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 @query("""SELECT p_partkey AS doc_id, line, kind, CASE kind WHEN 'external' THEN p_brand WHEN 'annex' THEN '附件' || p_size ELSE '' END AS title,

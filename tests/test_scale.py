@@ -37,3 +37,13 @@ def test_composed_texts_are_spread(spark):
     folder = "/root/testdata/sf0.001"
     for rows in (structure._regulations(spark, folder), associations._rules(spark, folder), review._answers(spark, folder), review._records(spark, folder)):
         assert rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
+    import __spark_entry__
+
+    __spark_entry__._prepared(lambda spark, folder: spark.range(1))(spark, "")
+    spark.range(300_000).select("id", F.lit("the same words " * 20).alias("text")).write.parquet(f"{tmp_path}/a.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/a.parquet")
+    plan = rows.join(rows.select("id", F.col("text").alias("other")), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
