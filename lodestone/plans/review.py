@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.operators import review as R
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("借：银行存款\n"), F.when(k % 4 == 0, "借：应收款").otherwise("贷：应收款")),
         F.concat(F.lit("仅限于本产品，估值"), F.when(k % 2 == 0, "全价").otherwise("净价"), F.lit("，第"), day, F.lit("个工作日不支付赎回款。")),
     ]
-    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").withColumn("b", F.explode(F.array(*(F.struct(F.lit(n + 1).alias("evidence"), F.lit(o).alias("ordinal"), t.alias("text")) for n, (o, t) in enumerate(zip((0, 1, 2, 5), texts))))))
+    rows = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey").withColumn("b", F.explode(F.array(*(F.struct(F.lit(n + 1).alias("evidence"), F.lit(o).alias("ordinal"), t.alias("text")) for n, (o, t) in enumerate(zip((0, 1, 2, 5), texts))))))
     sha = F.when((F.col("b.evidence") == 4) & (k % 9 == 0), "stale").otherwise(F.sha2("b.text", 256))
     version = F.col("o_custkey") * 2 + (F.col("b.evidence") == 4).cast("int")
     return rows.select(k.alias("run_id"), F.col("b.evidence").alias("evidence"), F.col("o_custkey").alias("resource_id"), version.alias("version_id"), F.col("b.ordinal").alias("block_id"), F.col("b.ordinal").alias("ordinal"), F.col("b.text").alias("text"), sha.alias("content_sha256"), (k % 7 != 0).alias("applies"), F.lit("规则（2024）").alias("title"))
@@ -31,7 +31,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("管理人支付赎回款在第"), (1 + k % 3).cast("string"), F.lit("个工作日 [E1] E2；其他。")), F.lit("> 引文 E4 由此可见所有产品"),
         F.when(k % 2 == 0, "由此可见所有产品 E4").otherwise("E4"), F.lit("```"), F.when(k % 5 == 0, "借：甲\n说明\n借：乙").otherwise("借：甲\n贷：乙"), F.lit("```"),
     ]
-    return table(spark, sf_dir, "orders", "o_orderkey").select(k.alias("run_id"), F.concat_ws("\n", *lines).alias("text"))
+    return spread(table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey").select(k.alias("run_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 @query("""SELECT o_orderkey AS run_id, o_custkey * 2 AS version_id, '支付赎回款' AS event, '甲模式' AS mode, (1 + o_orderkey % 5)::INTEGER AS day, '个工作日' AS day_kind, 2 AS n_evidence FROM orders""")
