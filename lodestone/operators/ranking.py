@@ -19,7 +19,9 @@ from lodestone.session import materialise, worker_path
 #: Terms that are broadcast to filter an index, and (question, term) rows that are broadcast to be joined, at most.
 BROADCAST_TERMS = 500_000
 #: Vectors and questions that are multiplied at once.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+VECTOR_BLOCK, QUERY_BLOCK = 1024, 512
+#: Texts that are embedded at once, and terms whose buckets a worker remembers.
+TEXT_BLOCK, BUCKETS = 500, 50_000
 
 
 def lexical_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
@@ -223,7 +225,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", v
     return left.crossJoin(right).mapInArrow(run, ", ".join(fields))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=BUCKETS)
 def _bucket(term: str, dim: int) -> tuple[int, float]:
     digest = hashlib.sha256(term.encode()).digest()
     return int.from_bytes(digest[:8], "big") % dim, 1.0 if digest[8] % 2 == 0 else -1.0
@@ -236,14 +238,16 @@ def hash_vectors(docs: DataFrame, dim: int, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, dim))
-            for n, t in enumerate(batch.column(1)):
-                tf = Counter(search_tokens(t.as_py()))
-                if tf:
-                    at, sign = zip(*(_bucket(w, dim) for w in tf))
-                    np.add.at(out[n], list(at), np.array(sign) * (1.0 + np.log(list(tf.values()))))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[key, "embedding"])
+            for first in range(0, batch.num_rows, TEXT_BLOCK):
+                some = batch.slice(first, TEXT_BLOCK)
+                out = np.zeros((some.num_rows, dim))
+                for n, t in enumerate(some.column(1)):
+                    tf = Counter(search_tokens(t.as_py()))
+                    if tf:
+                        at, sign = zip(*(_bucket(w, dim) for w in tf))
+                        np.add.at(out[n], list(at), np.array(sign) * (1.0 + np.log(list(tf.values()))))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([some.column(0), flat], names=[key, "embedding"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, embedding array<double>")
 

@@ -47,3 +47,10 @@ def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/a.parquet")
     plan = rows.join(rows.select("id", F.col("text").alias("other")), "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_embedding_holds_few_texts_and_terms():
+    from lodestone.operators import ranking as R
+
+    assert R._bucket.cache_info().maxsize <= 50_000 and R.TEXT_BLOCK <= 500
+    assert R.VECTOR_BLOCK * 256 * 8 <= 1 << 21
