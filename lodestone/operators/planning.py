@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.pools import choose
+from lodestone.operators.sequences import numbered
 from lodestone.session import materialise
 
 # Types of links that are followed from their source, and from their target.
@@ -22,6 +23,8 @@ FORWARD = ("CITES", "REQUIRES", "DEPENDS_ON", "APPLIES_TO", "EXCEPTION_OF", "CON
 REVERSE = ("EXCEPTION_OF", "CONFLICTS_WITH", "SUPERSEDES", "PRECEDES")
 #: Pages citing one place, at most, for the place to tell which of them is meant.
 FANOUT = 2
+#: Rows that are broadcast to meet the links, at most.
+SMALL = 100_000
 
 
 def _footprints(pages: DataFrame, edges: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -144,14 +147,45 @@ def relevance_seeds(candidates: DataFrame, terms: DataFrame, most: int = 8, gain
     return empty if taken is None else taken.select("query_id", "page", "place", "reason")
 
 
-def _shared(edges: DataFrame, pages: DataFrame, anchors: DataFrame) -> DataFrame:
-    """target, block, sources: how many knowledge pages cite a place of a page."""
+def _cited(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """edge, source, target, places, block: places of pages that knowledge pages cite."""
     wiki = pages.where("kind = 'knowledge'").select(F.col("page").alias("source"))
-    rows = edges.where("type = 'CITES' and not proposed").join(wiki, "source", "left_semi").join(anchors.select("edge", F.col("page").alias("target"), "block"), ["edge", "target"])
-    return rows.groupBy("target", "block").agg(F.countDistinct("source").alias("sources"))
+    rows = edges.where("type = 'CITES' and not proposed").join(wiki, "source", "left_semi").select("edge", "source", "target", "places", F.explode("places").alias("at"))
+    return rows.where("at.page = target").select("edge", "source", "target", "places", "at.block")
 
 
-def expand(seeds: DataFrame, pages: DataFrame, edges: DataFrame, anchors: DataFrame, eligible: DataFrame, selective: bool = False, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+def _slots(query_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, slot, bit; and by slot its questions (bit, query_id): 64 questions share a slot, so one row tells which of them reach a page."""
+    asked = numbered(query_ids.where("query_id is not null").distinct(), "n", "query_id")
+    at = (F.col("n") - 1) % 64
+    asked = materialise(asked.select("query_id", F.floor((F.col("n") - 1) / 64).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")).alias("bit")), "slots")
+    by_slot = asked.groupBy("slot").agg(F.collect_list(F.struct("bit", "query_id")).alias("asked"))
+    return _hinted(asked, asked), _hinted(by_slot, asked)
+
+
+def _hinted(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """rows, to be broadcast if those of `size` (written ones, so that counting them is cheap) are at most SMALL."""
+    return F.broadcast(rows) if size.limit(SMALL + 1).count() <= SMALL else rows
+
+
+def _either(rows: DataFrame, *by: str) -> DataFrame:
+    """One row per key with the questions (bits) of all its rows."""
+    return rows.groupBy(*by).agg(F.bit_or("bits").alias("bits"))
+
+
+def _both(rows: DataFrame, other: DataFrame, *by: str) -> DataFrame:
+    """Rows for the questions that `other` has under the same key and slot (a row each)."""
+    found = rows.join(other.withColumnRenamed("bits", "other_bits"), [*by, "slot"])
+    return found.withColumn("bits", F.col("bits").bitwiseAND(F.col("other_bits"))).drop("other_bits").where("bits <> 0")
+
+
+def _without(rows: DataFrame, known: DataFrame, *by: str) -> DataFrame:
+    """Rows for the questions that `known` doesn't have under the same key and slot (a row each)."""
+    found = rows.join(known.withColumnRenamed("bits", "known_bits"), [*by, "slot"], "left")
+    return found.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known_bits", F.lit(0).cast("long"))))).drop("known_bits").where("bits <> 0")
+
+
+def expand(seeds: DataFrame, pages: DataFrame, edges: DataFrame, anchors: DataFrame, eligible: DataFrame, selective: bool = False, fanout: int = FANOUT, spelled: bool = True) -> tuple[DataFrame, DataFrame]:
     """Reads (query_id, page, round, reasons, blocks) and used links (query_id, edge, page, reason) of every question.
 
     From read pages, round by round until nothing is new: their canonical pages; links of the
@@ -164,36 +198,50 @@ def expand(seeds: DataFrame, pages: DataFrame, edges: DataFrame, anchors: DataFr
     with `selective` instead if at most `fanout` pages cite the block, or it is strong. Proposed
     links are followed to eligible pages only and mark what they lead to. The
     anchors of a used link are read too.
+
+    Rounds carry one row for the questions of a slot, not one for each. Unless links are
+    `spelled` they come as (edge, page, reason, queries), a row for each slot.
     """
     canonical = F.col("canonical") if "canonical" in pages.columns else F.lit(None).cast(pages.schema["page"].dataType)
     pages = materialise(pages.select("page", "kind", canonical.alias("canonical")), "pages")
-    edges = materialise(edges.join(pages.select(F.col("page").alias("source")), "source", "left_semi").join(pages.select(F.col("page").alias("target")), "target", "left_semi"), "edges")
-    anchors = materialise(anchors.join(pages.select("page"), "page", "left_semi").join(edges.select("edge"), "edge", "left_semi").distinct(), "anchors")
+    edges = edges.where(F.col("type").isin(*FORWARD, *REVERSE)).join(pages.select(F.col("page").alias("source")), "source", "left_semi").join(pages.select(F.col("page").alias("target")), "target", "left_semi")
+    edges = materialise(edges.select("edge", "source", "target", "type", "proposed"), "edges")
+    anchors = anchors.join(edges.select("edge"), "edge", "left_semi").join(pages.select("page"), "page", "left_semi")
+    places = anchors.groupBy("edge").agg(F.collect_set(F.struct("page", "block")).alias("places"))
+    edges = materialise(edges.join(places, "edge", "left"), "placed")
+    seeds = materialise(seeds.select("query_id", "page", "blocks"), "seeds")
+    asked, by_slot = _slots(seeds.select("query_id"))
     eligible = materialise(eligible.select("query_id", "page", "rank", "strong"), "eligible")
-    prints = None if selective else materialise(_footprints(pages, edges, anchors), "footprints")
+    able = materialise(_either(eligible.join(asked, "query_id").select("page", "slot", F.col("bit").alias("bits")), "page", "slot"), "able")
+    prints = None if selective else materialise(_footprints(pages, edges, edges.select("edge", F.explode("places").alias("p")).select("edge", "p.page", "p.block")), "footprints")
     held = seeds.select("query_id", F.col("page").alias("target"), F.explode("blocks").alias("block")).distinct()
-    at = held.join(edges.where("type = 'CITES' and not proposed").join(pages.where("kind = 'knowledge'").select(F.col("page").alias("source")), "source", "left_semi"), "target").join(anchors.select("edge", F.col("page").alias("target"), "block"), ["edge", "target", "block"])
+    cited = _cited(edges, pages).join(held.select("target", "block").distinct(), ["target", "block"], "left_semi")
+    at = held.join(cited, ["target", "block"])
     if selective:
-        at = at.join(_shared(edges, pages, anchors), ["target", "block"]).join(eligible.select("query_id", F.col("page").alias("source"), "strong"), ["query_id", "source"], "left")
+        shared = cited.groupBy("target", "block").agg(F.countDistinct("source").alias("sources"))
+        at = at.join(shared, ["target", "block"]).join(eligible.select("query_id", F.col("page").alias("source"), "strong"), ["query_id", "source"], "left")
         at = at.where(F.coalesce("strong", F.lit(False)) | (F.col("sources") <= fanout))
-    back = materialise(at.select("query_id", "edge", "source", "target").distinct(), "citing")
+    back = _either(at.join(asked, "query_id").select("edge", "source", "target", "places", "slot", F.col("bit").alias("bits")), "edge", "source", "target", "places", "slot")
+    back = materialise(back, "citing")
 
-    some = seeds.groupBy("query_id", "page").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
-    front = known = materialise(some.select("query_id", "page", F.lit(0).alias("round")), "read")
-    used = []
+    begun = seeds.join(asked, "query_id").select("page", "slot", F.col("bit").alias("bits"), "blocks")
+    front = materialise(_either(begun, "page", "slot").withColumn("round", F.lit(0)), "read")
+    known, used = front, []
     for step in range(1, 1 << 30):
-        out = front.join(edges.where(F.col("type").isin(*FORWARD)), front["page"] == edges["source"]).select("query_id", "edge", F.col("target").alias("page"), "proposed", F.when(F.col("type") == "CITES", "CITES_SOURCE").otherwise(F.concat("type", F.lit("_CONTEXT"))).alias("reason"))
-        into = front.join(edges.where(F.col("type").isin(*REVERSE)), front["page"] == edges["target"]).select("query_id", "edge", F.col("source").alias("page"), "proposed", F.concat(F.lit("INCOMING_"), "type").alias("reason"))
-        both = out.unionByName(into).join(eligible.select("query_id", "page", F.lit(True).alias("able")), ["query_id", "page"], "left")
-        both = both.where(~F.col("proposed") | F.col("able")).select("query_id", "edge", "page", F.when(F.col("proposed"), "PROPOSED_NAVIGATION").otherwise(F.col("reason")).alias("reason"))
-        citing = front.withColumnRenamed("page", "target").join(back, ["query_id", "target"]).select("query_id", "edge", F.col("source").alias("page"))
+        near = _hinted(front.select("page", "slot", "bits"), front)
+        out = near.join(edges, near["page"] == edges["source"]).select("edge", F.col("target").alias("page"), "proposed", F.when(F.col("type") == "CITES", "CITES_SOURCE").otherwise(F.concat("type", F.lit("_CONTEXT"))).alias("reason"), "places", "slot", "bits")
+        into = near.join(edges.where(F.col("type").isin(*REVERSE)), near["page"] == edges["target"]).select("edge", F.col("source").alias("page"), "proposed", F.concat(F.lit("INCOMING_"), "type").alias("reason"), "places", "slot", "bits")
+        both = out.unionByName(into)
+        firm = both.where(~F.col("proposed")).drop("proposed")
+        loose = _both(both.where(F.coalesce("proposed", F.lit(True))), able, "page").withColumn("reason", F.when(F.col("proposed"), "PROPOSED_NAVIGATION").otherwise(F.col("reason"))).drop("proposed")
+        citing = _both(back, front.select(F.col("page").alias("target"), "slot", "bits"), "target").select("edge", F.col("source").alias("page"), "places", "slot", "bits")
         if not selective:
-            citing = _new_only(citing, known, prints, eligible)
-        same = front.join(pages.where("canonical is not null"), "page").select("query_id", F.lit(None).cast(edges.schema["edge"].dataType).alias("edge"), F.col("canonical").alias("page"), F.lit("CANONICAL_NAVIGATION").alias("reason")).join(pages.select("page"), "page", "left_semi")
-        links = materialise(both.unionByName(citing.withColumn("reason", F.lit("REVERSE_CITES_EXACT"))).unionByName(same), "used")
+            citing = _new_only(materialise(citing, "citing"), known, prints, eligible, asked, by_slot)
+        same = near.join(pages.where("canonical is not null"), "page").select(F.lit(None).cast(edges.schema["edge"].dataType).alias("edge"), F.col("canonical").alias("page"), F.lit("CANONICAL_NAVIGATION").alias("reason"), F.lit(None).cast(edges.schema["places"].dataType).alias("places"), "slot", "bits").join(pages.select("page"), "page", "left_semi")
+        links = materialise(firm.unionByName(loose).unionByName(citing.withColumn("reason", F.lit("REVERSE_CITES_EXACT"))).unionByName(same), "used")
         used.append(links)
-        places = links.where("edge is not null").select("query_id", "edge").distinct().join(anchors, "edge").select("query_id", "page")
-        ahead = links.select("query_id", "page").unionByName(places).distinct().join(known.select("query_id", "page"), ["query_id", "page"], "left_anti")
+        ends = links.select("page", "slot", "bits").unionByName(links.select(F.explode("places.page").alias("page"), "slot", "bits"))
+        ahead = _without(_either(ends, "page", "slot"), _either(known, "page", "slot"), "page")
         front = materialise(ahead.withColumn("round", F.lit(step)), "read")
         if front.isEmpty():
             break
@@ -201,36 +249,53 @@ def expand(seeds: DataFrame, pages: DataFrame, edges: DataFrame, anchors: DataFr
     links = used[0]
     for more in used[1:]:
         links = links.unionByName(more)
-    links = links.distinct()
-    resting = links.where("edge is not null").select("query_id", "edge", "reason").join(anchors, "edge")
-    why = links.select("query_id", "page", "reason").unionByName(resting.select("query_id", "page", F.when(F.col("reason") == "PROPOSED_NAVIGATION", "PROPOSED_ANCHOR_NAVIGATION").otherwise("RELATION_SOURCE_ANCHOR").alias("reason")))
-    why = why.unionByName(some.select("query_id", "page", F.lit("SEED").alias("reason"))).groupBy("query_id", "page").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
-    blocks = resting.select("query_id", "page", F.col("block").cast("string").alias("block")).unionByName(some.select("query_id", "page", F.explode("blocks").alias("block")))
-    blocks = blocks.where("block is not null").groupBy("query_id", "page").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
-    reads = known.join(why, ["query_id", "page"]).join(blocks, ["query_id", "page"], "left")
-    return reads.withColumn("blocks", F.coalesce("blocks", F.array().cast("array<string>"))), links
-
-
-def _new_only(citing: DataFrame, known: DataFrame, prints: DataFrame, eligible: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    resting = links.select(F.explode("places").alias("at"), "reason", "slot", "bits").select("at.page", F.col("at.block").cast("string").alias("block"), F.when(F.col("reason") == "PROPOSED_NAVIGATION", "PROPOSED_ANCHOR_NAVIGATION").otherwise("RELATION_SOURCE_ANCHOR").alias("reason"), "slot", "bits")
+    facts = [
+        links.select("page", "slot", "bits", "reason", none.alias("block")), resting.select("page", "slot", "bits", "reason", "block"),
+        begun.select("page", "slot", "bits", F.lit("SEED").alias("reason"), F.explode_outer("blocks").alias("block")),
+    ]
+    told = facts[0].unionByName(facts[1]).unionByName(facts[2]).withColumn("round", F.lit(None).cast("int")).unionByName(known.select("page", "slot", "bits", none.alias("reason"), none.alias("block"), "round"))
+    # One row for a page and slot, then one for each of its questions.
+    each = _either(told, "page", "slot", "reason", "block", "round").groupBy("page", "slot").agg(*(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(c, "bits"))).alias(c) for c in ("reason", "block", "round")))
+    rows = each.join(by_slot, "slot").select("page", "reason", "block", "round", F.explode("asked").alias("q"))
+    mine = lambda c: F.transform(F.filter(c, lambda x: x["bits"].bitwiseAND(F.col("q.bit")) != 0), lambda x: x[c])
+    reads = rows.withColumn("r", mine("round")).where(F.size("r") > 0)
+    reads = reads.select("q.query_id", "page", F.array_min("r").alias("round"), F.array_sort(F.array_distinct(mine("reason"))).alias("reasons"), F.array_sort(F.array_distinct(mine("block"))).alias("blocks"))
+    links = _either(links, "edge", "page", "reason", "slot").join(by_slot, "slot")
+    links = links.select("edge", "page", "reason", F.transform(F.filter("asked", lambda q: q["bit"].bitwiseAND(F.col("bits")) != 0), lambda q: q["query_id"]).alias("queries"))
+    return reads, links.select(F.explode("queries").alias("query_id"), "edge", "page", "reason") if spelled else links
+
+
+def _new_only(citing: DataFrame, known: DataFrame, prints: DataFrame, eligible: DataFrame, asked: DataFrame, by_slot: DataFrame) -> DataFrame:
     """Citing pages that were read already, rest on nothing, or bring an item first, in their order.
 
     A page that brings none adds none to those before it, so an item's first bearer
-    is the same whether such pages count or not.
+    is the same whether such pages count or not. Of what read pages rest on only the
+    items of citing pages are looked up.
     """
-    pages = citing.select("query_id", "page").distinct().join(known.select("query_id", "page", F.lit(True).alias("read")), ["query_id", "page"], "left")
-    pages = pages.join(eligible.select("query_id", "page", "rank"), ["query_id", "page"], "left")
-    seen = known.join(prints, "page").select("query_id", "item").distinct().withColumn("seen", F.lit(True))
-    items = pages.join(prints, "page", "left").join(seen, ["query_id", "item"], "left")
-    free = items.where(F.col("read") | F.col("item").isNull()).select("query_id", "page")
-    first = items.where("item is not null and seen is null").groupBy("query_id", "item").agg(F.min(F.struct(F.col("rank").isNull().alias("unranked"), "rank", "page")).alias("first"))
-    good = free.unionByName(first.select("query_id", "first.page")).distinct()
-    return citing.join(good, ["query_id", "page"], "left_semi")
+    pages = _either(citing, "page", "slot")
+    read = _both(pages, _either(known.join(pages.select("page").distinct(), "page", "left_semi"), "page", "slot"), "page")
+    bare = pages.join(prints, "page", "left_anti")
+    items = pages.join(prints, "page")
+    seen = prints.join(items.select("item").distinct(), "item", "left_semi").join(known.select("page", "slot", "bits"), "page")
+    fresh = _without(items, _either(seen, "item", "slot"), "item").join(by_slot, "slot").select("page", "item", "bits", F.explode("asked").alias("q")).where(F.col("bits").bitwiseAND(F.col("q.bit")) != 0)
+    fresh = fresh.select("q.query_id", "page", "item").join(eligible.select("query_id", "page", "rank"), ["query_id", "page"], "left")
+    first = fresh.groupBy("query_id", "item").agg(F.min(F.struct(F.col("rank").isNull().alias("unranked"), "rank", "page")).alias("first"))
+    first = first.select("query_id", "first.page").distinct().join(asked, "query_id").select("page", "slot", F.col("bit").alias("bits"))
+    good = _either(read.select("page", "slot", "bits").unionByName(bare.select("page", "slot", "bits")).unionByName(first), "page", "slot")
+    return _both(citing, good, "page").select("edge", "page", "places", "slot", "bits")
 
 
 def plan_warnings(queries: DataFrame, reads: DataFrame, links: DataFrame, pages: DataFrame, edges: DataFrame, seeds: DataFrame, searches: DataFrame) -> DataFrame:
-    """query_id, warnings, counts of what is read: sources, wikis, by links, of searches without their best."""
+    """query_id, warnings, counts of what is read: sources, wikis, by links, of searches without their best.
+
+    links as expand() gives them, spelled or not.
+    """
     kinds = reads.join(pages.select("page", "kind"), "page").withColumn("wiki", F.col("kind") == "knowledge")
     cites = links.join(edges.where("type = 'CITES' and not proposed").select("edge", "source", "target"), "edge").join(pages.where("kind <> 'knowledge'").select(F.col("page").alias("target")), "target", "left_semi")
+    if "queries" in links.columns:
+        cites = cites.select("source", "queries").distinct().withColumn("query_id", F.explode("queries"))
     backed = cites.select("query_id", F.col("source").alias("page"), F.lit(True).alias("backed")).distinct()
     per = kinds.join(backed, ["query_id", "page"], "left").groupBy("query_id").agg(
         F.count_if("wiki").alias("wikis"), F.count_if(~F.col("wiki")).alias("sources"), F.count_if(F.col("round") > 0).alias("by_links"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.operators import planning as P
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import materialise, table
 
 
 def _world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -61,8 +61,8 @@ def evidence_plan(spark, sf_dir):
     k = F.col("c_custkey")
     units = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("query_id"), k.cast("string").alias("unit"), k.alias("page"), (k % 4).cast("string").alias("section"), F.array(F.concat(F.lit("b"), k % 50)).alias("blocks"), F.col("c_acctbal").alias("score"), F.when(k % 2 == 0, F.col("c_acctbal")).alias("rerank"), F.col("c_mktsegment").alias("search"))
     searches = units.select("query_id", "search", "unit", F.row_number().over(P.Window.partitionBy("query_id", "search").orderBy(F.col("score").desc(), "unit")).alias("rank"))
-    seeds = P.unit_seeds(units.drop("search"), searches, pages, edges, anchors)
-    reads, links = P.expand(seeds, pages, edges, anchors, eligible)
+    seeds = materialise(P.unit_seeds(units.drop("search"), searches, pages, edges, anchors), "seeds")
+    reads, links = P.expand(seeds, pages, edges, anchors, eligible, spelled=False)
     queries = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"))
     return P.plan_warnings(queries, reads, links, pages, edges, seeds, searches).select("query_id", F.array_join("warnings", ",").alias("warnings"), "sources", "wikis", "by_links", "missed")
 

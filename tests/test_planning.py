@@ -135,3 +135,23 @@ def test_relevance_seeds(spark):
     terms = spark.createDataFrame([(1, "a", 3.0), (1, "b", 1.0), (1, "c", 2.0), (1, "d", 0.1), (2, "a", 1.0)], "query_id int, term string, mass double")
     got = sorted(map(tuple, P.relevance_seeds(candidates, terms, most=1).collect()))
     assert got == [(1, 10, 0, "HYBRID_SEED"), (1, 12, 1, "COVERAGE_ESCALATION"), (2, 11, 0, "LOW_RELEVANCE")]
+
+
+def test_rounds_carry_one_row_for_many_questions(spark, monkeypatch):
+    pages = spark.range(20).selectExpr("cast(id as int) page", "'knowledge' kind", "cast(null as int) canonical")
+    edges = spark.range(19).selectExpr("cast(id as int) edge", "cast(id as int) source", "cast(id + 1 as int) target", "'REQUIRES' type", "false proposed")
+    anchors = edges.selectExpr("edge", "target page", "'b' block")
+    seeds = spark.range(100).selectExpr("cast(id as int) query_id", "cast(id % 2 as int) page", "array('b') blocks")
+    eligible = seeds.selectExpr("query_id", "page", "1 rank", "true strong")
+    written, keep = [], P.materialise
+
+    def counted(rows, name):
+        out = keep(rows, name)
+        written.extend([out] if name in ("used", "read") else [])
+        return out
+
+    monkeypatch.setattr(P, "materialise", counted)
+    reads, links = P.expand(seeds, pages, edges, anchors, eligible, selective=True)
+    assert sorted((r["query_id"], r["page"]) for r in reads.collect()) == [(q, p) for q in range(100) for p in range(q % 2, 20)]
+    assert links.count() == 50 * (19 + 18)
+    assert sum(rows.count() for rows in written) <= 2 * 2 * (20 + 19)
