@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.sequences import numbered
+from lodestone.session import materialise, spread
+
+#: Pages of a class that travel together.
+SLICE = 512
 
 
 def fence(hits: DataFrame, catalog: DataFrame, *keys: str) -> DataFrame:
@@ -75,8 +79,15 @@ def title_links(statements: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.select("statement", page.alias("page")).where("page is not null")
 
 
-def title_matches(named: DataFrame, titles: DataFrame) -> DataFrame:
-    """Named titles with every page they may mean: the columns of named, and page, of_base, of_year.
+def _classes(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """page, class: pages of the same titles share a class; and class, n_pages, title, own, of_base, of_version, of_year: what its pages are called."""
+    pages = titles.where("title <> ''").select("page", F.struct("title", "own", F.col("base").alias("of_base"), F.col("version").alias("of_version"), F.col("year").alias("of_year")).alias("t"))
+    sets = materialise(pages.groupBy("page").agg(F.array_sort(F.collect_set("t")).alias("names")).withColumn("class", F.sha2(F.to_json("names"), 256)), "titles")
+    return sets.select("page", "class"), sets.groupBy("class", "names").agg(F.count("*").alias("n_pages")).select("class", "n_pages", F.explode("names").alias("t")).select("class", "n_pages", "t.*")
+
+
+def title_matches(named: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Named titles with every page they may mean, by classes of pages: the columns of named, and class, n_pages, of_base, of_year; and the pages (page, class).
 
     named: full, base, version (its edition, null: none) and any other columns but
     those of titles. titles: page, title, own (the title without what publishes it),
@@ -84,30 +95,53 @@ def title_matches(named: DataFrame, titles: DataFrame) -> DataFrame:
     editions never match, and a named edition matches an unversioned page only by
     the full title. Otherwise full titles or bases are equal, or the page's own title holds a
     base of ten characters or more: equal ones are joined, held ones looked up by an automaton.
+    Each title is looked up once, whoever names it, and among classes: a page is in one only.
     """
     from lodestone.operators.curation import occurrences
 
-    fit = named.where(F.length("base") >= 6)
-    pages = titles.where("title <> ''").select("page", "title", "own", F.col("base").alias("of_base"), F.col("version").alias("of_version"), F.col("year").alias("of_year"))
+    pages, classes = _classes(titles)
+    classes = materialise(classes, "classes")
+    fit = materialise(named.where(F.length("base") >= 6).select("full", "base", "version").distinct(), "named")
     long = fit.where(F.length("base") >= 10)
-    held = occurrences(long.select(F.col("base").alias("name")), pages.select(F.col("page").alias("src"), F.col("own").alias("text"))).select(F.col("src").alias("page"), F.col("name").alias("base"))
-    rows = fit.join(pages, F.col("full") == F.col("title")).unionByName(fit.join(pages, F.col("base") == F.col("of_base"))).unionByName(long.join(held.join(pages, "page"), "base").select(*fit.columns, *pages.columns))
+    held = occurrences(long.select(F.col("base").alias("name")), classes.select(F.col("own").alias("src"), F.col("own").alias("text")).distinct()).select(F.col("src").alias("own"), F.col("name").alias("base"))
+    rows = fit.join(classes, F.col("full") == F.col("title")).unionByName(fit.join(classes, F.col("base") == F.col("of_base"))).unionByName(long.join(held, "base").join(classes, "own").select(*fit.columns, *classes.columns))
     apart = F.col("version").isNotNull() & (F.col("of_version").isNull() & (F.col("full") != F.col("title")) | (F.col("of_version") != F.col("version")))
-    return rows.where(~F.coalesce(apart, F.lit(False))).select(*named.columns, "page", "of_base", "of_year").distinct()
+    found = rows.where(~F.coalesce(apart, F.lit(False))).select("full", "base", F.col("version").alias("meant"), "class", "n_pages", "of_base", "of_year").distinct()
+    same = (named["full"].eqNullSafe(found["full"])) & (named["base"] == found["base"]) & named["version"].eqNullSafe(found["meant"])
+    return named.join(found, same).select(*(named[c] for c in named.columns), "class", "n_pages", "of_base", "of_year"), pages
+
+
+def _spelled(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows (class and others, distinct) with every page of their class; as a page is in one class, no pair comes twice.
+
+    The pages of a class travel in slices of SLICE, dealt to all cores: pairs are
+    spelled out where source and slice meet, and never shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy("class").orderBy("page"))
+    sliced = materialise(pages.withColumn("slice", F.floor((place - 1) / SLICE)).groupBy("class", "slice").agg(F.collect_list("page").alias("pages")), "slices")
+    counts = sliced.groupBy("class").agg(F.max("slice").alias("last"))
+    asked = rows.join(counts, "class").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+    met = spread(asked, "class", "slice").join(spread(sliced, "class", "slice").hint("shuffle_hash"), ["class", "slice"])
+    return met.drop("class", "slice").withColumn("page", F.explode("pages")).drop("pages")
 
 
 def abolitions(named: DataFrame, titles: DataFrame) -> DataFrame:
     """source, page, partial: what a page (source, of a year) repeals, whole or in part; never itself or an edition dated after it."""
-    rows = title_matches(named, titles).where("source <> page")
-    return rows.where(~F.coalesce(F.col("of_year") > F.col("year"), F.lit(False))).select("source", "page", "partial").distinct()
+    rows, pages = title_matches(named, titles)
+    rows = rows.where(~F.coalesce(F.col("of_year") > F.col("year"), F.lit(False))).select("source", "partial", "class").distinct()
+    return _spelled(rows, pages).where("source <> page").select("source", "page", "partial")
 
 
 def publications(named: DataFrame, titles: DataFrame) -> DataFrame:
     """source, page: what a page (source, own_base, year) publishes; of several editions those of its year, if there are any. Never its own base."""
-    rows = title_matches(named, titles).where("source <> page and of_base <> own_base")
+    rows, pages = title_matches(named, titles)
     same = F.coalesce(F.col("of_year") == F.col("year"), F.lit(False))
-    by = rows.groupBy("source", "full").agg(F.countDistinct("page").alias("n"), F.bool_or(same).alias("dated"))
-    return rows.join(by, ["source", "full"]).where((F.col("n") == 1) | ~F.col("dated") | same).select("source", "page").distinct()
+    rows = rows.where("of_base <> own_base").withColumn("same", same).join(pages.select(F.col("page").alias("source"), F.col("class").alias("own_class")), "source", "left")
+    rows = rows.withColumn("n_pages", F.col("n_pages") - (F.col("class").eqNullSafe(F.col("own_class"))).cast("int")).where("n_pages > 0")
+    each = rows.groupBy("source", "full", "class").agg(F.max("n_pages").alias("n_pages"), F.bool_or("same").alias("same"))
+    by = each.groupBy("source", "full").agg(F.sum("n_pages").alias("n"), F.bool_or("same").alias("dated"))
+    taken = each.join(by, ["source", "full"]).where((F.col("n") == 1) | ~F.col("dated") | F.col("same")).select("source", "class").distinct()
+    return _spelled(taken, pages).where("source <> page").select("source", "page")
 
 
 def editions(titles: DataFrame) -> DataFrame:

@@ -89,3 +89,12 @@ def test_deletions(spark):
     data = [("abcabc", "aca", True), ("abc", "cab", False), ("abc", "", True), ("", "a", False), ("条款一二", "条二", True), (None, "a", None), ("a", None, None), ("a\nb", "\nb", True)]
     rows = spark.createDataFrame(data, "a string, b string, want boolean").select("want", T.deletions_only(F.col("a"), F.col("b")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in rows)
+
+
+def test_titles_are_matched_by_classes_of_pages(spark):
+    titles = spark.range(2000).selectExpr("id page", "'the rule 2001' title", "'the rule 2001' own", "'the rule' base", "2001 version", "2001 year")
+    named = spark.range(5000, 5003).selectExpr("id source", "'the rule' base", "2001 version", "'the rule 2001' full", "2002 year", "false partial", "'another' own_base")
+    rows, pages = E.title_matches(named, titles)
+    assert rows.count() == 3 and pages.count() == 2000
+    assert E.abolitions(named, titles).distinct().count() == E.abolitions(named, titles).count() == 6000
+    assert E.publications(named, titles).count() == 6000
