@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 from lodestone.session import materialise
 
+#: Rows of a frontier that are broadcast to meet the edges, at most.
+SMALL = 100_000
+
 
 def assemble(*kinds: DataFrame) -> DataFrame:
     """Edges (src, dst, type, origin, anchor) of several kinds as one set; anchors of equal edges become one sorted array."""
@@ -40,15 +43,17 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, undirected: bool = Fal
     """node, depth: least distance from the seeds (column node), at most `depth` rounds.
 
     With keep_root the seeds' column root is carried, so that many closures run at once.
+    Repeated edges do no harm; a small frontier is broadcast, so that edges needn't be sorted for it.
     """
     links = edges.select("src", "dst")
     if undirected:
         links = links.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = materialise(links.distinct(), "links")
+    links = materialise(links, "links")
     by = ["root", "node"] if keep_root else ["node"]
     known = front = materialise(seeds.select(*by, F.lit(0).alias("depth")).distinct(), "reach")
     for step in range(1, depth + 1):
-        ahead = front.join(links, front["node"] == links["src"]).select(*by[:-1], F.col("dst").alias("node"), F.lit(step).alias("depth")).distinct()
+        near = F.broadcast(front) if front.limit(SMALL + 1).count() <= SMALL else front
+        ahead = near.join(links, near["node"] == links["src"]).select(*by[:-1], F.col("dst").alias("node"), F.lit(step).alias("depth")).distinct()
         front = materialise(ahead.join(known.select(*by), by, "left_anti"), "reach")
         if front.isEmpty():
             break
@@ -78,9 +83,20 @@ def roots(pointers: DataFrame) -> DataFrame:
 
 
 def leaves(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """root, node: what each seed's chain of edges ends in (nodes reached that have no edge of their own)."""
-    found = reach(edges, seeds, depth, keep_root=True)
-    return found.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("root", "node")
+    """root, node: what each seed's chain of edges ends in (nodes reached by at most `depth` edges that have none of their own).
+
+    A round holds only what still moves on; what has ended is set aside and not looked at again.
+    """
+    links = materialise(edges.select(F.col("src").alias("node"), F.col("dst"), F.lit(True).alias("on")), "links")
+    front, ends = seeds.select("root", "node").distinct(), []
+    for _ in range(depth):
+        moved = materialise(front.join(links, "node", "left"), "moved")
+        ends.append(moved.where("on is null").select("root", "node"))
+        front = moved.where("on").select("root", F.col("dst").alias("node")).distinct()
+        if front.isEmpty():
+            break
+    ends.append(front.join(links.select("node"), "node", "left_anti"))
+    return reduce(DataFrame.unionByName, ends).distinct()
 
 
 def ready(steps: DataFrame, done: DataFrame) -> DataFrame:

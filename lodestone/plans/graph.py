@@ -41,7 +41,8 @@ def induced_subgraph(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN b ON src = node WHERE depth < 3)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def bfs_depth3(spark, sf_dir):
-    return G.reach(_edges(spark, sf_dir), spark.range(1, 2).withColumnRenamed("id", "node"), 3, undirected=True)
+    edges = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst"))
+    return G.reach(edges, spark.range(1, 2).withColumnRenamed("id", "node"), 3, undirected=True)
 
 
 _HALF = "h AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1)"
