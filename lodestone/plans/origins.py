@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import metadata as M, navigation as N, replacements as R
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import spread, table
 
 
 @query("""SELECT p_partkey AS doc_id, CASE p_partkey % 5 WHEN 0 THEN '上海证券交易所' WHEN 1 THEN '财政部' WHEN 2 THEN '中国证监会' WHEN 3 THEN '中国人民银行' END AS issuer,
@@ -18,7 +18,7 @@ def document_origins(spark, sf_dir):
     title = F.when(k == 0, F.concat(F.lit("上交所关于发布《"), F.col("p_brand"), F.lit("》的通知（上证发〔2020〕"), n, F.lit("号）"))).when(k == 4, "关于财税〔2016〕140号文件的解读").otherwise("办法")
     text = F.when(k == 1, F.concat(F.lit("【发布部门】财政部\t【发布文号】财会〔2019〕"), n, F.lit("号\n第一条"))).when(k == 2, F.concat(F.lit("（2007年"), (1 + F.col("p_size") % 12).cast("string"), F.lit("月5日证监会令第"), n, F.lit("号公布）\n第一条 根据证监发〔2001〕1号制定")))
     text = text.when(k == 3, "正文\n依据国发〔2001〕3号\n中国人民银行\n二〇二〇年一月二日").otherwise("正文。\n版权所有 中国证监会")
-    return M.origins(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), title.alias("title"), text.alias("text")))
+    return M.origins(spread(table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), title.alias("title"), text.alias("text")))
 
 
 @query("""SELECT o_orderkey AS doc_id, said, act FROM orders, (VALUES (0, '已付款', 'condition'), (0, '已过账', 'condition'), (0, '已确认', 'assertion'), (1, '已付款', 'requirement'), (1, '已过账', 'assertion'), (2, '已付款', 'negated'), (3, '已审批', 'assertion')) t(k, said, act) WHERE o_orderkey % 4 = k""")
@@ -72,7 +72,7 @@ def _notices(spark, sf_dir):
         F.concat(F.lit("《规则"), n, F.lit("》"), F.when(k % 3 == 0, "第三条").otherwise(""), F.lit("同时废止；《草案》尚未废止。")),
     ]
     rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), t.alias("text")) for i, t in enumerate(lines)))
-    return table(spark, sf_dir, "part", "p_partkey").select((k * 3).alias("version_id"), F.explode(rows).alias("b")).select("version_id", F.concat_ws("-", "version_id", "b.ordinal").alias("block_id"), "b.*")
+    return spread(table(spark, sf_dir, "part", "p_partkey"), "p_partkey").select((k * 3).alias("version_id"), F.explode(rows).alias("b")).select("version_id", F.concat_ws("-", "version_id", "b.ordinal").alias("block_id"), "b.*")
 
 
 @query("""SELECT p_partkey * 3 AS version_id, '规则' || p_partkey AS predecessor, '规则' || p_partkey || '新版' AS successor, CASE WHEN p_partkey % 4 <> 0 THEN DATE '2024-03-01' END AS effective_from, CASE WHEN p_partkey % 3 = 0 THEN 'partial' ELSE 'full' END AS scope FROM part""")
@@ -88,7 +88,7 @@ SELECT CASE WHEN old IS NULL OR day IS NULL THEN 'NEEDS_INPUT' ELSE 'READY' END
 UNION ALL SELECT 'CONFIRMED', old, new, day, scope FROM g WHERE NOT revoked""")
 def replacement_suggestions(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    part = table(spark, sf_dir, "part", "p_partkey")
+    part = spread(table(spark, sf_dir, "part", "p_partkey"), "p_partkey")
     titles = F.array(F.struct((3 * k + 1).alias("version_id"), F.concat(F.lit("《规则 "), n, F.lit("》.pdf")).alias("t")), F.struct((3 * k + 2).alias("version_id"), F.concat(F.lit("规则"), n, F.lit("新版")).alias("t")), F.struct(F.when(k % 5 == 0, -k).otherwise(3 * k).alias("version_id"), F.when(k % 5 == 0, F.concat(F.lit("规则"), n)).otherwise("通知").alias("t")))
     documents = part.select(F.explode(titles).alias("d")).select("d.version_id", F.array("d.t").alias("titles"))
     registered = part.where(k % 7 == 0).select((3 * k + 1).alias("predecessor"), (3 * k + 2).alias("successor"), F.lit("2024-03-01").cast("date").alias("effective_from"), F.when(k % 3 == 0, "partial").otherwise("full").alias("scope"), F.when(k % 2 == 0, "REVOKED").otherwise("ACTIVE").alias("state"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Bytes in memory that a byte of a Parquet file may stand for: repetitive columns take a few bytes a row there.
 FILE_FACTOR = "64.0"
+#: Bytes of input for a partition to begin with, and of a shuffle's partition.
+INPUT_PART, SHUFFLE_PART = 4 << 20, 16 << 20
 
 
 def session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,6 +55,24 @@ def file_sizes(spark: SparkSession) -> None:
         spark.conf.set(key, FILE_FACTOR)
 
 
+def shuffle_sizes(spark: SparkSession, sf_dir: str) -> None:
+    """Let larger tables mean more partitions, not larger ones: what a task sorts or groups stays as it is.
+
+    Adaptive execution begins with a partition for every INPUT_PART of the folder's
+    files, joins them again to SHUFFLE_PART at most, and scans read as little at once.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLE_PART), ("spark.sql.files.maxPartitionBytes", 2 * SHUFFLE_PART)):
+        if size(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
+    if not sf_dir:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    held = files.getContentSummary(path).getLength() if files.exists(path) else 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // INPUT_PART))))
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """rows dealt by their keys to a few tasks for every core.
 
@@ -60,7 +80,7 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     work on alone. A stated number of partitions is one that Spark doesn't join again.
     """
     spark = rows.sparkSession
-    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(3 * spark.sparkContext.defaultParallelism, *(int(spark.conf.get(k, "1")) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")))
     return rows.repartition(tasks, *keys)
 
 

@@ -65,3 +65,74 @@ def test_terms_are_taken_in_slices_in_order():
     found = reading.router_features.func(pa.array(texts, pa.string()))
     assert isinstance(found, pa.Array) and found.to_pylist() == [sorted(reading.router_features_of(t)) for t in texts]
     assert reading.router_features.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_origins_and_notices_are_spread(spark):
+    from lodestone.plans import origins
+
+    folder = "/root/testdata/sf0.001"
+    for rows in (QUERIES["document_origins"](spark, folder), origins._notices(spark, folder)):
+        assert rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_leaves_keep_only_what_moves_on(spark, monkeypatch):
+    from lodestone.operators import graph as G
+
+    written, keep = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda rows, name: written.append(out := keep(rows, name)) or out)
+    edges = spark.createDataFrame([(n, n + 1) for n in range(1, 12)] + [(20, 21), (21, 20), (30, 31), (30, 32), (31, 33), (32, 33), (33, 34), (30, 34)], "src long, dst long")
+    seeds = spark.createDataFrame([(n, n) for n in (1, 5, 12, 20, 30, 99)], "root long, node long")
+    assert sorted(map(tuple, G.leaves(edges, seeds, 9).collect())) == [(5, 12), (12, 12), (30, 34), (99, 99)]
+    assert sorted(map(tuple, G.leaves(edges, seeds, 11).collect())) == [(1, 12), (5, 12), (12, 12), (30, 34), (99, 99)]
+    assert {"on"} <= {c for rows in written for c in rows.columns}
+
+
+def test_a_small_frontier_needs_no_shuffled_edges(spark, monkeypatch):
+    from lodestone.operators import graph as G
+
+    plans, keep = [], G.materialise
+
+    def seen(rows, name):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return keep(rows, name)
+
+    monkeypatch.setattr(G, "materialise", seen)
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (5, 3)], "src long, dst long")
+    found = G.reach(edges, spark.range(1, 2).withColumnRenamed("id", "node"), 2, undirected=True)
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1), (3, 2)]
+    assert "Aggregate" not in plans[0] and "broadcast" in plans[2]
+
+
+def test_partitions_grow_with_the_folder(spark, monkeypatch):
+    from lodestone import session
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(session, "INPUT_PART", 1 << 20)
+    session.shuffle_sizes(spark, "/root/testdata/sf0.1")
+    assert int(spark.conf.get(key)) > 20
+    session.shuffle_sizes(spark, "")
+    monkeypatch.undo()
+    session.shuffle_sizes(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(key)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.unset(key)
+
+
+def test_phrase_points_are_those_of_the_bonus(spark):
+    from lodestone.operators import ranking as R
+
+    docs = spark.createDataFrame([(1, "Red rose\nmore of it"), (2, "more\nred ROSE red rose"), (3, None), (4, "rose")], "doc_id long, text string").withColumn("title", F.split("text", "\n")[0])
+    asked = spark.createDataFrame([(1, " red rose "), (2, "rose"), (3, " "), (4, "RED rose"), (5, None)], "query_id long, query string")
+    want = docs.crossJoin(asked).select("query_id", "doc_id", R.phrase_bonus(F.col("text"), F.col("title"), F.col("query")).alias("points")).where("points > 0")
+    assert sorted(map(tuple, R.phrase_points(docs, asked).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_context_order_hands_on_places_not_pairs(spark, monkeypatch):
+    from lodestone.operators import reading as R
+
+    written, keep = [], R.materialise
+    monkeypatch.setattr(R, "materialise", lambda rows, name: written.append(out := keep(rows, name)) or out)
+    pages = spark.range(60).selectExpr("0L query_id", "id page", "cast(id as int) place", "cast(id as int) score")
+    edges = spark.range(59).selectExpr("id + 1 src", "id dst")
+    found = R.context_order(pages, edges)
+    assert [r["page"] for r in found.orderBy("rank").collect()] == [59, *range(59)]
+    assert max(rows.count() for rows in written) <= 60
