@@ -112,6 +112,18 @@ def phrase_bonus(text: Column, title: Column, query: Column) -> Column:
     return has(text, TEXT_BONUS) + has(title, TITLE_BONUS)
 
 
+def phrase_points(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title") -> DataFrame:
+    """query_id, key, points: phrase_bonus() of the documents (key, text, title) that hold a query as it is; no others.
+
+    An automaton of all queries reads texts and titles once, so no text meets a query that it doesn't hold.
+    """
+    from lodestone.operators.curation import occurrences
+
+    asked = queries.select("query_id", F.lower(F.trim("query")).alias("name")).where("name <> ''")
+    held = lambda where, points: occurrences(asked.select("name"), docs.select(F.col(key).alias("src"), F.lower(where).alias("text"))).select(F.col("src").alias(key), "name", F.lit(points).alias("points"))
+    return held(text, TEXT_BONUS).unionByName(held(title, TITLE_BONUS)).join(asked, "name").groupBy("query_id", key).agg(F.sum("points").alias("points"))
+
+
 def top_k(scored: DataFrame, k: int, group: str, key: str, score: str = "score") -> DataFrame:
     """The k best rows of every group with their rank; ties go to the least key."""
     best = Window.partitionBy(group).orderBy(F.round(score, 9).desc(), key)

@@ -42,9 +42,8 @@ def bm25_topk(spark, sf_dir):
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM b) WHERE r <= 5""")
 def bm25_phrase_bonus(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    rows = _scored(spark, sf_dir).join(docs, "doc_id").join(_questions(spark, sf_dir), "query_id")
-    title = F.split("text", "\n")[0]
-    rows = rows.withColumn("score", F.col("score") + R.phrase_bonus(F.col("text"), title, F.col("query")))
+    points = R.phrase_points(docs.withColumn("title", F.split("text", "\n")[0]), _questions(spark, sf_dir))
+    rows = _scored(spark, sf_dir).join(points, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("points", F.lit(0.0)))
     return R.top_k(rows, 5, "query_id", "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
