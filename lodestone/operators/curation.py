@@ -13,10 +13,12 @@ from pyspark.sql.window import Window
 from lodestone.constants import GAP_RUNS, TITLE_SIMILARITY
 from lodestone.functions.similarity import may_reach, ratio
 from lodestone.functions.text import gap_key
-from lodestone.session import worker_path
+from lodestone.session import materialise, worker_path
 
 #: Titles of a band that meet others in one task.
 TITLE_CHUNK = 1_000
+#: Cells (two chunks that meet) for a task, on average.
+TITLE_CELLS = 4
 
 
 def body_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,10 +59,16 @@ def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY, chunk: in
 
     # A little more than the factor: rounding moves no pair two bands apart.
     band = F.floor(F.log(F.length("title").cast("double")) / F.log(F.lit((2 - least) / least * (1 + 1e-9))))
-    once = once.withColumn("band", band)
+    once = materialise(once.withColumn("band", band), "titles")
     sizes = once.groupBy("block", "band").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("n"))
     for name, step in (("before", 1), ("after", -1)):
         sizes = sizes.join(sizes.select("block", (F.col("band") + step).alias("band"), F.col("n").alias(name)), ["block", "band"], "left")
+    sizes = materialise(sizes, "sizes")
+    # As many tasks as cells ask for: there are more with more titles, but none is larger.
+    many = F.col("n").cast("long") * (F.col("n") + 1) / 2 + F.col("n") * F.coalesce("after", F.lit(0))
+    cells_in_all = sizes.agg(F.sum(many)).first()[0] or 0
+    spark = titles.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(cells_in_all) // TITLE_CELLS, 20_000))
     dealt = once.join(sizes, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("title"), F.col("n")).cast("int"))
     mine = F.col("mine")
     upto = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -86,7 +94,8 @@ def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY, chunk: in
                         out.append((a, b, r))
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
 
-    pairs = met.groupBy("block", "lower", "across", "x", "y").applyInArrow(run, "a long, b long, similarity double")
+    cell_key = ["block", "lower", "across", "x", "y"]
+    pairs = met.repartition(tasks, *cell_key).groupBy(*cell_key).applyInArrow(run, "a long, b long, similarity double")
     return pairs.unionByName(copies).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
