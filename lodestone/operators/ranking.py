@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from lodestone.constants import ASPECT_PATTERN, B, EXACT_PATTERN, HITS_PER_VERSION, K1, PROFILES, RRF_K, TEXT_BONUS, TITLE_BONUS
 from lodestone.functions.text import search_tokens
-from lodestone.session import materialise, worker_path
+from lodestone.session import materialise, spread, worker_path
 
 #: Terms that are broadcast to filter an index, and (question, term) rows that are broadcast to be joined, at most.
 BROADCAST_TERMS = 500_000
@@ -85,13 +85,15 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """query_id, key, score: BM25 of every document that shares a term with a query.
 
     queries has query_id and query. Documents are tokenised once: the index of the
-    asked terms is written, and lengths, frequencies and hits are read from it.
+    asked terms is written, and lengths, frequencies and hits are read from it. Its
+    rows are dealt by their key, so pairs of question and document are summed where
+    they arise: they aren't shuffled, and a task holds those of its share only.
     """
     asked = materialise(asked_terms(queries), "asked")
     index = materialise(lexical_index(docs, key, text, asked), "index")
-    hits = index.select(key, "len", F.explode("terms").alias("term", "tf"))
     stats = index.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = index.select(F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    hits = spread(index.where(F.size("terms") > 0), key).select(key, "len", F.explode("terms").alias("term", "tf"))
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("mean")))
     return hits.join(_bounded(weights), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
@@ -101,7 +103,7 @@ def title_overlap(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text
     """query_id, key, score: distinct terms of a query in the first line of a document, the catalogue's order."""
     asked = materialise(asked_terms(queries), "asked")
     titles = docs.select(F.col(key), F.split(F.col(text), "\n")[0].alias("title"))
-    hits = lexical_index(titles, key, "title", asked).select(key, F.explode(F.map_keys("terms")).alias("term"))
+    hits = spread(lexical_index(titles, key, "title", asked).where(F.size("terms") > 0), key).select(key, F.explode(F.map_keys("terms")).alias("term"))
     return hits.join(_bounded(asked), "term").groupBy("query_id", key).agg(F.count("*").cast("double").alias("score"))
 
 
@@ -134,14 +136,16 @@ def grouped_top(scored: DataFrame, limit: int, query: str, group: str, key: str,
     """At most per_group hits of each of the `limit` best groups of a query.
 
     A group enters by its best hit and is never evicted, so ranking groups by
-    their best hit equals admitting hits greedily.
+    their best hit equals admitting hits greedily. Scores are read once: every hit
+    brings the best one of its group along. Null groups take a place, but aren't returned.
     """
     value = F.round("score", 9)
-    inside = Window.partitionBy(query, group).orderBy(value.desc(), key)
-    hits = scored.withColumn("hit", F.row_number().over(inside).cast("long"))
+    inside = Window.partitionBy(query, group).orderBy(value.desc(), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = scored.withColumns({"hit": F.row_number().over(inside).cast("long"), "_head": F.first(F.struct(value.alias("value"), F.col(key).alias("key"))).over(inside)})
     hits = hits.where(F.col("hit") <= per_group)
-    heads = hits.where("hit = 1").withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(value.desc(), key)).cast("long"))
-    return hits.join(heads.where(F.col("place") <= limit).select(query, group, "place"), [query, group])
+    heads = Window.partitionBy(query).orderBy(F.col("_head.value").desc(), "_head.key", group)
+    hits = hits.withColumn("place", F.dense_rank().over(heads).cast("long")).where(F.col("place") <= limit)
+    return hits.where(F.col(query).isNotNull() & F.col(group).isNotNull()).drop("_head")
 
 
 def normalised(vector: Column) -> Column:

@@ -136,3 +136,29 @@ def test_context_order_hands_on_places_not_pairs(spark, monkeypatch):
     found = R.context_order(pages, edges)
     assert [r["page"] for r in found.orderBy("rank").collect()] == [59, *range(59)]
     assert max(rows.count() for rows in written) <= 60
+
+
+def test_pairs_are_summed_where_they_arise(spark):
+    from lodestone.operators import ranking as R
+
+    docs = spark.createDataFrame([(n, f"w{n % 7} w{n % 5} w1") for n in range(60)] + [(60, None), (61, "")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(n, f"w{n} w1 w{n + 2}") for n in range(5)], "query_id long, query string")
+    for found in (R.bm25(docs, asked), R.title_overlap(docs, asked)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(query_id" not in plan, plan
+        assert found.count() == found.select("query_id", "doc_id").distinct().count() == 300
+
+
+def test_groups_are_ranked_in_one_reading(spark):
+    from lodestone.operators import ranking as R
+
+    rows = [(q, g, k, float((k * 7 + q) % 5)) for q in range(3) for k in range(24) for g in [None if k % 6 == 5 else f"g{k % 6}"]]
+    found = R.grouped_top(spark.createDataFrame(rows, "query_id long, source string, doc_id long, score double").repartition(4), 3, "query_id", "source", "doc_id", 2)
+    want = []
+    for q in range(3):
+        groups = {}
+        for row in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[2])):
+            groups.setdefault(row[1], []).append(row)
+        want += [(q, g, r[2], hit, place) for place, (g, of) in enumerate(groups.items(), 1) if g and place <= 3 for hit, r in enumerate(of[:2], 1)]
+    assert len(want) < 18 and sorted(map(tuple, found.select("query_id", "source", "doc_id", "hit", "place").collect())) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
