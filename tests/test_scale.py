@@ -162,3 +162,19 @@ def test_groups_are_ranked_in_one_reading(spark):
         want += [(q, g, r[2], hit, place) for place, (g, of) in enumerate(groups.items(), 1) if g and place <= 3 for hit, r in enumerate(of[:2], 1)]
     assert len(want) < 18 and sorted(map(tuple, found.select("query_id", "source", "doc_id", "hit", "place").collect())) == sorted(want)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_event_facts_are_sorted_in_more_parts_of_larger_folders(spark, tmp_path):
+    import re
+
+    import __spark_entry__
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(40).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    with open(tmp_path / "other", "wb") as other:
+        other.truncate(80 << 20)
+    found = __spark_entry__.queries()["source_event_facts"](spark, str(tmp_path))
+    parts = re.findall(r"hashpartitioning\(run_id#\d+L, version_id#\d+L, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert parts and min(map(int, parts)) >= 20, parts
+    assert found.count() == 40
+    spark.conf.unset(key)
