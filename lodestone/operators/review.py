@@ -6,12 +6,14 @@ what it says; each issue names the evidence or the place in the answer that it r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from lodestone.functions import review as P
-from lodestone.operators.structure import numerals, rows_of
-from lodestone.session import materialise
+from lodestone.operators.structure import rows_of
+from lodestone.session import materialise, worker_path
+from lodestone.sources import text as X
 
 _RUN = ["run_id", "version_id"]
 
@@ -64,10 +66,18 @@ def _mode(text: Column) -> Column:
     return value
 
 
+@F.arrow_udf(T.LongType())
+def _numeral(words: pa.Array) -> pa.Array:
+    """Values of Arabic and Chinese numerals, null for other words; a batch has few different ones."""
+    seen = words.dictionary_encode()
+    return pa.array([X.numeral(w.as_py()) for w in seen.dictionary], pa.int64()).take(seen.indices)
+
+
 def _numbered(rows: DataFrame, column: str) -> DataFrame:
-    """rows with the value of a column of numerals, of which there are few different ones."""
-    known = numerals(rows.select(F.col(column).alias("doc_id"), F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct())
-    return rows.join(known.select(F.col("doc_id").alias(column), F.col("value").alias(f"{column}_value")), column, "left")
+    """rows with the value of a column of numerals, taken in place: dealt by so few different words, they would meet in a few tasks."""
+    worker_path(rows.sparkSession)
+    # Spark would take the values again below filters on them, were the function known to be deterministic.
+    return rows.withColumn(f"{column}_value", _numeral.asNondeterministic()(column))
 
 
 def event_facts(records: DataFrame) -> DataFrame:

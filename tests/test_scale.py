@@ -178,3 +178,18 @@ def test_event_facts_are_sorted_in_more_parts_of_larger_folders(spark, tmp_path)
     assert parts and min(map(int, parts)) >= 20, parts
     assert found.count() == 40
     spark.conf.unset(key)
+
+
+def test_day_words_are_numbered_where_they_arise(spark):
+    from lodestone.operators import review as R
+
+    words = ["十二", "2", None, "零", "万", "日", "", "2", "一百零三"]
+    rows = spark.createDataFrame(list(enumerate(words)), "n long, word string").repartition(3, "n")
+    assert [r["word_value"] for r in R._numbered(rows, "word").orderBy("n").collect()] == [12, 2, None, 0, 10_000, None, None, 2, 103]
+    assert R._numbered(rows.where("false"), "word").count() == 0
+    records = spark.createDataFrame([(n, 1, n, 0, 0, f"第{n % 5 + 1}日\n管理人支付红利") for n in range(40)], "run_id long, evidence int, version_id long, block_id int, ordinal int, text string")
+    found = R.event_facts(records)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(day_word" not in plan, plan
+    assert plan.count("ArrowEvalPython") == 1, plan
+    assert sorted((r["run_id"], r["day"]) for r in found.collect()) == [(n, n % 5 + 1) for n in range(40)]
