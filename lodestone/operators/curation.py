@@ -15,10 +15,8 @@ from lodestone.functions.similarity import may_reach, ratio
 from lodestone.functions.text import gap_key
 from lodestone.session import materialise, worker_path
 
-#: Titles of a band that meet others in one task.
-TITLE_CHUNK = 1_000
-#: Cells (two chunks that meet) for a task, on average.
-TITLE_CELLS = 4
+#: Titles of a chunk, and characters of one of them; a longer title counts as several.
+TITLE_CHUNK, TITLE_LENGTH = 4_000, 400
 
 
 def body_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,6 +36,29 @@ def name_pairs(names: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("name").agg(F.min("b").alias("a")), "name").where("a < b").select("a", "b").distinct()
 
 
+def title_cells(once: DataFrame, least: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Titles (block, title, page) with their chunk, and cells (block, x, y) of two chunks that may hold similar ones, x <= y.
+
+    The rank of a title is that of its length and a place by hash among those as
+    long, so nothing but lengths is sorted. Long titles count as several, by which
+    chunks take about as much memory. A chunk meets itself and the later ones that
+    begin within the reach of its longest title.
+    """
+    once = materialise(once.withColumn("length", F.length("title")), "titles")
+    weight = F.ceil(F.col("length") / F.lit(TITLE_LENGTH))
+    before = F.sum(F.col("n") * weight).over(Window.partitionBy("block").orderBy("length")) - F.col("n") * weight
+    lengths = once.groupBy("block", "length").agg(F.count("*").alias("n")).withColumn("before", before)
+    place = F.col("before") + F.pmod(F.xxhash64("title"), F.col("n")) * weight
+    dealt = once.join(lengths, ["block", "length"]).withColumn("chunk", F.floor(place / F.lit(chunk)).cast("int"))
+    dealt = materialise(dealt.select("block", "chunk", "length", "page", "title"), "chunks")
+    sizes = dealt.groupBy("block", "chunk").agg(F.min("length").alias("shortest"), F.max("length").alias("longest"))
+    later = sizes.select("block", F.col("chunk").alias("y"), F.col("shortest").alias("begin"))
+    # A little more than the factor: rounding parts no pair.
+    reach = F.col("longest") * F.lit((2 - least) / max(least, 1e-9) * (1 + 1e-9))
+    cells = sizes.join(later, "block").where((F.col("y") >= F.col("chunk")) & (F.col("begin") <= reach))
+    return dealt, materialise(cells.select("block", F.col("chunk").alias("x"), "y"), "cells")
+
+
 def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY, chunk: int = TITLE_CHUNK) -> DataFrame:
     """a, b, similarity: titles (page, block, title) of one block that match to `least` or more.
 
@@ -48,53 +69,35 @@ def similar_titles(titles: DataFrame, least: float = TITLE_SIMILARITY, chunk: in
 
     The Ratcliff-Obershelp ratio is at most twice the shorter length over the sum
     of both, so only titles whose lengths lie within a factor of (2 - least) / least
-    can reach it. Titles are in bands of length by that factor, and the titles of a
-    band are dealt to chunks; each chunk meets each one of its own and of the next
-    band. Pairs pass an exact filter before the ratio is taken.
+    can reach it. The titles of a block are dealt to chunks in the order of their
+    length, and chunks meet within that reach. Pairs pass an exact filter before
+    the ratio is taken.
     """
     rows = titles.where(F.length("title") > 0).select("block", "title", F.col("page").cast("long").alias("page"))
     rows = rows.withColumn("block", F.coalesce("block", F.lit("")))
     once = rows.groupBy("block", "title").agg(F.min("page").alias("page"))
     copies = rows.join(once.withColumnRenamed("page", "a"), ["block", "title"]).where("page > a").select("a", F.col("page").alias("b"), F.lit(1.0).alias("similarity"))
 
-    # A little more than the factor: rounding moves no pair two bands apart.
-    band = F.floor(F.log(F.length("title").cast("double")) / F.log(F.lit((2 - least) / least * (1 + 1e-9))))
-    once = materialise(once.withColumn("band", band), "titles")
-    sizes = once.groupBy("block", "band").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("n"))
-    for name, step in (("before", 1), ("after", -1)):
-        sizes = sizes.join(sizes.select("block", (F.col("band") + step).alias("band"), F.col("n").alias(name)), ["block", "band"], "left")
-    sizes = materialise(sizes, "sizes")
+    dealt, cells = title_cells(once, least, chunk)
     # As many tasks as cells ask for: there are more with more titles, but none is larger.
-    many = F.col("n").cast("long") * (F.col("n") + 1) / 2 + F.col("n") * F.coalesce("after", F.lit(0))
-    cells_in_all = sizes.agg(F.sum(many)).first()[0] or 0
     spark = titles.sparkSession
-    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(cells_in_all) // TITLE_CELLS, 20_000))
-    dealt = once.join(sizes, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("title"), F.col("n")).cast("int"))
-    mine = F.col("mine")
-    upto = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    cell = lambda lower, across, x, y, right: F.struct(lower.alias("lower"), F.lit(across).alias("across"), x.alias("x"), y.alias("y"), right.alias("right"))
-    cells = F.concat(
-        F.transform(upto("n"), lambda k: cell(F.col("band"), False, F.least(mine, k), F.greatest(mine, k), mine > k)),
-        F.transform(upto("after"), lambda k: cell(F.col("band"), True, mine, k, F.lit(False))),
-        F.transform(upto("before"), lambda k: cell(F.col("band") - 1, True, k, mine, F.lit(True))),
-    )
-    met = dealt.select("block", F.explode(cells).alias("c"), "page", "title").select("block", "c.*", "page", "title")
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), min(cells.count(), 20_000))
+    ends = cells.select("block", F.col("x").alias("chunk"), "x", "y", F.lit(False).alias("right")).unionByName(cells.where("x < y").select("block", F.col("y").alias("chunk"), "x", "y", F.lit(True).alias("right")))
+    met = dealt.join(ends, ["block", "chunk"]).select("block", "x", "y", "right", "page", "title")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         pages, texts, side = part["page"].to_pylist(), part["title"].to_pylist(), part["right"].to_pylist()
-        across, x, y = (k.as_py() for k in key[2:])
         left = [k for k, s in enumerate(side) if not s]
-        right = None if not across and x == y else [k for k, s in enumerate(side) if s]
+        right = None if key[1] == key[2] else [k for k, s in enumerate(side) if s]
         out = []
-        if left and (right is None or right):
-            for i, found in may_reach([texts[k] for k in left], None if right is None else [texts[k] for k in right], least):
-                for j in found.tolist():
-                    (a, s), (b, t) = sorted((pages[k], texts[k]) for k in (left[i], (left if right is None else right)[j]))
-                    if a != b and (r := ratio(s, t)) >= least:
-                        out.append((a, b, r))
+        for found in may_reach([texts[k] for k in left], None if right is None else [texts[k] for k in right], least):
+            for i, j in zip(*(f.tolist() for f in found), strict=True):
+                (a, s), (b, t) = sorted((pages[k], texts[k]) for k in (left[i], (left if right is None else right)[j]))
+                if a != b and (r := ratio(s, t)) >= least:
+                    out.append((a, b, r))
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
 
-    cell_key = ["block", "lower", "across", "x", "y"]
+    cell_key = ["block", "x", "y"]
     pairs = met.repartition(tasks, *cell_key).groupBy(*cell_key).applyInArrow(run, "a long, b long, similarity double")
     return pairs.unionByName(copies).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
