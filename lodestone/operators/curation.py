@@ -16,7 +16,7 @@ from lodestone.functions.text import gap_key
 from lodestone.session import materialise, worker_path
 
 #: Titles of a chunk, and characters of one of them; a longer title counts as several.
-TITLE_CHUNK, TITLE_LENGTH = 4_000, 400
+TITLE_CHUNK, TITLE_LENGTH = 2_000, 400
 
 
 def body_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
